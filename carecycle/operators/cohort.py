@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,9 @@ def repeat_cohort(
     """
     if days < 1 or min_further < 1:
         raise ValueError("days and min_further must be at least 1")
-    rows = events.select(subject, event, ts).dropna()
+    columns = [subject, event, ts]
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    rows = events.select(*columns).filter(known)
     if upper == "midnight":
         return _by_daily_counts(rows, subject, ts, days, min_further)
     if upper == "exact":
@@ -40,12 +44,13 @@ def repeat_cohort(
 def _by_daily_counts(rows, subject, ts, days, min_further):
     # All events of a day share the upper bound, so the day's earliest event has
     # the most followers; counts per day decide the question.
+    midnight = F.col(ts).cast("date").cast(rows.schema[ts].dataType)
     daily = (
         rows.withColumn("_day", F.unix_date(F.col(ts).cast("date")))
         .groupBy(subject, "_day")
         .agg(
             F.count("*").alias("_n"),
-            F.count_if(F.col(ts) == F.date_trunc("day", ts)).alias("_at_midnight"),
+            F.count_if(F.col(ts) == midnight).alias("_at_midnight"),
         )
     )
     w = Window.partitionBy(subject).orderBy("_day")

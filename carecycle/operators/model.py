@@ -6,8 +6,9 @@ from itertools import combinations
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,29 +31,31 @@ def full_interactions(flags: list[str]) -> dict[str, list[str]]:
 def linear_model(df: DataFrame, response: str, terms: dict[str, list[str]]) -> DataFrame:
     """Coefficient table of the least-squares fit of ``response`` on ``terms``.
 
-    A term is a product of columns. Terms that are linear combinations of
-    earlier ones (or constant) are left out of the fit and listed with NULLs.
-    Rows with a NULL are left out. Only matrices of the size of the model
-    reach the driver.
+    A term is a product of columns. Terms that are constant or linear
+    combinations of earlier ones are left out of the fit and listed with NULLs.
+    Rows with a NULL are left out. Only matrices of the size of the model reach
+    the driver.
     """
-    names = {f"_t{i}": term for i, term in enumerate(terms)}
-    products = []
-    for name, term in names.items():
+    columns = []
+    for i, factors in enumerate(terms.values()):
         product = F.lit(1.0)
-        for factor in terms[term]:
+        for factor in factors:
             product = product * F.col(factor)
-        products.append(product.alias(name))
-    design = df.select(F.col(response).cast("double").alias("_y"), *products).dropna()
+        columns.append(product.alias(f"_t{i}"))
+    names = [f"_t{i}" for i in range(len(terms))]
+    rows = df.select(F.col(response).cast("double").alias("_y"), *columns).dropna()
+    design = VectorAssembler(inputCols=names, outputCol="_all").transform(rows).select("_y", "_all")
     design.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        kept = _independent(_cross_products(design, list(names)), list(names))
-        glm = GeneralizedLinearRegression(
+        correlation = Correlation.corr(design, "_all").first()[0].toArray()
+        variance = design.agg(Summarizer.variance(F.col("_all"))).first()[0].toArray()
+        kept = _independent(correlation, variance)
+        fit = GeneralizedLinearRegression(
             family="gaussian", featuresCol="_x", labelCol="_y", predictionCol="_fit"
-        )
-        fit = glm.fit(VectorAssembler(inputCols=kept, outputCol="_x").transform(design))
+        ).fit(VectorSlicer(inputCol="_all", outputCol="_x", indices=kept).transform(design))
         summary = fit.summary
         # The summary lists the intercept last.
-        rows = list(
+        estimates = list(
             zip(
                 [*fit.coefficients, fit.intercept],
                 summary.coefficientStandardErrors,
@@ -62,31 +65,24 @@ def linear_model(df: DataFrame, response: str, terms: dict[str, list[str]]) -> D
         )
     finally:
         design.unpersist()
-    found = {name: tuple(float(x) for x in row) for name, row in zip([*kept, "_1"], rows)}
-    table = [("(Intercept)", *found["_1"])] + [
-        (term, *found.get(name, (None,) * 4)) for name, term in names.items()
+    found = {i: tuple(float(x) for x in e) for i, e in zip([*kept, "intercept"], estimates)}
+    table = [("(Intercept)", *found["intercept"])] + [
+        (term, *found.get(i, (None,) * 4)) for i, term in enumerate(terms)
     ]
     return df.sparkSession.createDataFrame(table, COEFFICIENTS)
 
 
-def _cross_products(design: DataFrame, names: list[str]) -> np.ndarray:
-    """Cross products of the intercept and all terms."""
-    columns = [F.lit(1.0), *[F.col(n) for n in names]]
-    upper = [F.sum(c * d) for i, c in enumerate(columns) for d in columns[i:]]
-    k = len(columns)
-    gram = np.zeros((k, k))
-    gram[np.triu_indices(k)] = design.agg(F.array(*upper).alias("g")).first()["g"]
-    return gram + np.triu(gram, 1).T
-
+def _independent(
+    correlation: np.ndarray, variance: np.ndarray, tolerance: float = 1e-9
+) -> list[int]:
+    """Columns with a part that earlier ones do not explain, by elimination.
 
-def _independent(gram: np.ndarray, names: list[str], tolerance: float = 1e-12) -> list[str]:
-    """Terms left with a part the intercept and earlier terms do not explain."""
-    left = gram.copy()
+    A constant column (whose correlations are NaN) is explained by the intercept.
+    """
+    left = np.nan_to_num(correlation)
     kept = []
     for j in range(len(left)):
-        if left[j, j] <= tolerance * max(gram[j, j], 1.0):
-            continue
-        if j:
-            kept.append(names[j - 1])
-        left = left - np.outer(left[:, j], left[j, :]) / left[j, j]
+        if variance[j] > 0 and left[j, j] > tolerance:
+            kept.append(j)
+            left = left - np.outer(left[:, j], left[j, :]) / left[j, j]
     return kept

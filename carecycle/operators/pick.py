@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carecycle.operators.ranges import running_total
+from carecycle.operators.ranges import number_rows
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -16,8 +18,9 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column | str]) -> Data
     no group of their own and are dropped.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     return (
-        df.dropna(subset=keys)
+        df.filter(known)
         .withColumn("_rank", F.row_number().over(w))
         .filter(F.col("_rank") == 1)
         .drop("_rank")
@@ -45,11 +48,6 @@ def group_size_excess(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def number_rows(df: DataFrame, key: str, out: str = "row_num") -> DataFrame:
-    """Number rows 1..n in the order of a unique numeric key, in parallel."""
-    return running_total(df, key, F.lit(1), out=out)
-
-
 def batches(df: DataFrame, key: str, size: int, out: str = "batch") -> DataFrame:
     """Consecutive batches of exactly ``size`` rows in key order."""
     return number_rows(df, key, "_row").withColumn(

@@ -7,19 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carecycle.operators.ranges import exact_quantiles, moments
+from carecycle.operators.ranges import column_summary
 
 NORMAL_975 = 1.959963984540054
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean as one division: exact sums (integers, decimals) give one result in any order."""
+    return F.sum(value).cast("double") / F.count(value)
+
+
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, sd, median, min, max, rows, sum and missing, one row per column."""
-    medians = exact_quantiles(df, columns, {"median": 0.5})
-    return (
-        moments(df, columns)
-        .select("column", "mean", "sd", "min", "max", "n_rows", "sum", "missing")
-        .join(medians, "column", "left")
-    )
+    return column_summary(df, columns, {"median": 0.5}).drop("n")
 
 
 def proportions(df: DataFrame, columns: dict[str, Column], digits: int = 3) -> DataFrame:

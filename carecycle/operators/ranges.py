@@ -1,102 +1,167 @@
-"""Prefix sums and exact quantiles without sorting everything in one task."""
+"""Row numbers, exact quantiles and column summaries, spread over value ranges."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 512
+BLOCK = 16
+RANGES = BLOCK * BLOCK
 
 
-def running_total(
-    df: DataFrame,
-    order: str,
-    weight: Column,
-    group: str | None = None,
-    out: str = "running",
-    total: str | None = None,
-    buckets: int = BUCKETS,
-) -> DataFrame:
-    """Running sum of ``weight`` in ascending order of the numeric ``order``.
-
-    Rows are cut into ranges of equal row counts by a quantile sketch; sums are
-    formed per range, accumulated over the ranges (at most ``buckets`` rows a
-    group) and added to the running sum inside each range. ``order`` is unique
-    within ``group`` and not NULL. A group is one of few, such as a column name: a
-    group's range edges are ``buckets`` numbers, so the broadcast side below is
-    bounded by the number of groups.
+def _range_edges(order: str) -> Column:
+    """Aggregate: values that cut the rows into ranges of about equal counts."""
+    steps = [i / RANGES for i in range(1, RANGES)]
+    return F.percentile_approx(F.col(order).cast("double"), steps, 20 * RANGES)
+
+
+def _range_of(value: Column) -> Column:
+    """How many edges lie below the value: whole blocks first, then inside one."""
+
+    def below(edges: Column) -> Column:
+        return F.size(F.filter(edges, lambda edge: edge < value))
+
+    blocks = below(F.col("_block_ends"))
+    return blocks * BLOCK + below(F.slice("_edges", blocks * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _place(
+    rows: DataFrame, edges: DataFrame, order: str, weight: str, group: str
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with their range, and per range its sum and that of earlier ranges.
+
+    ``edges`` holds one row per group with its ``_edges``. They only balance the
+    ranges; sums are exact wherever the edges lie. Rows are shuffled by range
+    once, for the sums here and for ordering inside the ranges. Groups are few
+    (columns of a table, or a single one), so the broadcast edges and sums are
+    bounded by ``RANGES`` numbers per group.
     """
-    key = group or "_all"
-    rows = df.withColumn("_weight", weight)
-    if group is None:
-        rows = rows.withColumn("_all", F.lit(0))
-    steps = [i / buckets for i in range(1, buckets)]
-    edges = rows.groupBy(key).agg(
-        F.percentile_approx(F.col(order).cast("double"), steps, 20 * buckets).alias("_edges")
+    ends = F.sequence(F.lit(BLOCK), F.lit(RANGES - 1), F.lit(BLOCK))
+    edges = edges.select(
+        group,
+        "_edges",
+        F.transform(ends, lambda i: F.element_at("_edges", i)).alias("_block_ends"),
+    )
+    placed = (
+        rows.join(F.broadcast(edges), group)
+        .withColumn("_range", _range_of(F.col(order)))
+        .drop("_edges", "_block_ends")
+        .repartition(group, "_range")
+    )
+    earlier = (
+        Window.partitionBy(group)
+        .orderBy("_range")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = rows.join(F.broadcast(edges), key).withColumn(
-        "_range", F.size(F.filter("_edges", lambda e: e < F.col(order)))
-    ).drop("_edges")
-
-    upto = Window.partitionBy(key).orderBy("_range")
-    sums = placed.groupBy(key, "_range").agg(F.sum("_weight").alias("_sum"))
-    offsets = sums.select(
-        key,
-        "_range",
-        F.coalesce(
-            F.sum("_sum").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_offset"),
-        F.sum("_sum").over(Window.partitionBy(key)).alias("_total"),
+    offsets = (
+        placed.groupBy(group, "_range")
+        .agg(F.sum(weight).alias("_sum"))
+        .withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
     )
+    return placed, offsets
+
+
+def _running(order: str, weight: str, group: str) -> Column:
     inside = (
-        Window.partitionBy(key, "_range")
+        Window.partitionBy(group, "_range")
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    result = placed.join(F.broadcast(offsets), [key, "_range"]).withColumn(
-        out, F.col("_offset") + F.sum("_weight").over(inside)
-    )
-    if total:
-        result = result.withColumn(total, F.col("_total"))
-    dropped = ["_range", "_weight", "_offset", "_total"] + ([] if group else ["_all"])
-    return result.drop(*dropped)
+    return F.col("_offset") + F.sum(weight).over(inside)
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per column.
+def number_rows(df: DataFrame, key: str, out: str = "row_num") -> DataFrame:
+    """Number rows 1..n in the order of a unique numeric key, in parallel."""
+    rows = df.withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1))
+    edges = rows.groupBy("_all").agg(_range_edges(key).alias("_edges"))
+    placed, offsets = _place(rows, edges, key, "_one", "_all")
+    joined = placed.join(F.broadcast(offsets), ["_all", "_range"])
+    return joined.withColumn(out, _running(key, "_one", "_all")).drop(
+        "_all", "_one", "_range", "_sum", "_offset"
+    )
 
-    ``probs`` maps output names to probabilities. Values are counted first, so
-    the ordered part works on distinct values, spread over ranges.
-    """
+
+def _value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = F.array(
         *[
             F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
             for c in columns
         ]
     )
-    counted = (
-        df.select(F.inline(pairs))
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("_n"))
+    return df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count("*").alias("_n"))
+
+
+def column_summary(
+    df: DataFrame, columns: list[str], probs: dict[str, float], sd: bool = True
+) -> DataFrame:
+    """Counts, moments and exact quantiles, one row per column.
+
+    ``probs`` maps output names to probabilities; quantiles interpolate
+    linearly between neighbours. Rows are counted per value once (map-side
+    first), everything else is derived from those counts, and only the ranges
+    that hold a wanted rank are put in order.
+    """
+    counted = _value_counts(df, columns)
+    known = F.when(F.col("value").isNotNull(), F.col("_n"))
+    totals = counted.groupBy("column").agg(
+        F.sum("_n").alias("n_rows"),
+        F.coalesce(F.sum(known), F.lit(0)).alias("n"),
+        F.sum(F.col("value") * F.col("_n")).alias("sum"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        _range_edges("value").alias("_edges"),
+    )
+    summary = totals.select(
+        "column",
+        "n_rows",
+        "n",
+        (F.col("n_rows") - F.col("n")).alias("missing"),
+        "sum",
+        (F.col("sum") / F.col("n")).alias("mean"),
+        "min",
+        "max",
+    ).join(_quantiles(counted, totals, probs), "column", "left")
+    if not sd:
+        return summary
+    # Squared distances from the known mean; one row per column is broadcast.
+    means = totals.select("column", "n", (F.col("sum") / F.col("n")).alias("_mean"))
+    spread = F.sum(F.col("_n") * (F.col("value") - F.col("_mean")) ** 2)
+    deviations = (
+        counted.join(F.broadcast(means), "column")
+        .groupBy("column", "n")
+        .agg(spread.alias("_spread"))
+        .select("column", F.sqrt(F.col("_spread") / F.nullif(F.col("n") - 1, F.lit(0))).alias("sd"))
+    )
+    return summary.join(deviations, "column", "left")
+
+
+def _quantiles(counted: DataFrame, totals: DataFrame, probs: dict[str, float]) -> DataFrame:
+    placed, offsets = _place(
+        counted.filter(F.col("value").isNotNull()), totals, "value", "_n", "column"
     )
-    ranked = running_total(
-        counted, "value", F.col("_n"), group="column", out="_upto", total="_rows"
+    position = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    wanted = [f(x) for x in position.values() for f in (F.floor, F.ceil)]
+    hit = reduce(
+        lambda a, b: a | b,
+        [(r >= F.col("_offset")) & (r < F.col("_offset") + F.col("_sum")) for r in wanted],
     )
+    holding = offsets.join(totals.select("column", "n"), "column").filter(hit)
+    rows = placed.join(F.broadcast(holding), ["column", "_range"])
+    rows = rows.withColumn("_upto", _running("value", "_n", "column"))
 
     def at(rank: Column) -> Column:
         return F.min(F.when(F.col("_upto") > rank, F.col("value")))
 
     picks = []
-    for name, p in probs.items():
-        position = (F.col("_rows") - 1) * F.lit(float(p))
+    for name, x in position.items():
         picks += [
-            at(F.floor(position)).alias(f"_{name}_lo"),
-            at(F.ceil(position)).alias(f"_{name}_hi"),
-            F.max(position - F.floor(position)).alias(f"_{name}_w"),
+            at(F.floor(x)).alias(f"_{name}_lo"),
+            at(F.ceil(x)).alias(f"_{name}_hi"),
+            F.max(x - F.floor(x)).alias(f"_{name}_w"),
         ]
-    picked = ranked.groupBy("column").agg(*picks)
-    return picked.select(
+    return rows.groupBy("column").agg(*picks).select(
         "column",
         *[
             (
@@ -108,32 +173,6 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float])
 
 
 def five_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Min, quartiles, mean, max and missing count, one row per column."""
-    quartiles = exact_quantiles(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    return moments(df, columns).select(
-        "column", "n", "missing", "min", "mean", "max"
-    ).join(quartiles, "column", "left")
-
-
-def moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, missing, sum, mean, sd, min and max of each column in one pass."""
-
-    def stats(c: str) -> dict[str, Column]:
-        x = F.col(c).cast("double")
-        return {
-            "n_rows": F.count("*"),
-            "n": F.count(x),
-            "missing": F.count_if(x.isNull()),
-            "sum": F.sum(x),
-            "mean": F.avg(x),
-            "sd": F.stddev_samp(x),
-            "min": F.min(x),
-            "max": F.max(x),
-        }
-
-    flat = df.agg(*[s.alias(f"{c}__{n}") for c in columns for n, s in stats(c).items()])
-    rows = [
-        F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{n}").alias(n) for n in stats(c)])
-        for c in columns
-    ]
-    return flat.select(F.inline(F.array(*rows)))
+    """Count, missing, min, quartiles, mean and max, one row per column."""
+    quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    return column_summary(df, columns, quartiles, sd=False).drop("n_rows", "sum")

@@ -18,7 +18,7 @@ from carecycle.functions.recode import (
 )
 from carecycle.functions.vocab import COMORBIDITIES, ETHNICITY_GROUPS, PAYOR_GROUPS
 from carecycle.operators.pick import first_per
-from carecycle.operators.profile import mean_sd_by
+from carecycle.operators.profile import exact_mean, mean_sd_by
 
 DEMOGRAPHIC_DUMMIES = [
     "admit_age", "male", "female", "married", "black", "white", "asian", "hispanic",
@@ -113,7 +113,7 @@ def first_severity(extract: DataFrame, columns: list[str]) -> DataFrame:
 def severity_by_sequence(extract: DataFrame, score: str) -> DataFrame:
     rows = first_severity(extract, ["hospital_seq", score])
     return rows.groupBy("hospital_seq").agg(
-        F.avg(score).alias("average"), F.stddev_samp(score).alias("sd")
+        exact_mean(F.col(score)).alias("average"), F.stddev_samp(score).alias("sd")
     )
 
 
@@ -205,7 +205,7 @@ def elixhauser(flags: DataFrame) -> DataFrame:
 
 
 def mean_cost_per_admission(costs: DataFrame) -> DataFrame:
-    return costs.groupBy("hadm_id").agg(F.avg("cost_weight").alias("mean_cost_wt"))
+    return costs.groupBy("hadm_id").agg(exact_mean(F.col("cost_weight")).alias("mean_cost_wt"))
 
 
 def treated_share(treatments: dict[str, tuple[DataFrame, str]]) -> DataFrame:

@@ -66,6 +66,15 @@ def _subjects(a: Analogs) -> DataFrame:
     return ex.cohort_subjects(a.stays(), _cohort(a))
 
 
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Hide the last digits, which depend on the order of summation."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _five(df: DataFrame, columns: list[str]) -> DataFrame:
+    return _rounded(ranges.five_numbers(df, columns), "mean", "q1", "median", "q3")
+
+
 # -- cohorts ---------------------------------------------------------------
 
 
@@ -475,7 +484,7 @@ def operators_per_note(a):
 
 @query
 def operators_per_note_summary(a):
-    return ranges.five_numbers(
+    return _five(
         ann.operators_per_note(a.annotations()), ["num_notes", "num_operators"]
     )
 
@@ -601,12 +610,13 @@ def demographic_dummies(a):
 
 @query
 def column_profile(a):
-    return profile.column_profile(_dummies(a), an.DEMOGRAPHIC_DUMMIES)
+    summary = profile.column_profile(_dummies(a), an.DEMOGRAPHIC_DUMMIES)
+    return _rounded(summary, "mean", "sd", "sum", "median")
 
 
 @query
 def age_summary(a):
-    return ranges.five_numbers(_dummies(a), ["admit_age"])
+    return _five(_dummies(a), ["admit_age"])
 
 
 @query
@@ -638,12 +648,12 @@ def _severity_extract(a):
 
 @query
 def sofa_by_sequence(a):
-    return an.severity_by_sequence(_severity_extract(a), "sofa_first")
+    return _rounded(an.severity_by_sequence(_severity_extract(a), "sofa_first"), "sd")
 
 
 @query
 def saps_by_sequence(a):
-    return an.severity_by_sequence(_severity_extract(a), "sapsi_first")
+    return _rounded(an.severity_by_sequence(_severity_extract(a), "sapsi_first"), "sd")
 
 
 @query
@@ -653,7 +663,7 @@ def severity_ci(a):
 
 @query
 def severity_summary(a):
-    return ranges.five_numbers(
+    return _five(
         _stays(a).filter("icustay_seq = 1"), ["sofa_first", "sapsi_first"]
     )
 
@@ -678,12 +688,13 @@ def severity_track_high(a):
 
 @query
 def survival_first(a):
-    return survival.kaplan_meier(an.time_to_death_first(_stays(a)))
+    return _rounded(survival.kaplan_meier(an.time_to_death_first(_stays(a))), "survival")
 
 
 @query
 def survival_by_group(a):
-    return survival.kaplan_meier(an.time_to_death_first(_stays(a)), strata=["gender"])
+    curves = survival.kaplan_meier(an.time_to_death_first(_stays(a)), strata=["gender"])
+    return _rounded(curves, "survival")
 
 
 @query
@@ -693,9 +704,10 @@ def death_at_nth(a):
 
 @query
 def survival_discharge(a):
-    return survival.kaplan_meier(
+    curve = survival.kaplan_meier(
         an.time_to_death_discharge(_stays(a)), positive_only=True
     )
+    return _rounded(curve, "survival")
 
 
 @query
@@ -799,7 +811,7 @@ def drg_per_admission(a):
 
 @query
 def drg_summary(a):
-    return ranges.five_numbers(
+    return _five(
         an.mean_cost_per_admission(co.members(a.cost_events(), _subjects(a))),
         ["mean_cost_wt"],
     )
@@ -813,7 +825,7 @@ def elixhauser_first(a):
     first = an.first_comorbidities(
         co.members(a.admissions(), _cohort(a)), a.comorbidities()
     )
-    return ranges.five_numbers(an.elixhauser(first), ["elixhauser_sum"])
+    return _five(an.elixhauser(first), ["elixhauser_sum"])
 
 
 @query

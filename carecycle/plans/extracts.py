@@ -10,7 +10,7 @@ from carecycle.functions.recode import keep_prefix
 from carecycle.functions.vocab import COMORBIDITIES, NEONATE
 from carecycle.operators.cohort import died_soon_after, members
 from carecycle.operators.pick import group_size_excess
-from carecycle.operators.profile import all_positive, any_flags, counts_where
+from carecycle.operators.profile import all_positive, any_flags, counts_where, exact_mean
 
 
 def not_neonate(stays: DataFrame, pattern: str = NEONATE) -> DataFrame:
@@ -113,7 +113,7 @@ def cost_table(costs: DataFrame, items: DataFrame, subjects: DataFrame) -> DataF
 def cost_summary(costs: DataFrame, items: DataFrame, subjects: DataFrame) -> DataFrame:
     """Events and mean cost per item; items are named after the aggregation."""
     per_item = members(costs, subjects).groupBy("itemid").agg(
-        F.count("*").alias("hadm_count"), F.avg("cost_weight").alias("ave_cost_wt")
+        F.count("*").alias("hadm_count"), exact_mean(F.col("cost_weight")).alias("ave_cost_wt")
     )
     return per_item.join(items, "itemid").orderBy(F.desc("hadm_count"), "itemid")
 

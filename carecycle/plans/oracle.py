@@ -163,7 +163,8 @@ _VIEWS = {
         FROM part""",
     "cost_events": """
         SELECT o_custkey AS subject_id, l_orderkey AS hadm_id, l_partkey AS itemid,
-               CASE WHEN l_discount > 0 THEN l_extendedprice END AS cost_weight
+               CASE WHEN l_discount > 0 THEN CAST(l_extendedprice AS DECIMAL(12, 2)) END
+                 AS cost_weight
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "cost_items": "SELECT p_partkey AS itemid, p_name AS description FROM part",
     "procedures": """
@@ -357,7 +358,7 @@ _VIEWS = {
     "cohort_costs": """
         SELECT * FROM cost_events WHERE subject_id IN (SELECT subject_id FROM subjects)""",
     "admission_costs": """
-        SELECT hadm_id, avg(cost_weight) AS mean_cost_wt FROM cohort_costs GROUP BY 1""",
+        SELECT hadm_id, CAST(sum(cost_weight) AS DOUBLE) / count(cost_weight) AS mean_cost_wt FROM cohort_costs GROUP BY 1""",
     "first_comorbidities": """
         SELECT c.* FROM comorbidities c JOIN (
           SELECT hadm_id, row_number() OVER (PARTITION BY subject_id
@@ -397,7 +398,7 @@ def _kaplan_meier(source: str, strata: str | None = None) -> str:
     part = f"PARTITION BY {strata}" if strata else ""
     return f"""
         SELECT {by}days, CAST(at_risk AS BIGINT) AS at_risk, CAST(d AS BIGINT) AS events,
-               product(1 - d / at_risk) OVER ({part} ORDER BY days) AS survival
+               round(product(1 - d / at_risk) OVER ({part} ORDER BY days), 6) AS survival
         FROM (SELECT *, sum(n) OVER ({part}) - sum(n) OVER ({part} ORDER BY days) + n AS at_risk
               FROM (SELECT {by}days, count(*) AS n, sum(event) AS d
                     FROM {source} GROUP BY {by}days))"""
@@ -407,10 +408,10 @@ def _five_numbers(source: str, columns: list[str]) -> str:
     return " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count({c}) AS n,
                    count(*) - count({c}) AS missing, CAST(min({c}) AS DOUBLE) AS min,
-                   CAST(avg({c}) AS DOUBLE) AS mean, CAST(max({c}) AS DOUBLE) AS max,
-                   quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1,
-                   quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median,
-                   quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3
+                   round(CAST(avg({c}) AS DOUBLE), 6) AS mean, CAST(max({c}) AS DOUBLE) AS max,
+                   round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS q1,
+                   round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS median,
+                   round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS q3
             FROM {source}"""
         for c in columns
     )
@@ -418,11 +419,11 @@ def _five_numbers(source: str, columns: list[str]) -> str:
 
 def _profile(source: str, columns: list[str]) -> str:
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", CAST(avg({c}) AS DOUBLE) AS mean,
-                   CAST(stddev_samp({c}) AS DOUBLE) AS sd, CAST(min({c}) AS DOUBLE) AS min,
+        f"""SELECT '{c}' AS "column", round(CAST(avg({c}) AS DOUBLE), 6) AS mean,
+                   round(stddev_samp({c}), 6) AS sd, CAST(min({c}) AS DOUBLE) AS min,
                    CAST(max({c}) AS DOUBLE) AS max, count(*) AS n_rows,
-                   CAST(sum({c}) AS DOUBLE) AS sum, count(*) - count({c}) AS missing,
-                   quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median
+                   round(CAST(sum({c}) AS DOUBLE), 6) AS sum, count(*) - count({c}) AS missing,
+                   round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS median
             FROM {source}"""
         for c in columns
     )
@@ -481,7 +482,7 @@ _CATEGORIES = {
     "marital_status": "CASE WHEN marital_status = 'WIDOWED' THEN 'SEPARATED' "
     "ELSE marital_status END",
     "ethnicity": "CASE ethnicity WHEN 'AFRICA' THEN 'BLACK' WHEN 'AMERICA' THEN 'HISPANIC' "
-    "WHEN 'EUROPE' THEN 'WHITE' WHEN 'MIDDLE EAST' THEN 'OTHER' ELSE ethnicity END",
+    "WHEN 'ASIA' THEN 'ASIAN' WHEN 'EUROPE' THEN 'WHITE' WHEN 'MIDDLE EAST' THEN 'OTHER' ELSE ethnicity END",
     "payor": "overall_payor_group",
     "religion": "religion",
     "admission_type": "admission_type",
@@ -522,8 +523,8 @@ _QUERIES = {
         SELECT c.*, s.icustay_id, s.hospital_seq, s.subject_icustay_seq, s.icustay_seq,
                s.icustay_admit_age AS admit_age, s.icustay_first_service,
                s.icustay_last_service,
-               round(s.icustay_los / CAST(1440 AS DOUBLE), 2) AS icustay_days,
-               round(s.hospital_los / CAST(1440 AS DOUBLE), 2) AS hospital_days,
+               floor(s.icustay_los * 100 / CAST(1440 AS DOUBLE) + 0.5) / 100 AS icustay_days,
+               floor(s.hospital_los * 100 / CAST(1440 AS DOUBLE) + 0.5) / 100 AS hospital_days,
                s.expire_flg, s.hospital_expire_flg, s.icustay_expire_flg, s.dod,
                s.icustay_intime, s.icustay_outtime
         FROM category c JOIN cohort_stays s ON c.hadm_id = s.hadm_id AND s.icustay_seq = 1""",
@@ -533,7 +534,7 @@ _QUERIES = {
     "drg_table": """
         SELECT c.*, i.description FROM cohort_costs c JOIN cost_items i ON c.itemid = i.itemid""",
     "drg_cost_summary": """
-        SELECT c.itemid, i.description, count(*) AS hadm_count, avg(cost_weight) AS ave_cost_wt
+        SELECT c.itemid, i.description, count(*) AS hadm_count, CAST(sum(cost_weight) AS DOUBLE) / count(cost_weight) AS ave_cost_wt
         FROM cohort_costs c JOIN cost_items i ON c.itemid = i.itemid GROUP BY 1, 2""",
     "icd9_extract": "SELECT * FROM cohort_diagnoses",
     "icd9_frequency": """
@@ -711,10 +712,10 @@ _QUERIES = {
         for name, expr in _CATEGORIES.items()
     ),
     "sofa_by_sequence": """
-        SELECT hospital_seq, avg(sofa_first) AS average, stddev_samp(sofa_first) AS sd
+        SELECT hospital_seq, avg(sofa_first) AS average, round(stddev_samp(sofa_first), 6) AS sd
         FROM severity WHERE sofa_first IS NOT NULL GROUP BY 1""",
     "saps_by_sequence": """
-        SELECT hospital_seq, avg(sapsi_first) AS average, stddev_samp(sapsi_first) AS sd
+        SELECT hospital_seq, avg(sapsi_first) AS average, round(stddev_samp(sapsi_first), 6) AS sd
         FROM severity WHERE sapsi_first IS NOT NULL GROUP BY 1""",
     "severity_ci": """
         SELECT hospital_seq, round(m, 2) AS mean, round(s, 2) AS sd,

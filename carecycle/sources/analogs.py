@@ -206,7 +206,9 @@ class Analogs:
             F.col("o_custkey").alias("subject_id"),
             F.col("l_orderkey").alias("hadm_id"),
             F.col("l_partkey").alias("itemid"),
-            F.when(F.col("l_discount") > 0, F.col("l_extendedprice")).alias("cost_weight"),
+            F.when(F.col("l_discount") > 0, F.col("l_extendedprice").cast("decimal(12,2)")).alias(
+                "cost_weight"
+            ),
         )
 
     def cost_items(self) -> DataFrame:

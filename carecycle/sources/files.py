@@ -54,9 +54,14 @@ def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",") ->
 
 
 def write_batches(df: DataFrame, path: str, batch: str = "batch", header: bool = True) -> str:
-    """One folder of CSV files per batch."""
+    """One folder of CSV files per batch.
+
+    Rows are gathered by batch before they are written, so that a batch is few
+    files; the rebalance hint lets Spark split a batch that is too large.
+    """
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", batch)
+        .write.mode("overwrite")
         .option("header", header)
         .option("escape", '"')
         .partitionBy(batch)
