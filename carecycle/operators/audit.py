@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carecycle.operators.joins import members, non_members
+
 
 def id_completeness(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Rows, NULL ids and distinct ids of one id column per table.
@@ -70,7 +72,7 @@ def uncovered(
     cohort's admissions by admission or by subject and is not neonatal.
     """
     pair = ["hadm_id", "subject_id"]
-    wanted = admissions.select(*pair).join(cohort, "subject_id", "left_semi")
+    wanted = members(admissions.select(*pair), cohort)
     named = stays.select(*pair, age_group)
     newborn = F.lower(F.col(age_group)).like(f"%{neonate}%")
     neonates = named.filter(newborn).select("subject_id")
@@ -78,10 +80,10 @@ def uncovered(
     # Reduce stays to pairs before they meet the cohort: both matches are then
     # joins of unique pairs.
     adult = adult.distinct()
-    by_admission = adult.join(wanted.select("hadm_id"), "hadm_id", "left_semi")
-    by_subject = adult.join(wanted.select("subject_id"), "subject_id", "left_semi")
+    by_admission = members(adult, wanted, "hadm_id")
+    by_subject = members(adult, wanted.select("subject_id").distinct())
     matched = by_admission.select(*pair).union(by_subject.select(*pair)).distinct()
-    candidates = wanted.join(neonates, "subject_id", "left_anti").select(*pair)
+    candidates = non_members(wanted, neonates).select(*pair)
     return candidates.subtract(matched)
 
 

@@ -150,13 +150,3 @@ def died_soon_after(
     if last_hospital_stay_only:
         kept = kept.filter(~F.col("hospital_last_flg").like("%N%"))
     return kept
-
-
-def members(df: DataFrame, cohort: DataFrame, key: str = "subject_id") -> DataFrame:
-    """Rows whose key is in the cohort."""
-    return df.join(cohort.select(key), key, "left_semi")
-
-
-def non_members(df: DataFrame, cohort: DataFrame, key: str = "subject_id") -> DataFrame:
-    """Rows whose (non-null) key is not in the cohort."""
-    return df.join(cohort.select(key), key, "left_anti")

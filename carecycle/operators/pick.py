@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from carecycle.operators.joins import shuffled_apart
 from carecycle.operators.ranges import number_rows
 
 
@@ -33,7 +34,7 @@ def repeats(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     same_key = [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
     return (
         df.alias("r")
-        .join(first.alias("f"), same_key)
+        .join(shuffled_apart(first).alias("f"), same_key)
         .filter(F.col(row_id) > F.col("_first"))
         .select("r.*")
     )

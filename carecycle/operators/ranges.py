@@ -27,40 +27,35 @@ def _range_of(value: Column) -> Column:
     return blocks * BLOCK + below(F.slice("_edges", blocks * BLOCK + 1, F.lit(BLOCK)))
 
 
-def _place(
-    rows: DataFrame, edges: DataFrame, order: str, weight: str, group: str
-) -> tuple[DataFrame, DataFrame]:
-    """Rows with their range, and per range its sum and that of earlier ranges.
+def _place(rows: DataFrame, edges: DataFrame, order: str, group: str) -> DataFrame:
+    """Rows with their range, shuffled by it.
 
     ``edges`` holds one row per group with its ``_edges``. They only balance the
-    ranges; sums are exact wherever the edges lie. Rows are shuffled by range
-    once, for the sums here and for ordering inside the ranges. Groups are few
-    (columns of a table, or a single one), so the broadcast edges and sums are
-    bounded by ``RANGES`` numbers per group.
+    ranges; results are exact wherever the edges lie. Groups are few (columns
+    of a table, or a single one), so the broadcast edges, and later the sums per
+    range, are bounded by ``RANGES`` numbers per group.
     """
     ends = F.sequence(F.lit(BLOCK), F.lit(RANGES - 1), F.lit(BLOCK))
-    edges = edges.select(
-        group,
-        "_edges",
-        F.transform(ends, lambda i: F.element_at("_edges", i)).alias("_block_ends"),
+    edges = edges.withColumn(
+        "_block_ends", F.transform(ends, lambda i: F.element_at("_edges", i))
     )
-    placed = (
+    # A NULL, or a group of NULLs without edges, belongs to the first range.
+    return (
         rows.join(F.broadcast(edges), group)
-        .withColumn("_range", _range_of(F.col(order)))
+        .withColumn("_range", F.coalesce(F.greatest(_range_of(F.col(order)), F.lit(0)), F.lit(0)))
         .drop("_edges", "_block_ends")
         .repartition(group, "_range")
     )
-    earlier = (
+
+
+def _earlier(total: str, group: str) -> Column:
+    """Sum of a per-range total over the group's earlier ranges."""
+    before = (
         Window.partitionBy(group)
         .orderBy("_range")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = (
-        placed.groupBy(group, "_range")
-        .agg(F.sum(weight).alias("_sum"))
-        .withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
-    )
-    return placed, offsets
+    return F.coalesce(F.sum(total).over(before), F.lit(0))
 
 
 def _running(order: str, weight: str, group: str) -> Column:
@@ -76,98 +71,102 @@ def number_rows(df: DataFrame, key: str, out: str = "row_num") -> DataFrame:
     """Number rows 1..n in the order of a unique numeric key, in parallel."""
     rows = df.withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1))
     edges = rows.groupBy("_all").agg(_range_edges(key).alias("_edges"))
-    placed, offsets = _place(rows, edges, key, "_one", "_all")
-    joined = placed.join(F.broadcast(offsets), ["_all", "_range"])
-    return joined.withColumn(out, _running(key, "_one", "_all")).drop(
-        "_all", "_one", "_range", "_sum", "_offset"
+    placed = _place(rows, edges, key, "_all")
+    offsets = (
+        placed.groupBy("_all", "_range")
+        .agg(F.sum("_one").alias("_sum"))
+        .select("_all", "_range", _earlier("_sum", "_all").alias("_offset"))
     )
-
-
-def _value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    pairs = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-            for c in columns
-        ]
+    return (
+        placed.join(F.broadcast(offsets), ["_all", "_range"])
+        .withColumn(out, _running(key, "_one", "_all"))
+        .drop("_all", "_one", "_range", "_offset")
     )
-    return df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count("*").alias("_n"))
 
 
-def column_summary(
-    df: DataFrame, columns: list[str], probs: dict[str, float], sd: bool = True
-) -> DataFrame:
+def column_summary(df: DataFrame, columns: list[str], probs: dict[str, float]) -> DataFrame:
     """Counts, moments and exact quantiles, one row per column.
 
     ``probs`` maps output names to probabilities; quantiles interpolate
     linearly between neighbours. Rows are counted per value once (map-side
-    first), everything else is derived from those counts, and only the ranges
-    that hold a wanted rank are put in order.
+    first) and everything else is derived from those counts: totals per range
+    of values, and the order inside the ranges that hold a wanted rank.
     """
-    counted = _value_counts(df, columns)
-    known = F.when(F.col("value").isNotNull(), F.col("_n"))
-    totals = counted.groupBy("column").agg(
-        F.sum("_n").alias("n_rows"),
-        F.coalesce(F.sum(known), F.lit(0)).alias("n"),
-        F.sum(F.col("value") * F.col("_n")).alias("sum"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    pairs = F.array(
+        *[
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+            for c in columns
+        ]
+    )
+    counted = (
+        df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count("*").alias("_n"))
+    ).withColumn("_known", F.when(F.col("value").isNotNull(), F.col("_n")).otherwise(0))
+    weighted = F.col("value") * F.col("_known")
+    edges = counted.groupBy("column").agg(
         _range_edges("value").alias("_edges"),
+        (F.sum(weighted) / F.nullif(F.sum("_known"), F.lit(0))).alias("_mean"),
     )
-    summary = totals.select(
-        "column",
-        "n_rows",
-        "n",
-        (F.col("n_rows") - F.col("n")).alias("missing"),
-        "sum",
-        (F.col("sum") / F.col("n")).alias("mean"),
-        "min",
-        "max",
-    ).join(_quantiles(counted, totals, probs), "column", "left")
-    if not sd:
-        return summary
-    # Squared distances from the known mean; one row per column is broadcast.
-    means = totals.select("column", "n", (F.col("sum") / F.col("n")).alias("_mean"))
-    spread = F.sum(F.col("_n") * (F.col("value") - F.col("_mean")) ** 2)
-    deviations = (
-        counted.join(F.broadcast(means), "column")
-        .groupBy("column", "n")
-        .agg(spread.alias("_spread"))
-        .select("column", F.sqrt(F.col("_spread") / F.nullif(F.col("n") - 1, F.lit(0))).alias("sd"))
+    placed = _place(counted, edges, "value", "column")
+
+    per_range = placed.groupBy("column", "_range").agg(
+        F.sum("_n").alias("_rows"),
+        F.sum("_known").alias("_sum"),
+        F.sum(weighted).alias("_total"),
+        F.sum(F.col("_known") * (F.col("value") - F.col("_mean")) ** 2).alias("_spread"),
+        F.min("value").alias("_min"),
+        F.max("value").alias("_max"),
     )
-    return summary.join(deviations, "column", "left")
-
-
-def _quantiles(counted: DataFrame, totals: DataFrame, probs: dict[str, float]) -> DataFrame:
-    placed, offsets = _place(
-        counted.filter(F.col("value").isNotNull()), totals, "value", "_n", "column"
+    whole = Window.partitionBy("column")
+    totals = per_range.select(
+        "column",
+        "_range",
+        "_sum",
+        _earlier("_sum", "column").alias("_offset"),
+        F.sum("_rows").over(whole).alias("n_rows"),
+        F.sum("_sum").over(whole).alias("n"),
+        F.sum("_total").over(whole).alias("sum"),
+        F.sum("_spread").over(whole).alias("_spread"),
+        F.min("_min").over(whole).alias("min"),
+        F.max("_max").over(whole).alias("max"),
     )
     position = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in probs.items()}
     wanted = [f(x) for x in position.values() for f in (F.floor, F.ceil)]
-    hit = reduce(
+    holds_rank = reduce(
         lambda a, b: a | b,
         [(r >= F.col("_offset")) & (r < F.col("_offset") + F.col("_sum")) for r in wanted],
     )
-    holding = offsets.join(totals.select("column", "n"), "column").filter(hit)
-    rows = placed.join(F.broadcast(holding), ["column", "_range"])
-    rows = rows.withColumn("_upto", _running("value", "_n", "column"))
+    holding = totals.filter(holds_rank | (F.col("n") == 0))
+    rows = placed.select("column", "value", "_known", "_range").join(
+        F.broadcast(holding), ["column", "_range"]
+    ).withColumn("_upto", _running("value", "_known", "column"))
 
     def at(rank: Column) -> Column:
         return F.min(F.when(F.col("_upto") > rank, F.col("value")))
 
-    picks = []
+    carried = ["n_rows", "n", "sum", "_spread", "min", "max"]
+    picks = [F.first(c).alias(c) for c in carried]
     for name, x in position.items():
         picks += [
             at(F.floor(x)).alias(f"_{name}_lo"),
             at(F.ceil(x)).alias(f"_{name}_hi"),
-            F.max(x - F.floor(x)).alias(f"_{name}_w"),
+            F.first(x - F.floor(x)).alias(f"_{name}_w"),
         ]
+    n = F.col("n")
     return rows.groupBy("column").agg(*picks).select(
         "column",
+        "n_rows",
+        "n",
+        (F.col("n_rows") - n).alias("missing"),
+        "sum",
+        (F.col("sum") / F.nullif(n, F.lit(0))).alias("mean"),
+        F.sqrt(F.when(n > 1, F.col("_spread") / (n - 1))).alias("sd"),
+        "min",
+        "max",
         *[
             (
-                F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_w")
-            ).alias(n)
-            for n in probs
+                F.col(f"_{q}_lo") + (F.col(f"_{q}_hi") - F.col(f"_{q}_lo")) * F.col(f"_{q}_w")
+            ).alias(q)
+            for q in probs
         ],
     )
 
@@ -175,4 +174,4 @@ def _quantiles(counted: DataFrame, totals: DataFrame, probs: dict[str, float]) -
 def five_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, missing, min, quartiles, mean and max, one row per column."""
     quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    return column_summary(df, columns, quartiles, sd=False).drop("n_rows", "sum")
+    return column_summary(df, columns, quartiles).drop("n_rows", "sum", "sd")

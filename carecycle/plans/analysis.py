@@ -17,6 +17,7 @@ from carecycle.functions.recode import (
     sentinel_to_null,
 )
 from carecycle.functions.vocab import COMORBIDITIES, ETHNICITY_GROUPS, PAYOR_GROUPS
+from carecycle.operators.joins import members, shuffled_apart
 from carecycle.operators.pick import first_per
 from carecycle.operators.profile import exact_mean, mean_sd_by
 
@@ -132,7 +133,7 @@ def severity_track(extract: DataFrame, score: str = "sapsi_first") -> DataFrame:
     """
     rows = first_severity(extract, ["subject_id", "hospital_seq", score])
     most = rows.groupBy("subject_id").agg(F.max("hospital_seq").alias("subject_max"))
-    return rows.join(most, "subject_id").withColumn(
+    return rows.join(shuffled_apart(most), "subject_id").withColumn(
         "admission_group", bucket(F.col("subject_max"), ADMISSION_BUCKETS, MOST_ADMISSIONS)
     )
 
@@ -274,8 +275,7 @@ def mortality_table(
     )
     after = days_between(F.col("dod"), F.col("disch_dt"))
     rows = (
-        last.join(deaths, "subject_id")
-        .join(subjects.select("subject_id"), "subject_id", "left_semi")
+        members(last.join(deaths, "subject_id"), subjects)
         .select(
             "died_in_hosp",
             F.when(after <= 30, 1).otherwise(0).alias("died_30"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carecycle.operators.audit import missing_ids
+from carecycle.operators.joins import members
 
 
 def reconcile(
@@ -85,7 +86,7 @@ def unsure_export(
     The tool expects three admission columns; they get distinct names.
     """
     return (
-        reconciled.join(remaining, note, "left_semi")
+        members(reconciled, remaining, note)
         .select("note_subject_id", "hadm_id", "real_time", "text")
         .distinct()
         .select(

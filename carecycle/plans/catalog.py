@@ -21,6 +21,7 @@ from carecycle.functions.vocab import (
 from carecycle.operators import agreement as ag
 from carecycle.operators import audit, durations, model, pick, profile, ranges, sampling, survival
 from carecycle.operators import cohort as co
+from carecycle.operators.joins import members
 from carecycle.plans import analysis as an
 from carecycle.plans import annotations as ann
 from carecycle.plans import extracts as ex
@@ -167,7 +168,7 @@ def drg_cost_summary(a):
 
 @query
 def icd9_extract(a):
-    return co.members(a.diagnoses(), _subjects(a))
+    return members(a.diagnoses(), _subjects(a))
 
 
 @query
@@ -717,7 +718,7 @@ def outpatient_deaths(a):
 
 def _mortality_rows(a):
     first = an.first_comorbidities(
-        co.members(a.admissions(), _cohort(a)), a.comorbidities()
+        members(a.admissions(), _cohort(a)), a.comorbidities()
     )
     died = F.when(F.col("expire_flg") == "Y", 1).otherwise(0).alias("died")
     return first.join(a.patients().select("subject_id", died), "subject_id")
@@ -794,25 +795,25 @@ def below_threshold(a):
 
 @query
 def icd9_tally(a):
-    return ex.code_tally(co.members(a.diagnoses(), _subjects(a)), a.diagnosis_names())
+    return ex.code_tally(members(a.diagnoses(), _subjects(a)), a.diagnosis_names())
 
 
 @query
 def icd9_by_sequence(a):
     return ex.code_by_admission_order(
-        co.members(a.diagnoses(), _subjects(a)), a.stays(), a.diagnosis_names()
+        members(a.diagnoses(), _subjects(a)), a.stays(), a.diagnosis_names()
     )
 
 
 @query
 def drg_per_admission(a):
-    return an.mean_cost_per_admission(co.members(a.cost_events(), _subjects(a)))
+    return an.mean_cost_per_admission(members(a.cost_events(), _subjects(a)))
 
 
 @query
 def drg_summary(a):
     return _five(
-        an.mean_cost_per_admission(co.members(a.cost_events(), _subjects(a))),
+        an.mean_cost_per_admission(members(a.cost_events(), _subjects(a))),
         ["mean_cost_wt"],
     )
 
@@ -823,7 +824,7 @@ def drg_summary(a):
 @query
 def elixhauser_first(a):
     first = an.first_comorbidities(
-        co.members(a.admissions(), _cohort(a)), a.comorbidities()
+        members(a.admissions(), _cohort(a)), a.comorbidities()
     )
     return _five(an.elixhauser(first), ["elixhauser_sum"])
 
@@ -848,7 +849,7 @@ def comorbidity_prevalence(a):
 @query
 def admissions_tally(a):
     return profile.tally(
-        co.members(a.admissions(), _subjects(a)), "subject_id", "hadm_count", "no_patients"
+        members(a.admissions(), _subjects(a)), "subject_id", "hadm_count", "no_patients"
     )
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from carecycle.functions.dates import minutes_to_days
 from carecycle.functions.recode import keep_prefix
 from carecycle.functions.vocab import COMORBIDITIES, NEONATE
-from carecycle.operators.cohort import died_soon_after, members
+from carecycle.operators.cohort import died_soon_after
+from carecycle.operators.joins import members
 from carecycle.operators.pick import group_size_excess
 from carecycle.operators.profile import all_positive, any_flags, counts_where, exact_mean
 

@@ -11,7 +11,8 @@ from carecycle.functions.vocab import (
     NURSING_CATEGORY,
     PHYSICIAN_CATEGORY,
 )
-from carecycle.operators.cohort import members, non_members, of_age
+from carecycle.operators.cohort import of_age
+from carecycle.operators.joins import members, non_members
 from carecycle.operators.pick import first_per
 from carecycle.operators.sampling import sample_ids
 from carecycle.plans.extracts import not_neonate
