@@ -6,6 +6,7 @@ Each function takes the entity views of a folder and returns a lazy DataFrame.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -331,6 +332,20 @@ def blind_shuffle(a):
     )
 
 
+@query
+def combined_notes(a):
+    """Discharge and nursing notes of both cohorts, stacked in reading order."""
+    columns = ["note_id", "subject_id", "hadm_id", "icustay_id", "charttime", "category", "text"]
+    parts = [
+        nt.note_extract(a.notes(), subjects, kind)
+        .select(*columns)
+        .withColumn("cohort", F.lit(label))
+        for subjects, label in ((_cohort(a, MANY_REPEATS), 1), (_negatives(a), 0))
+        for kind in (nt.is_discharge(), nt.is_nursing() & F.col("hadm_id").isNotNull())
+    ]
+    return reduce(DataFrame.unionByName, parts).orderBy("subject_id", "charttime", "note_id")
+
+
 # -- treatments ------------------------------------------------------------
 
 
@@ -453,6 +468,13 @@ def annotator_counts(a):
     return ann.annotator_counts(a.annotations())
 
 
+@query
+def annotation_completeness(a):
+    rows = a.annotations()
+    ids = ["hadm_id", "icu_id", "subject_id", "chart_time"]
+    return audit.id_completeness({f"annotations {c}": (rows, c) for c in ids})
+
+
 @query
 def repeated_annotations(a):
     """Each operator's second and later annotations of a note."""
@@ -805,6 +827,17 @@ def icd9_by_sequence(a):
     )
 
 
+@query
+def icd9_tally_top(a):
+    """The 20 most common primary diagnoses."""
+    return icd9_tally(a).limit(20)
+
+
+@query
+def icd9_by_sequence_top(a):
+    return icd9_by_sequence(a).limit(20)
+
+
 @query
 def drg_per_admission(a):
     return an.mean_cost_per_admission(members(a.cost_events(), _subjects(a)))

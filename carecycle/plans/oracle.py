@@ -604,6 +604,13 @@ _QUERIES = {
               SELECT *, 0 AS cohort FROM notes
               WHERE subject_id IN (SELECT subject_id FROM negatives) AND {_NURSING})
         WHERE hadm_id IS NOT NULL""",
+    "combined_notes": " UNION ALL ".join(
+        f"""SELECT note_id, subject_id, hadm_id, icustay_id, charttime, category, text,
+                   {label} AS cohort
+            FROM notes WHERE subject_id IN (SELECT subject_id FROM {subjects}) AND {kind}"""
+        for subjects, label in (("cohort_many", 1), ("negatives", 0))
+        for kind in (_DISCHARGE, f"{_NURSING} AND hadm_id IS NOT NULL")
+    ),
     "treatment_durations": "SELECT * FROM treatments",
     "treated_share": """
         SELECT treatment, count(*) FILTER (WHERE ever = 1) AS treated, count(*) AS subjects,
@@ -640,6 +647,10 @@ _QUERIES = {
         SELECT operator, count(*) AS annotations, count(DISTINCT icu_id) AS unique_notes,
                count(*) - count(DISTINCT icu_id) AS repeated
         FROM annotations GROUP BY 1""",
+    "annotation_completeness": " UNION ALL ".join(
+        _completeness([(f"annotations {c}", "annotations")], c)
+        for c in ("hadm_id", "icu_id", "subject_id", "chart_time")
+    ),
     "repeated_annotations": """
         SELECT operator, icu_id, annotation_id FROM (
           SELECT *, row_number() OVER (PARTITION BY operator, icu_id
@@ -794,4 +805,11 @@ _QUERIES = {
     "mortality_table_by_id": _mortality("hadm_id"),
 }
 
+_QUERIES["icd9_tally_top"] = (
+    _QUERIES["icd9_tally"] + " ORDER BY primary_dx DESC, description LIMIT 20"
+)
+_QUERIES["icd9_by_sequence_top"] = (
+    _QUERIES["icd9_by_sequence"] + " ORDER BY prim DESC, description LIMIT 20"
+)
+
 ORACLE: dict[str, str] = {name: _sql(body) for name, body in _QUERIES.items()}
