@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carecycle.llm import packing, simhash, suffixes
+from carecycle.llm import language, packing, simhash, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +20,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+    found = suffixes.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
-        "doc_id",
+        "row.doc_id",
         "n_bytes",
         (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
@@ -30,9 +30,18 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_suffix_dedup": op4_suffix_dedup, "op2_packing": op2_packing, "op10_simhash": op10_simhash}
+QUERIES = {
+    "op2_packing": op2_packing,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op9_language": op9_language,
+    "op10_simhash": op10_simhash,
+}
 ORACLE: dict[str, str] = {}

@@ -291,16 +291,17 @@ def _shard_spans(length: int):
     return spans
 
 
-def _keep(length: int):
+def _keep(length: int, as_text: bool):
     """The bytes of a text outside the windows that start in its intervals."""
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, lists = (c.to_pylist() for c in batch.columns)
+            texts, lists = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             kept, spans = [], []
             for text, items in zip(texts, lists):
                 runs, parts, at = [], [], 0
-                for x in sorted(((x["lo"], x["hi"] + length) for x in items or [])):
+                for x in sorted((x["lo"], x["hi"] + length) for x in items or []):
                     if runs and x[0] <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], x[1])
                     else:
@@ -309,12 +310,13 @@ def _keep(length: int):
                     parts.append(text[at:a])
                     at = b
                 parts.append(text[at:])
-                kept.append(b"".join(parts))
+                left = b"".join(parts)
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
                 spans.append([{"start": a, "end": b} for a, b in runs])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(kept, pa.binary()),
-                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                ["doc_id", "n_bytes", "kept", "spans"],
+                [batch.column(0), pa.array(list(map(len, texts)), pa.int64()),
+                 pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(spans, span)],
+                ["row", "n_bytes", "kept", "spans"],
             )
 
     return rows
@@ -322,16 +324,20 @@ def _keep(length: int):
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-    gram: int = GRAM, group_rows: int = GROUP_ROWS, shard_rows: int = SHARD_ROWS,
+    gram: int = GRAM, group_rows: int = GROUP_ROWS, shard_rows: int = SHARD_ROWS, as_text: bool = False,
 ) -> DataFrame:
-    """(doc_id, n_bytes, kept binary, spans array of start and end) of every document.
+    """(row, n_bytes, kept, spans array of start and end) of every document.
+
+    row is a struct of the columns of ``docs`` without the text.
 
     A byte goes if it lies in a string of ``length`` bytes that starts at
     another place too, in this or another document; spans are the maximal runs
     of such bytes and kept is the rest, both in UTF-8 bytes. A null text counts
     as empty; texts shorter than ``length`` are kept whole; repeated rows are
-    documents of their own, so long ones lose all their bytes; a null doc_id
-    stays null; other columns are ignored; an empty table gives no rows.
+    documents of their own, so long ones lose all their bytes; other columns,
+    null ids among them, are passed on; an empty table gives no rows. kept is
+    binary, or with ``as_text`` a string in which the cut characters at the
+    edges of spans are left out.
 
     Every window of ``length`` bytes belongs to the anchor that its content
     selects, and windows of one anchor form an interval. Intervals of equal
@@ -346,10 +352,11 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    source = source.select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("k1"),
-        F.xxhash64("text", F.lit(length), "doc_id").alias("k2"), "text",
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    doc_id = F.col(id_col).cast("long")
+    source = docs.select(
+        row.alias("row"), F.xxhash64(doc_id, text).alias("k1"),
+        F.xxhash64(text, F.lit(length), doc_id).alias("k2"), text.alias("text"),
     )
     found = source.select("k1", "k2", "text").mapInArrow(_anchor_rows(length, gram), _INTERVAL)
     settled, compare = _settle(written(found, "anchors"))
@@ -383,7 +390,9 @@ def remove_repeats(
         compared = compared.union(more)
     per_doc = compared.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     whole = source.join(written(per_doc, "spans"), ["k1", "k2"], "left")
-    return whole.select("doc_id", "text", "spans").mapInArrow(
-        _keep(length),
-        "doc_id long, n_bytes long, kept binary, spans array<struct<start: bigint, end: bigint>>",
+    kind = source.schema["row"].dataType.simpleString()
+    return whole.select("row", "text", "spans").mapInArrow(
+        _keep(length, as_text),
+        f"row {kind}, n_bytes long, kept {'string' if as_text else 'binary'}, "
+        "spans array<struct<start: bigint, end: bigint>>",
     )

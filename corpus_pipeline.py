@@ -1,7 +1,9 @@
 """A training corpus from ``documents``: stages of the operators in ``carecycle.llm``.
 
 Each stage takes (spark, docs, sf_dir) and its result is written as Parquet and
-read again as the next one's ``docs``.
+read again as the next one's ``docs``. All but the last return the columns of
+``documents``. SQL can't express a trained network or a packing, so there is no
+SQL; the tests hold the stages against brute force.
 """
 
 from __future__ import annotations
@@ -9,9 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carecycle.llm import simhash
+from carecycle.llm import language, packing, simhash, suffixes
 from carecycle.llm.storage import written
 
+LEAST_SCORE = 0.35  # mean probability below which the network counts as undecided
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised, with that language where theirs is missing.
+
+    Null texts, texts without a letter and texts on which the network is
+    undecided go.
+    """
+    found = language.label(docs, language.fit(docs))
+    kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    lang = F.coalesce("row.lang", "lang_pred").alias("lang")
+    return kept.select(*[lang if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays, the one with the smallest id.
@@ -19,15 +35,33 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share that id keep one row; rows without an id form no group and stay.
     """
     groups = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.dropDuplicates(["doc_id"]).join(groups, "doc_id", "left_semi")
+    kept = docs.join(written(groups, "groups"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
-STAGES = [("near_dedup", near_dedup)]
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of strings that occur more than once; all documents stay."""
+    found = suffixes.remove_repeats(docs, as_text=True)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids in sequences of at most 4096."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("pack", pack),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
