@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carecycle.llm import language, packing, pages, simhash, suffixes
+from carecycle.llm import language, packing, pages, rans, simhash, suffixes
+from carecycle.llm.storage import folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,13 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "token-files")
+    rans.write(_table(spark, sf_dir, "documents"), path)
+    docs = rans.read(spark, path).select("part", "seq", "at", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return rans.with_starts(docs, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +55,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_html": op5_html,
+    "op7_rans": op7_rans,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
 }
