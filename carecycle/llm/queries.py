@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carecycle.llm import language, packing, pages, rans, simhash, suffixes
+from carecycle.llm import language, minhash, packing, pages, rans, simhash, suffixes
 from carecycle.llm.storage import folder
 
 
@@ -43,6 +43,14 @@ def op7_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.with_starts(docs, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.fingerprints(_table(spark, sf_dir, "documents"))
+    found = found.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    return minhash.with_likeness(found).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +64,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_html": op5_html,
     "op7_rans": op7_rans,
+    "op8_minhash": op8_minhash,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
 }
