@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carecycle.llm import language, minhash, packing, pages, rans, simhash, suffixes
+from carecycle.llm import bpe, language, minhash, packing, pages, rans, simhash, suffixes
 from carecycle.llm.storage import folder
 
 
@@ -20,6 +20,16 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -61,6 +71,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_bpe": op3_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_html": op5_html,
     "op7_rans": op7_rans,
