@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carecycle.llm import bpe, language, minhash, packing, pages, rans, simhash, suffixes
+from carecycle.llm import bpe, embeddings, language, minhash, packing, pages, rans, simhash, suffixes
 from carecycle.llm.storage import folder
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"))
     return pieces.select(
@@ -70,6 +74,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_multi_index": op1_multi_index,
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
