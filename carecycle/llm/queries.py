@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carecycle.llm import bpe, embeddings, language, minhash, packing, pages, rans, simhash, suffixes
+from carecycle.llm import bpe, chat, embeddings, language, minhash, packing, pages, rans, simhash, suffixes
 from carecycle.llm.storage import folder
 
 
@@ -50,6 +50,10 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
 def op7_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "token-files")
     rans.write(_table(spark, sf_dir, "documents"), path)
@@ -79,9 +83,10 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_html": op5_html,
+    "op6_chat": op6_chat,
     "op7_rans": op7_rans,
     "op8_minhash": op8_minhash,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_chat": chat.SQL}
