@@ -279,4 +279,4 @@ def near_duplicates(
     alone = rows.filter("vec IS NULL").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
-    return linking.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return linking.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
