@@ -38,8 +38,9 @@ class Packer:
     A document longer than the window gives whole windows first. What is left
     of it is put where it keeps the sum over fill levels h of N(h)^2 smallest,
     N(h) being the number of windows filled up to h: moving a window from h to
-    h + s changes that sum by 2 (N(h + s) - N(h) + 1), where full and untouched
-    windows don't count. ``levels`` is that array; ``windows`` has the pieces.
+    h + s changes that sum by 2 N(h + s) + 1 - (2 N(h) - 1), where full and
+    untouched windows don't count; of equal levels the fullest is taken.
+    ``levels`` is that array; ``windows`` has the pieces.
 
     When too many windows are open, and at the end, the open ones are emptied
     and their pieces are cut to fill windows to the brim. The rest that can't
@@ -71,10 +72,14 @@ class Packer:
 
     def _place(self, piece: Piece) -> Iterator[Piece]:
         size = len(piece.ids)
-        after = self.levels[size:] - self.levels[: self.window - size + 1]
-        allowed = self.levels[: self.window - size + 1] > 0
-        allowed[0] = True  # an untouched window
-        level = int(np.where(allowed, after, np.iinfo(np.int64).max).argmin())
+        at = self.levels[: self.window - size + 1]
+        cost = 2 * (self.levels[size:] - at) + 2
+        cost[0] -= 1  # an untouched window leaves no level
+        cost[-1] -= 1  # a full one enters none
+        allowed = at > 0
+        allowed[0] = True
+        cost[~allowed] = np.iinfo(np.int64).max
+        level = len(cost) - 1 - int(cost[::-1].argmin())
         if level:
             held = self.windows[level].pop()
             self.levels[level] -= 1
