@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+INTERCEPT = "(Intercept)"
 COEFFICIENTS = "term string, estimate double, std_error double, t_value double, p_value double"
+SUMMARY = (
+    "n long, parameters long, df_residual long, dispersion double, deviance double, "
+    "null_deviance double, aic double"
+)
 
 
 def main_effects(flags: list[str]) -> dict[str, list[str]]:
@@ -33,9 +38,37 @@ def linear_model(df: DataFrame, response: str, terms: dict[str, list[str]]) -> D
 
     A term is a product of columns. Terms that are constant or linear
     combinations of earlier ones are left out of the fit and listed with NULLs.
-    Rows with a NULL are left out. Only matrices of the size of the model reach
-    the driver.
+    Rows with a NULL are left out. With as many parameters as rows the
+    estimates have no errors (NULL); if no term is left, the intercept is the
+    mean; without a row every number is NULL. Only matrices of the size of the
+    model reach the driver.
     """
+    return _table(df, _fit(df, response, terms), list(terms))
+
+
+def _table(df: DataFrame, found: dict, terms: list[str]) -> DataFrame:
+    rows = [(t, *found.get(t, (None,) * 4)) for t in [INTERCEPT, *terms]]
+    return df.sparkSession.createDataFrame(rows, COEFFICIENTS)
+
+
+def model_summary(df: DataFrame, response: str, terms: dict[str, list[str]]) -> DataFrame:
+    """One row on the fit: rows, parameters, residual degrees of freedom, dispersion, deviances, AIC.
+
+    Dispersion is NULL without degrees of freedom, AIC without a residual.
+    """
+    found = _fit(df, response, terms)
+    n, deviance, null_deviance = found["size"]
+    used = sum(e[0] is not None for e in (found.get(t, (None,)) for t in [INTERCEPT, *terms]))
+    free = n - used
+    aic = None
+    if n and deviance > 0:
+        aic = n * (math.log(2 * math.pi * deviance / n) + 1) + 2 * (used + 1)
+    row = (n, used, free, deviance / free if free > 0 else None, deviance, null_deviance, aic)
+    return df.sparkSession.createDataFrame([row], SUMMARY)
+
+
+def _fit(df: DataFrame, response: str, terms: dict[str, list[str]]) -> dict:
+    """(estimate, error, t, p) by term, and under "size" the rows and both deviances."""
     columns = []
     for i, factors in enumerate(terms.values()):
         product = F.lit(1.0)
@@ -44,32 +77,74 @@ def linear_model(df: DataFrame, response: str, terms: dict[str, list[str]]) -> D
         columns.append(product.alias(f"_t{i}"))
     names = [f"_t{i}" for i in range(len(terms))]
     rows = df.select(F.col(response).cast("double").alias("_y"), *columns).dropna()
-    design = VectorAssembler(inputCols=names, outputCol="_all").transform(rows).select("_y", "_all")
+    design = VectorAssembler(inputCols=[*names, "_y"], outputCol="_all").transform(rows).select("_all")
     design.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        correlation = Correlation.corr(design, "_all").first()[0].toArray()
-        variance = design.agg(Summarizer.variance(F.col("_all"))).first()[0].toArray()
-        kept = _independent(correlation, variance)
-        fit = GeneralizedLinearRegression(
-            family="gaussian", featuresCol="_x", labelCol="_y", predictionCol="_fit"
-        ).fit(VectorSlicer(inputCol="_all", outputCol="_x", indices=kept).transform(design))
-        summary = fit.summary
-        # The summary lists the intercept last.
-        estimates = list(
-            zip(
-                [*fit.coefficients, fit.intercept],
-                summary.coefficientStandardErrors,
-                summary.tValues,
-                summary.pValues,
-            )
-        )
+        n = design.count()
+        if not n:
+            return {"size": (0, 0.0, 0.0)}
+        moments = design.agg(
+            Summarizer.metrics("mean", "variance").summary(F.col("_all")).alias("m")
+        ).first()["m"]
+        mean = moments["mean"].toArray()
+        spread = np.sqrt(np.maximum(moments["variance"].toArray(), 0))
+        correlation = np.nan_to_num(Correlation.corr(design, "_all").first()[0].toArray())
     finally:
         design.unpersist()
-    found = {i: tuple(float(x) for x in e) for i, e in zip([*kept, "intercept"], estimates)}
-    table = [("(Intercept)", *found["intercept"])] + [
-        (term, *found.get(i, (None,) * 4)) for i, term in enumerate(terms)
-    ]
-    return df.sparkSession.createDataFrame(table, COEFFICIENTS)
+    y = len(terms)
+    kept = _independent(correlation[:y, :y], spread[:y] ** 2)
+    centred = (n - 1) * correlation * np.outer(spread, spread)
+    inverse = np.linalg.inv(centred[np.ix_(kept, kept)]) if kept else np.zeros((0, 0))
+    slope = inverse @ centred[kept, y]
+    null_deviance = float(spread[y] ** 2 * (n - 1))
+    deviance = max(0.0, null_deviance - float(slope @ centred[kept, y]))
+    free = n - len(kept) - 1
+    estimates = [mean[y] - mean[kept] @ slope, *slope]
+    leverage = [1 / n + mean[kept] @ inverse @ mean[kept], *np.diag(inverse)]
+    found: dict = {"size": (n, deviance, null_deviance)}
+    labels = [INTERCEPT, *(list(terms)[k] for k in kept)]
+    for label, estimate, lever in zip(labels, estimates, leverage):
+        error = t = p = None
+        if free > 0:
+            error = math.sqrt(deviance / free * max(0.0, float(lever)))
+            if error > 0:
+                t = float(estimate) / error
+                p = t_tail(abs(t), free)
+        found[label] = (float(estimate), error, t, p)
+    return found
+
+
+def t_tail(t: float, free: int) -> float:
+    """Probability that Student's t with ``free`` degrees of freedom lies beyond t on either side.
+
+    That is the regularised incomplete beta function at free / (free + t^2),
+    summed as its continued fraction by the modified method of Lentz.
+    """
+    x = free / (free + t * t)
+    a, b = free / 2, 0.5
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    swap = x > (a + 1) / (a + b + 2)
+    if swap:
+        a, b, x = b, a, 1 - x
+    front = math.exp(
+        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    ) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    total = d
+    for m in range(1, 400):
+        for step in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+        ):
+            d = 1 / ((1 + step * d) or tiny)
+            c = (1 + step / c) or tiny
+            total *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    value = front * total
+    return min(1.0, max(0.0, 1 - value if swap else value))
 
 
 def _independent(
@@ -77,9 +152,9 @@ def _independent(
 ) -> list[int]:
     """Columns with a part that earlier ones do not explain, by elimination.
 
-    A constant column (whose correlations are NaN) is explained by the intercept.
+    A constant column is explained by the intercept.
     """
-    left = np.nan_to_num(correlation)
+    left = correlation.copy()
     kept = []
     for j in range(len(left)):
         if variance[j] > 0 and left[j, j] > tolerance:

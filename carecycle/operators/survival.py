@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+Z95 = 1.959963984540054
+
 
 def kaplan_meier(
     df: DataFrame,
@@ -18,7 +20,9 @@ def kaplan_meier(
 
     Missing days are censored at the largest observed day of all strata
     (``impute="max"``) or dropped (``None``). ``positive_only`` then drops days
-    up to 0. Subjects are counted per day first; the ordered part sees one row
+    up to 0. ``days`` are whole days. The standard error is Greenwood's, the 95 %
+    limits are taken on the logarithm of survival and capped at 1; all three are
+    NULL once survival is 0. Subjects are counted per day first; the ordered part sees one row
     per day of the calendar, whatever the number of subjects.
     """
     by = list(strata or [])
@@ -37,11 +41,24 @@ def kaplan_meier(
     along = whole.orderBy("days")
     upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at_risk = F.sum("_n").over(whole) - F.sum("_n").over(upto) + F.col("_n")
-    curve = steps.withColumn("at_risk", at_risk)
+    d, n = F.col("events"), F.col("at_risk")
+    curve = steps.withColumn("at_risk", at_risk).select(
+        *by,
+        "days",
+        "at_risk",
+        "events",
+        F.product(1 - d / n).over(upto).alias("survival"),
+        F.sqrt(F.sum(F.when(n > d, d / (n * (n - d)))).over(upto)).alias("_e"),
+    )
+    alive = F.col("survival") > 0
+    spread = Z95 * F.col("_e")
     return curve.select(
         *by,
         "days",
         "at_risk",
         "events",
-        F.product(1 - F.col("events") / F.col("at_risk")).over(upto).alias("survival"),
+        "survival",
+        F.when(alive, F.col("survival") * F.col("_e")).alias("std_error"),
+        F.when(alive, F.exp(F.log("survival") - spread)).alias("lower"),
+        F.when(alive, F.least(F.exp(F.log("survival") + spread), F.lit(1.0))).alias("upper"),
     )

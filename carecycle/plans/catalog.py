@@ -27,10 +27,10 @@ from carecycle.plans import analysis as an
 from carecycle.plans import annotations as ann
 from carecycle.plans import extracts as ex
 from carecycle.plans import notes as nt
-from carecycle.session import shared_dir
+from carecycle.session import files_dir
 from carecycle.sources import files
 from carecycle.sources.analogs import Analogs
-from carecycle.sources.tables import replace_table
+from carecycle.sources.tables import own_name, replace_table
 
 Query = Callable[[Analogs], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,7 +111,7 @@ def repeat_cohort_adult(a):
 @query
 def cohort_table(a):
     """The cohort written as a table and read back."""
-    return replace_table(_cohort(a), shared_dir(a.spark, "cohort"))
+    return replace_table(_cohort(a), own_name(a.spark, "carecycle_cohort"))
 
 
 @query
@@ -235,7 +235,9 @@ def eol_costs(a):
 
 @query
 def eol_notes(a):
-    return ex.cohort_rows(a.notes(), co.died_soon_after(a.stays()), "icustay_id")
+    """Notes by stay: the narrow links are matched before any text is read."""
+    links = ex.cohort_rows(a.note_stays(), co.died_soon_after(a.stays()), "icustay_id")
+    return links.join(a.notes().drop("icustay_id"), "note_id")
 
 
 @query
@@ -411,8 +413,7 @@ def _results_on_disk(a, folder):
         *ANNOTATION_FEATURES,
         F.concat("operator", F.upper("batch_id"), F.lit("Results")).alias("source"),
     )
-    path = shared_dir(a.spark, folder)
-    return files.write_batches(rows, path, "source")
+    return files.write_batches(rows, files_dir(a.spark, folder), "source")
 
 
 def _notes_on_disk(a, folder):
@@ -431,7 +432,7 @@ def _notes_on_disk(a, folder):
         names = [c.split()[0] for c in schema.split(", ")]
         path = files.write_batches(
             wide.filter(F.col("cohort") == cohort).select(*names, "source"),
-            shared_dir(a.spark, folder), "source",
+            files_dir(a.spark, f"{folder}/{cohort}"), "source",
         )
         paths[schema] = [path]
     return paths
@@ -594,7 +595,7 @@ def stays_union(a):
     indexed = stays.select(F.col("icustay_id").alias("index"), "*")
     paths = [
         files.write_csv(
-            indexed.filter(condition), shared_dir(a.spark, f"{name}_hadm"), header=False
+            indexed.filter(condition), files_dir(a.spark, f"{name}_hadm"), header=False
         )
         for name, condition in groups.items()
     ]
@@ -709,15 +710,19 @@ def severity_track_high(a):
 # -- survival and models ---------------------------------------------------
 
 
+def _curve(df: DataFrame) -> DataFrame:
+    return _rounded(df, "survival", "std_error", "lower", "upper")
+
+
 @query
 def survival_first(a):
-    return _rounded(survival.kaplan_meier(an.time_to_death_first(_stays(a))), "survival")
+    return _curve(survival.kaplan_meier(an.time_to_death_first(_stays(a))))
 
 
 @query
 def survival_by_group(a):
     curves = survival.kaplan_meier(an.time_to_death_first(_stays(a)), strata=["gender"])
-    return _rounded(curves, "survival")
+    return _curve(curves)
 
 
 @query
@@ -730,7 +735,7 @@ def survival_discharge(a):
     curve = survival.kaplan_meier(
         an.time_to_death_discharge(_stays(a)), positive_only=True
     )
-    return _rounded(curve, "survival")
+    return _curve(curve)
 
 
 @query
@@ -746,20 +751,51 @@ def _mortality_rows(a):
     return first.join(a.patients().select("subject_id", died), "subject_id")
 
 
+def _coefficients(table: DataFrame) -> DataFrame:
+    return _rounded(table, "estimate", "std_error", "t_value").drop("p_value")
+
+
 @query
 def mortality_model(a):
-    return model.linear_model(
-        _mortality_rows(a), "died", model.main_effects(sorted(COMORBIDITIES))
+    return _coefficients(
+        model.linear_model(
+            _mortality_rows(a), "died", model.main_effects(sorted(COMORBIDITIES))
+        )
     )
 
 
 @query
 def mortality_interactions(a):
-    return model.linear_model(
-        _mortality_rows(a), "died", model.full_interactions(INTERACTION_FLAGS)
+    return _coefficients(
+        model.linear_model(
+            _mortality_rows(a), "died", model.full_interactions(INTERACTION_FLAGS)
+        )
     )
 
 
+@query
+def mortality_summary(a):
+    """Degrees of freedom, dispersion, deviances and AIC of the main-effects model."""
+    found = model.model_summary(
+        _mortality_rows(a), "died", model.main_effects(sorted(COMORBIDITIES))
+    )
+    return _rounded(found, "dispersion", "deviance", "null_deviance", "aic")
+
+
+@query
+def mortality_interactions_fitted(a):
+    """Fitted values of the interaction model by flag pattern; saturated, so they are means."""
+    rows = _mortality_rows(a)
+    terms = model.full_interactions(INTERACTION_FLAGS)
+    found = {r.term: r.estimate for r in model.linear_model(rows, "died", terms).collect()}
+    fitted = F.lit(found[model.INTERCEPT])
+    for term, factors in terms.items():
+        if found[term] is not None:
+            fitted = fitted + found[term] * reduce(lambda x, y: x * y, map(F.col, factors))
+    cells = rows.groupBy(*INTERACTION_FLAGS).agg(F.count("*").alias("n"))
+    return _rounded(cells.withColumn("fitted", fitted), "fitted")
+
+
 # -- completeness ----------------------------------------------------------
 
 

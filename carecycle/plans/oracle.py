@@ -7,11 +7,13 @@ relations are common table expressions; ``_sql`` puts the needed ones in front.
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 from carecycle.functions.vocab import (
     ANNOTATION_FEATURES,
     ANNOTATION_IDS,
     COMORBIDITIES,
+    INTERACTION_FLAGS,
 )
 
 _FLAG_CONDITIONS = [f"p_brand = 'Brand#{i}'" for i in range(1, 26)] + [
@@ -191,6 +193,9 @@ _VIEWS = {
                     WHEN lang <> 'es' THEN 'Note' END AS title,
                text
         FROM documents""",
+    "note_stays": """
+        SELECT doc_id AS note_id, (doc_id * 15 + k) * 8 + line AS icustay_id
+        FROM documents, range(15) a(k), range(1, 8) b(line)""",
     "annotations": f"""
         SELECT l_suppkey AS subject_id, l_orderkey AS hadm_id, l_orderkey * 2 AS icu_id,
                'dis' AS note_type, strftime(l_shipdate, '%Y-%m-%d') AS chart_time,
@@ -255,6 +260,9 @@ _VIEWS = {
         SELECT subject_id, {_ANY} FROM (
           SELECT DISTINCT * FROM comorbidities
           WHERE subject_id IN (SELECT subject_id FROM subjects)) GROUP BY subject_id""",
+    "mortality_rows": """
+        SELECT f.*, CAST(p.expire_flg = 'Y' AS INTEGER) AS died
+        FROM first_comorbidities f JOIN patients p ON f.subject_id = p.subject_id""",
     "eol": """
         SELECT * FROM stays WHERE expire_flg LIKE '%Y%'
           AND dod BETWEEN icustay_intime AND CAST(icustay_intime AS DATE) + 30""",
@@ -398,10 +406,91 @@ def _kaplan_meier(source: str, strata: str | None = None) -> str:
     part = f"PARTITION BY {strata}" if strata else ""
     return f"""
         SELECT {by}days, CAST(at_risk AS BIGINT) AS at_risk, CAST(d AS BIGINT) AS events,
-               round(product(1 - d / at_risk) OVER ({part} ORDER BY days), 6) AS survival
+               round(s, 6) AS survival,
+               CASE WHEN s > 0 THEN round(s * sqrt(v), 6) END AS std_error,
+               CASE WHEN s > 0 THEN round(exp(ln(s) - 1.959963984540054 * sqrt(v)), 6) END AS lower,
+               CASE WHEN s > 0 THEN round(least(exp(ln(s) + 1.959963984540054 * sqrt(v)), 1), 6) END
+                 AS upper
+        FROM (SELECT *, product(1 - d / at_risk) OVER ({part} ORDER BY days) AS s,
+                     sum(CASE WHEN at_risk > d THEN d / (at_risk * (at_risk - d)) END)
+                       OVER ({part} ORDER BY days) AS v
         FROM (SELECT *, sum(n) OVER ({part}) - sum(n) OVER ({part} ORDER BY days) + n AS at_risk
-              FROM (SELECT {by}days, count(*) AS n, sum(event) AS d
-                    FROM {source} GROUP BY {by}days))"""
+              FROM (SELECT {by}days, CAST(count(*) AS DOUBLE) AS n, CAST(sum(event) AS DOUBLE) AS d
+                    FROM {source} GROUP BY {by}days)))"""
+
+
+def _swept(terms: dict[str, list[str]]) -> str:
+    """Relations that sweep the moment matrix of (1, terms, died) one term after the other.
+
+    A term is skipped when the earlier ones leave at most 1e-9 of its centred
+    square sum. ``swept`` has the last matrix and the terms in it.
+    """
+    k = len(terms)
+    z = ", ".join(["1.0::DOUBLE", *(" * ".join(f) + "::DOUBLE" if len(f) == 1
+                                    else "(" + " * ".join(f) + ")::DOUBLE" for f in terms.values()),
+                   "died::DOUBLE"])
+    return f"""
+        z AS (SELECT [{z}] AS z FROM mortality_rows),
+        cells AS (
+          SELECT i, j, sum(z[i] * z[j]) AS v
+          FROM z, range(1, {k + 3}) a(i), range(1, {k + 3}) b(j) GROUP BY i, j),
+        lines AS (SELECT i, list(v ORDER BY j) AS line FROM cells GROUP BY i),
+        start AS (
+          SELECT list(line ORDER BY i) AS m, count(*) AS c FROM lines),
+        size AS (SELECT count(*) AS n FROM z),
+        sweep AS (
+          SELECT 0 AS step, m, [0.0::DOUBLE] AS total, [0] AS used FROM start
+          UNION ALL
+          SELECT step + 1,
+                 CASE WHEN ok THEN
+                   list_transform(m, lambda r, i:
+                     CASE WHEN i = p
+                       THEN list_transform(r, lambda x, j: CASE WHEN j = p THEN -1 / d ELSE x / d END)
+                       ELSE list_transform(r, lambda x, j:
+                         CASE WHEN j = p THEN x / d ELSE x - r[p] * top[j] / d END) END)
+                   ELSE m END,
+                 CASE WHEN step = 0
+                   THEN list_transform(m, lambda r, i: r[i] - r[1] * r[1] / m[1][1]) ELSE total END,
+                 CASE WHEN ok THEN list_append(used, p) ELSE used END
+          FROM (SELECT *, step + 1 AS p, m[step + 1] AS top, m[step + 1][step + 1] AS d,
+                       step = 0 OR total[step + 1] > 1e-12
+                         AND m[step + 1][step + 1] > 1e-9 * total[step + 1] AS ok
+                FROM sweep WHERE step < {k + 1})),
+        swept AS (SELECT * FROM sweep WHERE step = {k + 1})"""
+
+
+def _model(terms: dict[str, list[str]]) -> str:
+    k = len(terms)
+    names = ", ".join(f"'{t}'" for t in ["(Intercept)", *terms])
+    return f"""
+        SELECT * FROM (WITH RECURSIVE {_swept(terms)},
+        found AS (
+          SELECT p, [{names}][p] AS term, list_contains(used, p) AS known, m[p][{k + 2}] AS b,
+                 sqrt(-m[p][p] * m[{k + 2}][{k + 2}] / (n - len(used) + 1)) AS e
+          FROM swept, size, range(1, {k + 2}) r(p))
+        SELECT term, CASE WHEN known THEN round(b, 6) END AS estimate,
+               CASE WHEN known THEN round(e, 6) END AS std_error,
+               CASE WHEN known THEN round(b / e, 6) END AS t_value
+        FROM found)"""
+
+
+def _model_summary(terms: dict[str, list[str]]) -> str:
+    y = len(terms) + 2
+    return f"""
+        SELECT * FROM (WITH RECURSIVE {_swept(terms)},
+        fit AS (SELECT n, len(used) - 1 AS p, m[{y}][{y}] AS rss, total[{y}] AS tss FROM swept, size)
+        SELECT n, p AS parameters, n - p AS df_residual, round(rss / (n - p), 6) AS dispersion,
+               round(rss, 6) AS deviance, round(tss, 6) AS null_deviance,
+               round(n * (ln(2 * pi() * rss / n) + 1) + 2 * (p + 1), 6) AS aic
+        FROM fit)"""
+
+
+_MAIN = {f: [f] for f in sorted(COMORBIDITIES)}
+_PRODUCTS = {
+    ":".join(c): list(c)
+    for size in range(1, len(INTERACTION_FLAGS) + 1)
+    for c in combinations(INTERACTION_FLAGS, size)
+}
 
 
 def _five_numbers(source: str, columns: list[str]) -> str:
@@ -561,7 +650,10 @@ _QUERIES = {
     "eol_costs": """
         SELECT p.*, i.description FROM cost_events p LEFT JOIN cost_items i ON p.itemid = i.itemid
         WHERE p.subject_id IN (SELECT subject_id FROM eol)""",
-    "eol_notes": _members("notes", "eol", "icustay_id"),
+    "eol_notes": """
+        SELECT n.* REPLACE (s.icustay_id AS icustay_id)
+        FROM note_stays s JOIN notes n ON s.note_id = n.note_id
+        WHERE s.icustay_id IN (SELECT icustay_id FROM eol)""",
     "eol_admissions": _members("admissions", "eol"),
     "coverage_audit": """
         SELECT DISTINCT hadm_id, subject_id FROM admissions
@@ -801,6 +893,12 @@ _QUERIES = {
     "stays_tally": """
         SELECT icu_count, count(*) AS no_patients FROM (
           SELECT subject_id, count(*) AS icu_count FROM cohort_stays GROUP BY 1) GROUP BY 1""",
+    "mortality_model": _model(_MAIN),
+    "mortality_interactions": _model(_PRODUCTS),
+    "mortality_summary": _model_summary(_MAIN),
+    "mortality_interactions_fitted": f"""
+        SELECT {', '.join(INTERACTION_FLAGS)}, count(*) AS n, round(avg(died), 6) AS fitted
+        FROM mortality_rows GROUP BY ALL""",
     "mortality_table": _mortality("admit_dt"),
     "mortality_table_by_id": _mortality("hadm_id"),
 }

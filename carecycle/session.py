@@ -1,11 +1,7 @@
-"""Session settings the plans rely on, and the shared working folder."""
+"""Session settings the plans rely on, and the folder for files they write."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
-
 from pyspark.sql import SparkSession
 
 # Subjects, admissions and items can be hot (one may hold a third of all rows).
@@ -19,26 +15,24 @@ ADAPTIVE = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    for key, value in ADAPTIVE.items():
-        spark.conf.set(key, value)
-    return spark
+_CONFIGURED: set[str] = set()
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="carecycle-")
+def configure(spark: SparkSession) -> SparkSession:
+    """Sets what the plans rely on, once for each application; later changes are the caller's."""
+    application = spark.sparkContext.applicationId
+    if application not in _CONFIGURED:
+        for key, value in ADAPTIVE.items():
+            spark.conf.set(key, value)
+        _CONFIGURED.add(application)
+    return spark
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path for files that executors write and read back.
+def files_dir(spark: SparkSession, name: str) -> str:
+    """The path of ``name`` in this application's folder below the session's warehouse.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only a local
-    master may fall back to a folder of this machine.
+    The warehouse is shared by driver and executors. Writers replace what an
+    earlier call of the same application left there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = _local_folder()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return f"{warehouse}/carecycle_files/{spark.sparkContext.applicationId}/{name}"

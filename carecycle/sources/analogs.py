@@ -278,6 +278,13 @@ class Analogs:
             "text",
         )
 
+    def note_stays(self) -> DataFrame:
+        """Every document as a note on the stays of fifteen orders."""
+        order = F.explode(F.sequence(F.col("doc_id") * 15, F.col("doc_id") * 15 + 14))
+        links = self.table("documents").select(F.col("doc_id").alias("note_id"), order.alias("key"))
+        lines = F.explode(F.sequence(F.lit(1), F.lit(7)))
+        return links.select("note_id", (F.col("key") * 8 + lines).alias("icustay_id"))
+
     def annotations(self) -> DataFrame:
         """Result rows of six operators over seven batches; notes are orders."""
         ids = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]

@@ -11,11 +11,18 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def replace_table(df: DataFrame, path: str) -> DataFrame:
-    """Write a query's result, replacing an older one, and read it back.
+def replace_table(df: DataFrame, name: str) -> DataFrame:
+    """Write a query's result as a catalog table, dropping an older one, and read it.
 
     Use it for a cohort that several extracts share: it is computed once and
     survives the loss of the executors that computed it.
     """
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    df.write.saveAsTable(name)
+    return spark.table(name)
+
+
+def own_name(spark: SparkSession, name: str) -> str:
+    """A table name that other applications on the same warehouse do not use."""
+    return f"{name}_{spark.sparkContext.applicationId}".replace("-", "_")

@@ -7,7 +7,8 @@ from carecycle.functions.vocab import ANNOTATION_FEATURES, ANNOTATION_IDS, STAY_
 from carecycle.operators.pick import batches
 from carecycle.plans.annotations import pending_notes, reconcile, unsure_export, unsure_remaining
 from carecycle.sources import files, schemas
-from carecycle.sources.tables import replace_table
+from carecycle.session import files_dir
+from carecycle.sources.tables import own_name, replace_table
 
 
 def write(path, rows, header=None, sep=","):
@@ -109,7 +110,16 @@ def test_batch_files_round_trip(spark, tmp_path):
     assert sizes == {1: 30, 2: 30, 3: 5}
 
 
-def test_replace_table(spark, tmp_path):
-    path = str(tmp_path / "t")
-    assert replace_table(spark.range(5), path).count() == 5
-    assert replace_table(spark.range(2), path).count() == 2
+def test_replace_table(spark):
+    name = own_name(spark, "numbers")
+    assert replace_table(spark.range(5), name).count() == 5
+    assert sorted(r.id for r in replace_table(spark.range(2), name).collect()) == [0, 1]
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_files_are_replaced(spark):
+    path = files_dir(spark, "numbers")
+    assert path.startswith(spark.conf.get("spark.sql.warehouse.dir")) and path == files_dir(spark, "numbers")
+    for n in (5, 2):
+        files.write_csv(spark.range(n), path)
+    assert files.read_csv(spark, path, "id long").count() == 2

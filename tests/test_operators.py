@@ -161,8 +161,14 @@ def test_dummies_keep_missing_visible(spark):
 
 def test_kaplan_meier(spark):
     df = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0)], "days int, event int")
-    got = [tuple(r) for r in survival.kaplan_meier(df).orderBy("days").collect()]
-    assert got == [(1, 4, 1, 0.75), (2, 3, 1, 0.5), (3, 1, 0, 0.5)]
+    rows = survival.kaplan_meier(df).orderBy("days").collect()
+    assert [tuple(r)[:4] for r in rows] == [(1, 4, 1, 0.75), (2, 3, 1, 0.5), (3, 1, 0, 0.5)]
+    errors = [0.75 * math.sqrt(1 / 12), 0.25, 0.25]
+    np.testing.assert_allclose([r.std_error for r in rows], errors)
+    np.testing.assert_allclose([r.lower for r in rows[1:]], [0.5 * math.exp(-1.959963984540054 * 0.5)] * 2)
+    assert rows[0].upper == 1.0
+    gone = survival.kaplan_meier(df.filter("days = 1")).first()
+    assert (gone.survival, gone.std_error, gone.lower, gone.upper) == (0, None, None, None)
 
 
 def test_kaplan_meier_censoring(spark):
@@ -219,6 +225,30 @@ def test_linear_model_against_normal_equations(spark):
     assert all(0 <= r.p_value <= 1 for r in got)
 
 
+def test_linear_model_without_errors_terms_or_rows(spark):
+    """As many rows as parameters; constant terms alone; no row at all."""
+    df = spark.createDataFrame([(0, 1.0), (1, 3.0)], "x int, y double")
+    got = model.linear_model(df, "y", {"x": ["x"]}).collect()
+    assert [(r.term, round(r.estimate, 9)) for r in got] == [("(Intercept)", 1), ("x", 2)]
+    assert all(r.std_error is None and r.t_value is None and r.p_value is None for r in got)
+    flat = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 6.0)], "x int, y double")
+    intercept, x = model.linear_model(flat, "y", {"x": ["x"]}).collect()
+    assert math.isclose(intercept.estimate, 3) and math.isclose(intercept.std_error, math.sqrt(7 / 3))
+    t = intercept.t_value
+    assert math.isclose(intercept.p_value, 1 - t / math.sqrt(2 + t * t)) and x.estimate is None
+    none = model.linear_model(df.filter("false"), "y", {"x": ["x"]}).collect()
+    assert [tuple(r)[1:] for r in none] == [(None,) * 4] * 2
+    summary = model.model_summary(flat, "y", {"x": ["x"]}).first()
+    assert (summary.n, summary.parameters, summary.df_residual) == (3, 1, 2)
+    assert math.isclose(summary.dispersion, 7) and math.isclose(summary.deviance, 14)
+    assert model.model_summary(df.filter("false"), "y", {"x": ["x"]}).first().n == 0
+
+
+def test_t_tail_has_known_values():
+    for t, free, p in [(12.7062, 1, 0.05), (2.22814, 10, 0.05), (0, 5, 1), (1.96234, 1000, 0.05), (3.0, 2, 0.095466)]:
+        assert math.isclose(model.t_tail(t, free), p, abs_tol=2e-5)
+
+
 def test_sample_is_repeatable_without_replacement(spark):
     ids = spark.createDataFrame([(i % 50,) for i in range(200)] + [(None,)], "subject_id long")
     first = [r[0] for r in sampling.sample_ids(ids, "subject_id", 20, "s").collect()]

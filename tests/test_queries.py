@@ -9,6 +9,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "checks")]
 import __spark_entry__ as entry  # noqa: E402
 import parity  # noqa: E402
+from carecycle.plans.catalog import QUERIES  # noqa: E402
+from carecycle.plans.oracle import ORACLE  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -22,7 +24,7 @@ def rows(spark, name):
     return entry.queries()[name](spark, FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_equals_sql(spark, db, name):
     assert parity.compare(spark, db, FOLDER, name) is None
 
@@ -32,10 +34,9 @@ def test_entry(spark):
     assert df.columns == ["subject_id"] and df.count() > 0
 
 
-def test_only_models_have_no_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {
-        "mortality_model", "mortality_interactions"}
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+def test_every_query_has_sql():
+    own = {name for name in entry.queries() if name in QUERIES}
+    assert own == set(QUERIES) and own <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_models_list_every_term(spark):
@@ -44,7 +45,7 @@ def test_models_list_every_term(spark):
     full = rows(spark, "mortality_interactions").collect()
     assert len(full) == 128
     assert any(r.estimate is None for r in full)  # rare combinations are aliased
-    assert all((r.estimate is None) == (r.p_value is None) for r in full)
+    assert all((r.estimate is None) == (r.std_error is None) for r in full)
 
 
 def test_relations(spark):
