@@ -79,16 +79,15 @@ def disagreement_rate(
     annotations: DataFrame, features: list[str], note: str = "icu_id"
 ) -> DataFrame:
     """Notes in dispute over any feature, as a percentage of all notes."""
-    disputed = disagreement_matrix(annotations, features, note).filter("sum_disagree > 0")
-    # Both counts come from one row per note.
-    per_note = (
-        annotations.groupBy(note)
-        .agg(F.lit(0).alias("_d"))
-        .unionByName(disputed.select(note, F.lit(1).alias("_d")))
+    sums = annotations.groupBy(note).agg(
+        F.count("*").alias("_n"), *[F.sum(f).alias(f) for f in features]
+    )
+    split = reduce(
+        lambda a, b: a | b, [(F.col(f) > 0) & (F.col(f) < F.col("_n")) for f in features]
     )
-    return per_note.agg(
-        F.count_if(F.col("_d") == 1).alias("notes_disputed"),
-        F.count_if(F.col("_d") == 0).alias("notes"),
+    return sums.agg(
+        F.count_if(split & (F.col("_n") >= 2)).alias("notes_disputed"),
+        F.count("*").alias("notes"),
     ).withColumn(
         "percent", F.round(F.col("notes_disputed") / F.col("notes") * 100, 2)
     )

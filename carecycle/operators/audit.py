@@ -68,23 +68,16 @@ def uncovered(
 ) -> DataFrame:
     """Cohort admissions of never-neonate subjects that no stay accounts for.
 
-    A stay accounts for its (admission, subject) pair when it matches the
-    cohort's admissions by admission or by subject and is not neonatal.
+    A stay accounts for its (admission, subject) pair unless it is neonatal.
+    Every candidate has a cohort subject, so a stay with the same pair has one
+    too, and the stays need no cohort join of their own.
     """
     pair = ["hadm_id", "subject_id"]
     wanted = members(admissions.select(*pair), cohort)
     named = stays.select(*pair, age_group)
     newborn = F.lower(F.col(age_group)).like(f"%{neonate}%")
-    neonates = named.filter(newborn).select("subject_id")
-    adult = named.filter(~newborn).select(*pair)
-    # Reduce stays to pairs before they meet the cohort: both matches are then
-    # joins of unique pairs.
-    adult = adult.distinct()
-    by_admission = members(adult, wanted, "hadm_id")
-    by_subject = members(adult, wanted.select("subject_id").distinct())
-    matched = by_admission.select(*pair).union(by_subject.select(*pair)).distinct()
-    candidates = non_members(wanted, neonates).select(*pair)
-    return candidates.subtract(matched)
+    candidates = non_members(wanted, named.filter(newborn).select("subject_id"))
+    return candidates.select(*pair).subtract(named.filter(~newborn).select(*pair))
 
 
 def below_threshold(

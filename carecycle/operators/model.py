@@ -92,15 +92,15 @@ def _fit(df: DataFrame, response: str, terms: dict[str, list[str]]) -> dict:
     finally:
         design.unpersist()
     y = len(terms)
-    kept = _independent(correlation[:y, :y], spread[:y] ** 2)
-    centred = (n - 1) * correlation * np.outer(spread, spread)
-    inverse = np.linalg.inv(centred[np.ix_(kept, kept)]) if kept else np.zeros((0, 0))
-    slope = inverse @ centred[kept, y]
+    kept, swept = _sweep(correlation, spread[:y])
+    inverse = -swept[np.ix_(kept, kept)] / np.outer(spread[kept], spread[kept]) / max(1, n - 1)
+    slope = swept[kept, y] * spread[y] / spread[kept]
     null_deviance = float(spread[y] ** 2 * (n - 1))
-    deviance = max(0.0, null_deviance - float(slope @ centred[kept, y]))
+    deviance = max(0.0, null_deviance * float(swept[y, y]))
     free = n - len(kept) - 1
-    estimates = [mean[y] - mean[kept] @ slope, *slope]
-    leverage = [1 / n + mean[kept] @ inverse @ mean[kept], *np.diag(inverse)]
+    centre = mean[kept]
+    estimates = [mean[y] - (centre * slope).sum(), *slope]
+    leverage = [1 / n + (np.outer(centre, centre) * inverse).sum(), *np.diag(inverse)]
     found: dict = {"size": (n, deviance, null_deviance)}
     labels = [INTERCEPT, *(list(terms)[k] for k in kept)]
     for label, estimate, lever in zip(labels, estimates, leverage):
@@ -147,17 +147,23 @@ def t_tail(t: float, free: int) -> float:
     return min(1.0, max(0.0, 1 - value if swap else value))
 
 
-def _independent(
-    correlation: np.ndarray, variance: np.ndarray, tolerance: float = 1e-9
-) -> list[int]:
-    """Columns with a part that earlier ones do not explain, by elimination.
+def _sweep(
+    correlation: np.ndarray, spread: np.ndarray, tolerance: float = 1e-9
+) -> tuple[list[int], np.ndarray]:
+    """Sweeps the columns with a part that earlier ones do not explain, one after the other.
 
-    A constant column is explained by the intercept.
+    A constant column is explained by the intercept. Returns the swept columns
+    and the matrix: minus their inverse, their slopes in the last column, and
+    the share of the response that is left in the last corner.
     """
     left = correlation.copy()
     kept = []
-    for j in range(len(left)):
-        if variance[j] > 0 and left[j, j] > tolerance:
+    for j in range(len(spread)):
+        pivot = left[j, j]
+        if spread[j] > 0 and pivot > tolerance:
             kept.append(j)
-            left = left - np.outer(left[:, j], left[j, :]) / left[j, j]
-    return kept
+            column, row = left[:, j].copy(), left[j, :].copy()
+            left -= np.outer(column, row) / pivot
+            left[:, j], left[j, :] = column / pivot, row / pivot
+            left[j, j] = -1 / pivot
+    return kept, left

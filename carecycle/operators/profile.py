@@ -113,3 +113,18 @@ def counts_where(df: DataFrame, key: str, conditions: dict[str, Column]) -> Data
 
 def all_positive(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, [F.col(c) > 0 for c in columns]))
+
+
+def two_way(df: DataFrame, rows: str, columns: str) -> DataFrame:
+    """Contingency table in long form: count of each pair, and its shares of row and column.
+
+    NULL is a value of its own. Only the counts, a row for each pair, are windowed.
+    """
+    cells = df.groupBy(rows, columns).agg(F.count("*").alias("n"))
+    row, column = Window.partitionBy(rows), Window.partitionBy(columns)
+    return cells.withColumns(
+        {
+            "row_share": F.round(F.col("n") / F.sum("n").over(row), 3),
+            "column_share": F.round(F.col("n") / F.sum("n").over(column), 3),
+        }
+    )

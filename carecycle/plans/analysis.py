@@ -259,11 +259,11 @@ def mortality_table(
 ) -> DataFrame:
     """In-hospital, 30-day, one-year and overall death after the last admission.
 
-    Every input is reduced to one row per subject before it is joined.
+    Every input is reduced to the subjects and to one row of each before it is joined.
     ``last_by`` is ``admit_dt`` (ties by id) or ``hadm_id``.
     """
     last = first_per(
-        admissions.select("subject_id", "hadm_id", "admit_dt", "disch_dt"),
+        members(admissions.select("subject_id", "hadm_id", "admit_dt", "disch_dt"), subjects),
         ["subject_id"],
         [F.desc(last_by), F.desc("hadm_id")],
     )
@@ -275,7 +275,7 @@ def mortality_table(
     )
     after = days_between(F.col("dod"), F.col("disch_dt"))
     rows = (
-        members(last.join(deaths, "subject_id"), subjects)
+        last.join(deaths, "subject_id")
         .select(
             "died_in_hosp",
             F.when(after <= 30, 1).otherwise(0).alias("died_30"),

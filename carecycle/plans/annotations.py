@@ -41,6 +41,16 @@ def annotator_counts(annotations: DataFrame, note: str = "icu_id") -> DataFrame:
     )
 
 
+def annotation_totals(annotations: DataFrame, note: str = "icu_id") -> DataFrame:
+    """The same over all operators: rows, distinct notes, and rows beyond one per note."""
+    per_note = annotations.groupBy(note).agg(F.count("*").alias("_n")).filter(F.col(note).isNotNull())
+    return per_note.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("annotations"),
+        F.count("*").alias("unique_notes"),
+        (F.coalesce(F.sum("_n"), F.lit(0)) - F.count("*")).alias("repeated"),
+    )
+
+
 def pending_notes(
     annotations: DataFrame, missing: DataFrame, key: str = "hadm_id"
 ) -> DataFrame:

@@ -61,11 +61,18 @@ def query(fn: Query) -> Query:
 
 
 def _cohort(a: Analogs, min_further: int = FEW_REPEATS) -> DataFrame:
-    return co.repeat_cohort(a.admissions(), min_further=min_further)
+    return a.shared(
+        ("cohort", min_further), lambda: co.repeat_cohort(a.admissions(), min_further=min_further)
+    )
+
+
+def _stays(a: Analogs) -> DataFrame:
+    """Stays of the cohort that are not neonatal."""
+    return a.shared("cohort stays", lambda: ex.adult_stays(a.stays(), _cohort(a)))
 
 
 def _subjects(a: Analogs) -> DataFrame:
-    return ex.cohort_subjects(a.stays(), _cohort(a))
+    return a.shared("subjects", lambda: ex.cohort_subjects(a.stays(), _cohort(a)))
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -116,7 +123,7 @@ def cohort_table(a):
 
 @query
 def adult_stays(a):
-    return ex.adult_stays(a.stays(), _cohort(a)).orderBy(
+    return _stays(a).orderBy(
         "subject_id", "icustay_intime", "icustay_id"
     )
 
@@ -133,13 +140,11 @@ def admission_category(a):
 
 @query
 def admit_info(a):
-    stays = ex.adult_stays(a.stays(), _cohort(a))
-    return ex.admit_info(ex.admission_category(a.demographics(), _subjects(a)), stays)
+    return ex.admit_info(ex.category_columns(a.demographics()), _stays(a))
 
 
 def _demographics(a, first_stay_only=False):
-    stays = ex.adult_stays(a.stays(), _cohort(a))
-    return ex.demographics(stays, a.demographics(), first_stay_only)
+    return ex.demographics(_stays(a), a.demographics(), first_stay_only)
 
 
 @query
@@ -476,6 +481,11 @@ def annotation_completeness(a):
     return audit.id_completeness({f"annotations {c}": (rows, c) for c in ids})
 
 
+@query
+def annotation_totals(a):
+    return ann.annotation_totals(a.annotations())
+
+
 @query
 def repeated_annotations(a):
     """Each operator's second and later annotations of a note."""
@@ -582,9 +592,6 @@ def annotation_batches(a):
 # -- admission level -------------------------------------------------------
 
 
-def _stays(a):
-    return ex.adult_stays(a.stays(), _cohort(a))
-
 
 @query
 def stays_union(a):
@@ -643,6 +650,12 @@ def age_summary(a):
     return _five(_dummies(a), ["admit_age"])
 
 
+@query
+def ethnicity_by_death(a):
+    """Two-way table of ethnicity and death."""
+    return profile.two_way(_first_demographics(a), "ethnicity", "expire_flg")
+
+
 @query
 def category_proportions(a):
     columns = {

@@ -29,7 +29,11 @@ def cohort_subjects(stays: DataFrame, cohort: DataFrame) -> DataFrame:
 
 
 def admission_category(demographics: DataFrame, subjects: DataFrame) -> DataFrame:
-    return members(demographics, subjects).select(
+    return category_columns(members(demographics, subjects))
+
+
+def category_columns(demographics: DataFrame) -> DataFrame:
+    return demographics.select(
         "subject_id",
         "hadm_id",
         F.col("overall_payor_group_descr").alias("overall_payor_group"),
@@ -39,7 +43,10 @@ def admission_category(demographics: DataFrame, subjects: DataFrame) -> DataFram
 
 
 def admit_info(category: DataFrame, stays: DataFrame) -> DataFrame:
-    """Admission category beside the first ICU stay of the admission."""
+    """Admission category beside the first ICU stay of the admission.
+
+    The stays are the cohort's, so the join by admission keeps its admissions.
+    """
     first = stays.filter("icustay_seq = 1").select(
         "hadm_id",
         "icustay_id",

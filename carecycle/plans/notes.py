@@ -42,14 +42,12 @@ def first_note_per_admission(
 ) -> DataFrame:
     """The earliest note of the kind per admission (lowest note id on ties).
 
-    The pick works on ids; the text joins the winners afterwards, so it is not
-    sorted or shuffled for the notes that lose. Notes without an admission are
-    left out, so they do not pile up in one group.
+    The notes are read once: the kind is tested in the scan, the cohort is
+    joined, and each task keeps one note per admission before any are moved.
+    Notes without an admission are left out, so they do not pile up in one group.
     """
-    wanted = notes.filter(kind & F.col("hadm_id").isNotNull())
-    ids = members(wanted.select("subject_id", "hadm_id", ts, "note_id"), subjects)
-    chosen = first_per(ids, ["hadm_id"], [ts, "note_id"])
-    return wanted.join(chosen.select("note_id"), "note_id", "left_semi")
+    wanted = members(notes.filter(kind & F.col("hadm_id").isNotNull()), subjects)
+    return first_per(wanted, ["hadm_id"], [ts, "note_id"])
 
 
 def negative_subjects(stays: DataFrame, cohort: DataFrame, n: int, seed: str) -> DataFrame:

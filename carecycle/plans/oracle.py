@@ -739,6 +739,10 @@ _QUERIES = {
         SELECT operator, count(*) AS annotations, count(DISTINCT icu_id) AS unique_notes,
                count(*) - count(DISTINCT icu_id) AS repeated
         FROM annotations GROUP BY 1""",
+    "annotation_totals": """
+        SELECT count(*) AS annotations, count(DISTINCT icu_id) AS unique_notes,
+               count(*) - count(DISTINCT icu_id) AS repeated
+        FROM annotations WHERE icu_id IS NOT NULL""",
     "annotation_completeness": " UNION ALL ".join(
         _completeness([(f"annotations {c}", "annotations")], c)
         for c in ("hadm_id", "icu_id", "subject_id", "chart_time")
@@ -807,6 +811,11 @@ _QUERIES = {
     "demographic_dummies": "SELECT * FROM dummies",
     "column_profile": _profile("dummies", _DUMMY_COLUMNS),
     "age_summary": _five_numbers("dummies", ["admit_age"]),
+    "ethnicity_by_death": """
+        SELECT ethnicity, expire_flg, n,
+               round(n / sum(n) OVER (PARTITION BY ethnicity), 3) AS row_share,
+               round(n / sum(n) OVER (PARTITION BY expire_flg), 3) AS column_share
+        FROM (SELECT ethnicity, expire_flg, count(*) AS n FROM first_demographics GROUP BY 1, 2)""",
     "category_proportions": " UNION ALL ".join(
         f"""SELECT '{name}' AS variable, category, count(*) AS n,
                    round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (), 3) AS share

@@ -7,6 +7,9 @@ values, so the semantics that depend on them are exercised.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,16 +29,33 @@ def _yes_no(condition: Column) -> Column:
     return F.when(condition, "Y").otherwise("N")
 
 
+def _once(view):
+    """Builds a view's plan at the first call and gives the same frame again afterwards."""
+
+    @wraps(view)
+    def of(self):
+        return self.shared(view.__name__, lambda: view(self))
+
+    return of
+
+
 class Analogs:
-    """Entity views over one folder of test tables."""
+    """Entity views over one folder of test tables; plans, not data, are kept."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._built: dict[object, DataFrame] = {}
+
+    def shared(self, key: object, build: Callable[[], DataFrame]) -> DataFrame:
+        if key not in self._built:
+            self._built[key] = build()
+        return self._built[key]
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.folder, name)
 
+    @_once
     def admissions(self) -> DataFrame:
         """One row per order; the hour of day comes from the order key."""
         admit = F.col("o_orderdate") + _hours(F.col("o_orderkey") % 24)
@@ -46,6 +66,7 @@ class Analogs:
             (admit + _minutes(F.floor(F.col("o_totalprice") / 20))).alias("disch_dt"),
         )
 
+    @_once
     def patients(self) -> DataFrame:
         whole = F.floor("c_acctbal").cast("int")
         died = F.col("c_acctbal") < 2500
@@ -57,6 +78,7 @@ class Analogs:
             _yes_no(died).alias("expire_flg"),
         )
 
+    @_once
     def stays(self) -> DataFrame:
         """One row per (order, line number); the smallest ones have no admission id."""
         flag = lambda c: F.max(F.when(c, 1).otherwise(0))
@@ -125,6 +147,7 @@ class Analogs:
             F.when(F.col("tax") < 0.075, F.col("qty").cast("int")).alias("sapsi_first"),
         )
 
+    @_once
     def demographics(self) -> DataFrame:
         people = (
             self.table("customer")
@@ -151,6 +174,7 @@ class Analogs:
             )
         )
 
+    @_once
     def comorbidities(self) -> DataFrame:
         """30 flags per order: 25 from the brands of its parts, 5 from the types."""
         types = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]
@@ -175,11 +199,13 @@ class Analogs:
             *COMORBIDITIES,
         )
 
+    @_once
     def _coded_lines(self) -> DataFrame:
         return self.table("lineitem").join(
             self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")
         )
 
+    @_once
     def diagnoses(self) -> DataFrame:
         return (
             self._coded_lines()
@@ -193,6 +219,7 @@ class Analogs:
             )
         )
 
+    @_once
     def diagnosis_names(self) -> DataFrame:
         """Code dimension: one description per undotted code."""
         return (
@@ -201,6 +228,7 @@ class Analogs:
             .agg(F.concat(F.lit("about "), F.lower(F.col("p_brand"))).alias("description"))
         )
 
+    @_once
     def cost_events(self) -> DataFrame:
         return self._coded_lines().select(
             F.col("o_custkey").alias("subject_id"),
@@ -211,11 +239,13 @@ class Analogs:
             ),
         )
 
+    @_once
     def cost_items(self) -> DataFrame:
         return self.table("part").select(
             F.col("p_partkey").alias("itemid"), F.col("p_name").alias("description")
         )
 
+    @_once
     def procedures(self) -> DataFrame:
         return self._coded_lines().select(
             F.col("o_custkey").alias("subject_id"),
@@ -223,12 +253,14 @@ class Analogs:
             F.col("l_suppkey").alias("itemid"),
         )
 
+    @_once
     def procedure_items(self) -> DataFrame:
         """Suppliers in credit only, so that some procedures have no name."""
         return self.table("supplier").filter("s_acctbal > 0").select(
             F.col("s_suppkey").alias("itemid"), F.col("s_name").alias("description")
         )
 
+    @_once
     def monitored_stays(self) -> DataFrame:
         """One stay per customer, matching the users of the event table."""
         return self.table("customer").select(
@@ -240,6 +272,7 @@ class Analogs:
             ),
         )
 
+    @_once
     def chart_events(self) -> DataFrame:
         return self.table("events").select(
             F.col("user_id").alias("icustay_id"),
@@ -247,6 +280,7 @@ class Analogs:
             F.col("ts").alias("charttime"),
         )
 
+    @_once
     def medication_events(self) -> DataFrame:
         """Small values become a zero or a negative dose."""
         value = F.col("value")
@@ -257,6 +291,7 @@ class Analogs:
             F.when(value < 5, 0.0).when(value < 10, -value).otherwise(value).alias("dose"),
         )
 
+    @_once
     def notes(self) -> DataFrame:
         """Four documents per admission, eight per subject; French ones have no admission."""
         kind = F.substring("source", 4, 10).cast("int")
@@ -278,13 +313,15 @@ class Analogs:
             "text",
         )
 
+    @_once
     def note_stays(self) -> DataFrame:
         """Every document as a note on the stays of fifteen orders."""
         order = F.explode(F.sequence(F.col("doc_id") * 15, F.col("doc_id") * 15 + 14))
         links = self.table("documents").select(F.col("doc_id").alias("note_id"), order.alias("key"))
-        lines = F.explode(F.sequence(F.lit(1), F.lit(7)))
-        return links.select("note_id", (F.col("key") * 8 + lines).alias("icustay_id"))
+        links = links.withColumn("line", F.explode(F.sequence(F.lit(1), F.lit(7))))
+        return links.select("note_id", (F.col("key") * 8 + F.col("line")).alias("icustay_id"))
 
+    @_once
     def annotations(self) -> DataFrame:
         """Result rows of six operators over seven batches; notes are orders."""
         ids = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -311,6 +348,7 @@ class Analogs:
             ),
         )
 
+    @_once
     def annotated_notes(self) -> DataFrame:
         """Note texts by admission and batch, as handed to the annotators."""
         return self.table("documents").select(
