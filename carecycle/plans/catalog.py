@@ -765,7 +765,8 @@ def _mortality_rows(a):
 
 
 def _coefficients(table: DataFrame) -> DataFrame:
-    return _rounded(table, "estimate", "std_error", "t_value").drop("p_value")
+    names = ["estimate", "std_error", "t_value"]
+    return _rounded(table, *names).withColumns({c: F.col(c) + 0.0 for c in names}).drop("p_value")
 
 
 @query

@@ -468,9 +468,9 @@ def _model(terms: dict[str, list[str]]) -> str:
           SELECT p, [{names}][p] AS term, list_contains(used, p) AS known, m[p][{k + 2}] AS b,
                  sqrt(-m[p][p] * m[{k + 2}][{k + 2}] / (n - len(used) + 1)) AS e
           FROM swept, size, range(1, {k + 2}) r(p))
-        SELECT term, CASE WHEN known THEN round(b, 6) END AS estimate,
-               CASE WHEN known THEN round(e, 6) END AS std_error,
-               CASE WHEN known THEN round(b / e, 6) END AS t_value
+        SELECT term, CASE WHEN known THEN round(b, 6) + 0.0 END AS estimate,
+               CASE WHEN known THEN round(e, 6) + 0.0 END AS std_error,
+               CASE WHEN known THEN round(b / e, 6) + 0.0 END AS t_value
         FROM found)"""
 
 
