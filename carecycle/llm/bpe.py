@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from carecycle.llm.tokens import byte_symbols, chunks, default_vocabulary, plain_pieces
 
-CHUNKS_KEPT = 500_000
-PIECES_KEPT = 250_000
-TOGETHER = 1 << 22  # characters whose new words are merged in one batch
+CHUNKS_KEPT = 200_000
+PIECES_KEPT = 100_000
+TOGETHER = 1 << 20  # characters whose new words are merged in one batch
 NEVER = np.iinfo(np.int64).max
 
 
@@ -204,7 +204,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
             ids = batch.column(1)
             lengths = [n or 0 for n in ids.value_lengths().to_pylist()]
             for a, b in _slices(lengths, TOGETHER // 4):
-                texts = [" ".join(map(token, x or ())) for x in ids.slice(a, b - a).to_pylist()]
+                texts = [" ".join(map(token, x.as_py() or ())) for x in ids.slice(a, b - a)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), ids.slice(a, b - a), pa.array(texts, pa.string())],
                     ["doc_id", "ids", "decoded"],
