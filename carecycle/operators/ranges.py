@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 BLOCK = 16
 RANGES = BLOCK * BLOCK
@@ -68,7 +69,12 @@ def _running(order: str, weight: str, group: str) -> Column:
 
 
 def number_rows(df: DataFrame, key: str, out: str = "row_num") -> DataFrame:
-    """Number rows 1..n in the order of a unique numeric key, in parallel."""
+    """Number rows 1..n in the order of a unique numeric key, in parallel.
+
+    Keys of other types are refused; turn them into numbers first.
+    """
+    if not isinstance(df.schema[key].dataType, NumericType):
+        raise TypeError(f"{key} is {df.schema[key].dataType.simpleString()}, not a number")
     rows = df.withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1))
     edges = rows.groupBy("_all").agg(_range_edges(key).alias("_edges"))
     placed = _place(rows, edges, key, "_all")
@@ -88,13 +94,16 @@ def column_summary(df: DataFrame, columns: list[str], probs: dict[str, float]) -
     """Counts, moments and exact quantiles, one row per column.
 
     ``probs`` maps output names to probabilities; quantiles interpolate
-    linearly between neighbours. Rows are counted per value once (map-side
+    linearly between neighbours. NaN counts as missing, like NULL. Rows are counted per value once (map-side
     first) and everything else is derived from those counts: totals per range
     of values, and the order inside the ranges that hold a wanted rank.
     """
     pairs = F.array(
         *[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+            F.struct(
+                F.lit(c).alias("column"),
+                F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value"),
+            )
             for c in columns
         ]
     )

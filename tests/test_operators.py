@@ -326,3 +326,11 @@ def test_elapsed_days_uses_whole_minutes(spark):
     df = spark.createDataFrame([(datetime(2020, 1, 1, 0, 0, 59), datetime(2020, 1, 1, 0, 1, 58))],
                                "a timestamp_ntz, b timestamp_ntz")
     assert df.select(elapsed_days(F.col("a"), F.col("b"))).first()[0] == 0.0
+
+
+def test_nan_is_missing_and_row_numbers_need_numbers(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "x double")
+    got = ranges.five_numbers(df, ["x"]).first()
+    assert (got.n, got.missing, got.min, got.max, got.mean, got.median) == (2, 2, 1, 3, 2, 2)
+    with pytest.raises(TypeError, match="string"):
+        ranges.number_rows(spark.createDataFrame([("a",)], "x string"), "x")
