@@ -196,19 +196,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     The sample is bounded by ``sample_docs`` documents of each language, those
     with the least hashes of id and text, and by ``sample_segments`` pieces of
-    STEPS characters of each, at even distances in the whole text. None if no
-    document has a language.
+    STEPS characters of each, at even distances in the whole text. Hashes are
+    first held against a share of each language, so that few documents more
+    than the sample are moved. None if no document has a language.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     draw = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)) / float(1 << 40)
-    share = known.groupBy(F.col(lang_col).alias("l")).agg((2.0 * sample_docs / F.count(F.lit(1))).alias("share"))
+    sizes = known.groupBy(F.col(lang_col).alias("lang")).count().collect()  # a row for each class of the network
+    if not sizes:
+        return None
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], 2.0 * sample_docs / r["count"])])
     n = F.length("text")
     pieces = F.transform(
         F.sequence(F.lit(0), F.lit(sample_segments - 1)),
         lambda j: F.col("text").substr((F.floor(n * j / sample_segments) + 1).cast("int"), F.lit(STEPS)),
     )
     drawn = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
-    drawn = drawn.join(share, F.col("lang") == F.col("l")).filter("draw < share")
+    drawn = drawn.filter(F.col("draw") < F.element_at(share, F.col("lang")))
     drawn = drawn.select("lang", "draw", pieces.alias("pieces"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("pieces")))
     rows = drawn.withColumn("rank", rank).filter(F.col("rank") <= sample_docs).select("lang", "pieces").collect()
