@@ -14,6 +14,8 @@ PIECES_KEPT = 300_000
 # Characters that need no composition, whose lower case depends on nothing
 # around them, and which are letters, digits or neither in every Unicode version.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+# Most chunks: letters, then signs that begin neither a contraction nor a special token.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 # What the vocabulary's own pattern finds in lower-cased plain characters.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
@@ -31,8 +33,10 @@ def chunks(text: str | None) -> list[str]:
 
 def plain_pieces(chunk: str) -> list[str] | None:
     """The pre-tokens of a chunk of plain characters; None for any other chunk."""
-    if chunk.isascii() and chunk.isalpha():
-        return [chunk.lower()]
+    word = _WORD.fullmatch(chunk)
+    if word:
+        letters, signs = word.groups()
+        return [letters.lower(), signs] if signs else [letters.lower()]
     if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
         return _PIECES.findall(chunk.lower())
     return None
@@ -67,6 +71,7 @@ class ChunkEncoder(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenize = self.tokenizer.model.tokenize
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.pieces: dict[str, bytes] = {}
         self.symbols = dict(enumerate(byte_symbols()))
 
@@ -75,8 +80,8 @@ class ChunkEncoder(dict):
         if found is None:
             if len(self.pieces) >= PIECES_KEPT:
                 self.pieces.clear()
-            spelt = piece.encode().decode("latin-1").translate(self.symbols)
-            found = b"".join(t.id.to_bytes(4, "little") for t in self.tokenize(spelt))
+            spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
+            found = b"".join([self.packed[t.id] for t in self.tokenize(spelt)])
             self.pieces[piece] = found
         return found
 
