@@ -17,6 +17,7 @@ UNREAD = frozenset(
     "head title script style noscript template svg math iframe object canvas audio video select option "
     "button textarea datalist".split()
 )
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
@@ -121,7 +122,14 @@ class Blocks(HTMLParser):
             self.blocks.append(Block(text, holder, min(self.linked, len(text))))
         self.parts, self.linked = [], 0
 
+    def _end_head(self) -> None:
+        """Ends an open head: </head> may be left out before anything that can't stand in a head."""
+        if self.stack[-1].tag == "head":
+            self.stack.pop()
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag not in INLINE:
             self.flush()
             if tag in CLOSES_P:
@@ -142,6 +150,8 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if tag in ("body", "html", "br"):
+            self._end_head()
         if tag not in INLINE:
             self.flush()
         self._close({tag}, ())
@@ -157,6 +167,8 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if data.strip():
+            self._end_head()
         if not self.stack[-1].unread:
             self.parts.append(data)
             if self.links:

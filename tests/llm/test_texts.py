@@ -196,6 +196,20 @@ def test_pages(spark):
     assert pages.extract(df.filter("false")).count() == 0
 
 
+def test_head_without_an_end():
+    """</head> may be left out; the head then ends at the first thing that can't stand in one."""
+    body = "<p>First para of the page, long enough to be its text.</p><p>Second para of it, with more words.</p>"
+    want = "First para of the page, long enough to be its text.\nSecond para of it, with more words."
+    in_head = "<title>x</title><meta charset=utf-8><link href=a><style>p {}</style><script>var a</script><noscript>y</noscript>"
+    for page in (
+        f"<html><head>{in_head}<body>{body}", f"<head>{in_head}{body}", f"<html><head>{in_head}</head><body>{body}</html>",
+        f"<html><head>{in_head}<body><article>{body}</article></body></html>", f"<head>\n<title>x</title>\n<body></head>{body}",
+    ):
+        assert pages.main_text(page) == want
+    bare = "Bare text of a page right after its title, without any tag of its own, is read as well."
+    assert pages.main_text(f"<head><title>x</title> {bare}") == bare
+
+
 def test_pages_query_finds_whole_articles(spark):
     source = {r.page_id: r.html for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}
     got = queries.op5_html(spark, FOLDER).collect()
