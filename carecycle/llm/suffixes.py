@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +20,14 @@ BLOCK = 1 << 20  # window starts of one text that are looked at together
 GROUP_ROWS = 256  # contexts that may meet in a task because of one key
 SHARD_ROWS = 512  # contexts that are sorted together
 BUCKET = 1 << 16  # suffixes that are sorted at a time
+CODE = 8  # bytes of a word's hash
 
 # Fixed values: {0, 1, 3} is a difference cover modulo 7; every difference
 # modulo 7 is that of two of its members.
 PERIOD = 7
 COVER = (0, 1, 3)
 
+_WORD = re.compile(rb"[^\t-\r ]+")
 _MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 
 
@@ -78,7 +81,32 @@ def _digests(parts: Iterator[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<i8").reshape(-1, 2)
 
 
-def _anchor_rows(length: int, gram: int):
+def word_codes(text: bytes) -> bytes:
+    """The hashes of a text's words, cut at ASCII white space, CODE bytes each."""
+    return b"".join(map(xxhash.xxh64_digest, text.split()))
+
+
+def _sparse(text: bytes, lo: np.ndarray, hi: np.ndarray, length: int, words: int) -> tuple[np.ndarray, ...]:
+    """(interval's index, first, last) of each run of window starts with at most ``words`` word starts inside.
+
+    The first byte of a window isn't counted, as it depends on the byte before.
+    """
+    raw = np.frombuffer(text, np.uint8)
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    begins = np.cumsum(np.r_[0, ~space & np.r_[True, space[:-1]]], dtype=np.int64)
+    few = begins[length:] - begins[1 : len(begins) - length + 1] <= words
+    if few.all():
+        return np.arange(len(lo)), lo, hi
+    if not few.any():
+        return (np.zeros(0, np.int64),) * 3
+    cut = np.zeros(len(few), bool)  # intervals follow each other without gaps
+    cut[lo] = True
+    first = np.flatnonzero(few & (cut | ~np.r_[False, few[:-1]]))
+    last = np.flatnonzero(few & np.r_[cut[1:] | ~few[1:], True])
+    return np.searchsorted(lo, first, "right") - 1, first, last
+
+
+def _anchor_rows(length: int, gram: int, code=bytes, words: int | None = None):
     """A row for each interval, with the digest of all bytes of its windows."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +115,11 @@ def _anchor_rows(length: int, gram: int):
             k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             out = []
             for i, text in enumerate(batch.column(2).to_pylist()):
+                text = code(text)
                 lo, hi, at, key = anchors.of(text)
+                if words is not None and len(lo):
+                    of, lo, hi = _sparse(text, lo, hi, length, words)
+                    at, key = at[of], key[of]
                 if len(lo):
                     u = _digests(text[a : b + length] for a, b in zip(lo.tolist(), hi.tolist()))
                     n = len(lo)
@@ -126,7 +158,7 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return settled, open_rows
 
 
-def _contexts(length: int, far: int):
+def _contexts(length: int, far: int, code=bytes):
     """Adds the bytes of its windows to each interval of a document's list."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +167,7 @@ def _contexts(length: int, far: int):
             out = [
                 (x["key"], a, b, x["lo"], x["hi"], x["at"], 0, far, x["different"], x["settled"],
                  text[x["lo"] : x["hi"] + length])
-                for a, b, text, items in zip(k1, k2, texts, lists)
+                for a, b, text, items in zip(k1, k2, map(code, texts), lists)
                 for x in items
             ]
             for i in range(0, len(out), 4096):
@@ -291,7 +323,16 @@ def _shard_spans(length: int):
     return spans
 
 
-def _keep(length: int, as_text: bool):
+def _word_runs(text: bytes, items: list[dict], words: int) -> list[tuple[int, int]]:
+    """The bytes from the first to the last word of the windows of ``words`` words that start in intervals of codes."""
+    found = [(-(-x["lo"] // CODE), x["hi"] // CODE + words) for x in items]
+    if not found:
+        return []
+    at = [m.span() for m in _WORD.finditer(text)]
+    return [(at[a][0], at[b - 1][1]) for a, b in found if b - a >= words]
+
+
+def _keep(length: int, as_text: bool, words: int | None = None):
     """The bytes of a text outside the windows that start in its intervals."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -301,7 +342,8 @@ def _keep(length: int, as_text: bool):
             kept, spans = [], []
             for text, items in zip(texts, lists):
                 runs, parts, at = [], [], 0
-                for x in sorted((x["lo"], x["hi"] + length) for x in items or []):
+                plain = [(x["lo"], x["hi"] + length) for x in items or [] if not x["coded"]]
+                for x in sorted(plain + _word_runs(text, [x for x in items or [] if x["coded"]], words)):
                     if runs and x[0] <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], x[1])
                     else:
@@ -322,9 +364,47 @@ def _keep(length: int, as_text: bool):
     return rows
 
 
+def _repeats(
+    source: DataFrame, length: int, gram: int, group_rows: int, shard_rows: int, code=bytes, words: int | None = None
+) -> DataFrame:
+    """(k1, k2, lo, hi): intervals of starts of windows that occur elsewhere too, in the texts as ``code`` gives them."""
+    found = source.select("k1", "k2", "text").mapInArrow(_anchor_rows(length, gram, code, words), _INTERVAL)
+    settled, compare = _settle(written(found, "anchors"))
+    spans = [written(settled, "settled")]
+    lists = compare.groupBy("k1", "k2").agg(
+        F.collect_set(F.struct("key", "lo", "hi", "at", "different", "settled")).alias("items")
+    )
+    lists = written(lists, "lists")
+    contexts = source.select("k1", "k2", "text").join(lists, ["k1", "k2"])
+    contexts = contexts.mapInArrow(_contexts(length, length - gram, code), _CONTEXT)
+    contexts = written(contexts.dropDuplicates(["key", "k1", "k2", "lo"]), "contexts")  # repeated rows
+    ready = []
+    while True:
+        ready.append(contexts.filter(F.col("different") <= group_rows).select(_CONTEXT_NAMES))
+        large = contexts.filter(F.col("different") > group_rows)
+        if large.isEmpty():
+            break
+        cut = large.select("k1", "k2", "lo", "hi", "at", "near", "far", "bytes")
+        cut = cut.mapInArrow(_halves(length), _HALF)
+        settled, compare = _settle(written(cut, "halves"))
+        spans.append(settled)
+        contexts = written(compare.select(_CONTEXT_NAMES), "contexts")
+    pairs = ready[0]
+    for more in ready[1:]:
+        pairs = pairs.union(more)
+    shards = max(1, pairs.count() // shard_rows)
+    compared = pairs.groupBy(F.pmod("key", F.lit(shards)).alias("shard")).applyInPandas(
+        _shard_spans(length), "k1 long, k2 long, lo long, hi long"
+    )
+    for more in spans:
+        compared = compared.union(more)
+    return compared
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
     gram: int = GRAM, group_rows: int = GROUP_ROWS, shard_rows: int = SHARD_ROWS, as_text: bool = False,
+    words: int | None = None,
 ) -> DataFrame:
     """(row, n_bytes, kept, spans array of start and end) of every document.
 
@@ -339,6 +419,14 @@ def remove_repeats(
     binary, or with ``as_text`` a string in which the cut characters at the
     edges of spans are left out.
 
+    With ``words``, a passage of that many words that starts at another place
+    too goes as well, whatever its length and the white space in it (ASCII
+    white space parts words). The texts' words are hashed to CODE bytes each and
+    the windows of ``words`` codes go the same way as those of ``length`` bytes;
+    of the latter, only those with at most ``words`` word starts inside are looked
+    at, since others hold a passage of ``words`` words or are it but for the
+    cut words at their ends.
+
     Every window of ``length`` bytes belongs to the anchor that its content
     selects, and windows of one anchor form an interval. Intervals of equal
     bytes settle each other by a count. Only intervals that share an anchor but
@@ -358,41 +446,16 @@ def remove_repeats(
         row.alias("row"), F.xxhash64(doc_id, text).alias("k1"),
         F.xxhash64(text, F.lit(length), doc_id).alias("k2"), text.alias("text"),
     )
-    found = source.select("k1", "k2", "text").mapInArrow(_anchor_rows(length, gram), _INTERVAL)
-    settled, compare = _settle(written(found, "anchors"))
-    spans = [written(settled, "settled")]
-    lists = compare.groupBy("k1", "k2").agg(
-        F.collect_set(F.struct("key", "lo", "hi", "at", "different", "settled")).alias("items")
-    )
-    lists = written(lists, "lists")
-    contexts = source.select("k1", "k2", "text").join(lists, ["k1", "k2"])
-    contexts = contexts.mapInArrow(_contexts(length, length - gram), _CONTEXT)
-    contexts = written(contexts.dropDuplicates(["key", "k1", "k2", "lo"]), "contexts")  # repeated rows
-    ready = []
-    while True:
-        ready.append(contexts.filter(F.col("different") <= group_rows).select(_CONTEXT_NAMES))
-        large = contexts.filter(F.col("different") > group_rows)
-        if large.isEmpty():
-            break
-        cut = large.select("k1", "k2", "lo", "hi", "at", "near", "far", "bytes")
-        cut = cut.mapInArrow(_halves(length), _HALF)
-        settled, compare = _settle(written(cut, "halves"))
-        spans.append(settled)
-        contexts = written(compare.select(_CONTEXT_NAMES), "contexts")
-    pairs = ready[0]
-    for more in ready[1:]:
-        pairs = pairs.union(more)
-    shards = max(1, pairs.count() // shard_rows)
-    compared = pairs.groupBy(F.pmod("key", F.lit(shards)).alias("shard")).applyInPandas(
-        _shard_spans(length), "k1 long, k2 long, lo long, hi long"
-    )
-    for more in spans:
-        compared = compared.union(more)
-    per_doc = compared.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    sizes = group_rows, shard_rows
+    spans = _repeats(source, length, gram, *sizes, words=words).withColumn("coded", F.lit(False))
+    if words is not None:
+        coded = _repeats(source, CODE * words, gram, *sizes, code=word_codes)
+        spans = spans.union(coded.withColumn("coded", F.lit(True)))
+    per_doc = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi", "coded")).alias("spans"))
     whole = source.join(written(per_doc, "spans"), ["k1", "k2"], "left")
     kind = source.schema["row"].dataType.simpleString()
     return whole.select("row", "text", "spans").mapInArrow(
-        _keep(length, as_text),
+        _keep(length, as_text, words),
         f"row {kind}, n_bytes long, kept {'string' if as_text else 'binary'}, "
         "spans array<struct<start: bigint, end: bigint>>",
     )

@@ -15,6 +15,7 @@ from carecycle.llm import language, packing, simhash, suffixes
 from carecycle.llm.storage import written
 
 LEAST_SCORE = 0.35  # mean probability below which the network counts as undecided
+PASSAGE_WORDS = 51  # a repeated passage of so many words goes
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +40,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
-def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def suffix_dedup(
+    spark: SparkSession, docs: DataFrame, sf_dir: str, words: int | None = None
+) -> DataFrame:
     """Texts without the bytes of strings that occur more than once; all documents stay."""
-    found = suffixes.remove_repeats(docs, as_text=True)
+    found = suffixes.remove_repeats(docs, as_text=True, words=words)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``suffix_dedup`` that takes passages of PASSAGE_WORDS words as well, however short their words."""
+    return suffix_dedup(spark, docs, sf_dir, PASSAGE_WORDS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids in sequences of at most 4096."""
     return packing.pack(docs)
@@ -54,7 +62,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", language_id),
     ("near_dedup", near_dedup),
-    ("suffix_dedup", suffix_dedup),
+    ("suffix_dedup", passage_dedup),
     ("pack", pack),
 ]
 ORACLE_SQL = None

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 
 from carecycle.llm import language, minhash, pages, queries, suffixes
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, ROOT)
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -74,6 +79,52 @@ def test_removal_query(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
+def plain_passages(docs, length, words):
+    """What goes by repeated passages of ``words`` words and by repeated strings that hold fewer."""
+    at = [[m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\f]+", b)] for b in docs]
+    runs = [[tuple(b[x:y] for x, y in a[i : i + words]) for i in range(len(a) - words + 1)] for a, b in zip(at, docs)]
+    seen, strings = collections.Counter(r for x in runs for r in x), collections.Counter()
+    for b in docs:
+        strings.update(b[i : i + length] for i in range(len(b) - length + 1))
+    out = []
+    for a, b, x in zip(at, docs, runs):
+        gone = np.zeros(len(b), bool)
+        for i, r in enumerate(x):
+            if seen[r] > 1:
+                gone[a[i][0] : a[i + words - 1][1]] = True
+        for i in range(len(b) - length + 1):
+            inside = len(re.findall(rb"(?<=[ \t\n\r\x0b\f])[^ \t\n\r\x0b\f]", b[i : i + length]))
+            if strings[b[i : i + length]] > 1 and inside <= words:
+                gone[i : i + length] = True
+        out.append(bytes(np.frombuffer(b, np.uint8)[~gone]))
+    return out
+
+
+def test_passages_of_words(spark):
+    """Planted passages of 51 short words go, those of 50 and short boilerplate stay; unspaced strings go by bytes."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+
+    def some(n, letters="abcdefghijklmnopqrstuvwxyz", size=4):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, size))) for _ in range(n))
+
+    whole, less = some(51, size=2), some(50, size=9)
+    assert len(whole) < 200
+    rows = [(i, f"{some(40)} {whole} {some(rng.randint(0, 90))}") for i in range(5)]
+    rows += [(i, f"{some(30)} {less} {some(50)}") for i in range(10, 14)] + [(15, f"{some(9)}\n" + whole.replace(" ", "\t"))]
+    url = "".join(rng.choice("abcdef") for _ in range(450))
+    rows += [(20, f"{some(70)} {url} {some(3)}"), (21, f"{some(3)} {url}"), (22, None), (None, whole), (23, "b " * 300)]
+    mixed = some(40, size=12) + " " + some(60, size=5)
+    rows += [(30, f"x{mixed}{some(5)}"), (31, f" {mixed} {some(80)}"), (32, mixed[50:])]
+    df = texts(spark, rows).withColumn("n_chars", F.lit(0).cast("long")).select("doc_id", "text", "n_chars")
+    got = {r.doc_id: r.text for r in corpus_pipeline.STAGES[2][1](spark, df, FOLDER).collect()}
+    want = plain_passages([(t or "").encode() for _, t in rows], 400, 51)
+    assert got == {i: w.decode() for (i, _), w in zip(rows, want)}
+    assert all(whole not in got[i] for i in range(5)) and all(less in got[i] for i in range(10, 14))
+    assert got[None] == "" and url not in got[20] and len(got[15].split()) == 9
+
+
 def test_long_texts_are_cut_into_blocks(monkeypatch):
     monkeypatch.setattr(suffixes, "BLOCK", 100)
     rng = random.Random(7)
