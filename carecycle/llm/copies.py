@@ -1,0 +1,230 @@
+"""Near copies by exact likeness of 5-word shingles, found with SimHashes and BK-trees."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from carecycle.llm.simhash import HASH_BLOCK, QUERY_BLOCK, TREE_NODES, BKTree
+from carecycle.llm.storage import written
+
+WORDS = 5  # of a shingle
+LIKENESS = 0.8
+SAMPLE = 4  # shingles under one sampled fingerprint
+SAMPLES = 24  # sampled fingerprints; texts of likeness x share none with probability (1 - x^SAMPLE)^SAMPLES
+RADIUS = 24  # bits between whole fingerprints; at likeness 0.8 they differ in 10 bits, deviation 3
+SHARD_ROWS = 2048
+
+# Fixed odd multipliers: one order of all hashes for each place of a sample.
+_ORDERS = np.frombuffer(
+    b"".join(xxhash.xxh64_digest(bytes([i])) for i in range(SAMPLE * SAMPLES)), np.uint64
+) | np.uint64(1)
+
+
+def shingle_hashes(text: bytes) -> np.ndarray:
+    """The sorted different hashes of a text's shingles; a text of fewer words is one shingle, of none has none."""
+    words = text.lower().split()  # bytes: A-Z and the six ASCII spaces only
+    if not words:
+        return np.zeros(0, np.uint64)
+    parts = map(b" ".join, zip(*(words[i:] for i in range(WORDS)))) if len(words) >= WORDS else [b" ".join(words)]
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, parts, repeat(42))), ">u8").astype(np.uint64))
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Common shingles over all; two texts without words are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _majority(ones: np.ndarray, of: int) -> np.ndarray:
+    return np.packbits(2 * ones > of, axis=-1).view(">u8")[..., 0].astype(np.uint64)
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype(">u8")[..., None].view(np.uint8), axis=-1)
+
+
+def whole_fingerprint(hashes: np.ndarray) -> np.uint64:
+    """The SimHash of all shingles."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), HASH_BLOCK):
+        ones += _bits(hashes[i : i + HASH_BLOCK]).sum(0, dtype=np.int64)
+    return _majority(ones, len(hashes))
+
+
+def sampled_fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """SAMPLES independent SimHashes, each of SAMPLE shingles: those that come first in orders of their own."""
+    first = np.full(len(_ORDERS), np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 1 << 12):
+        x = hashes[i : i + (1 << 12), None] * _ORDERS
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        first = np.minimum(first, x.min(0))
+    return _majority(_bits(first.reshape(SAMPLES, SAMPLE)).sum(1, dtype=np.int64), SAMPLE)
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes, fps, keys = [], [], []
+        for text in batch.column(2).to_pylist():
+            h = shingle_hashes(text)
+            nodes.append(int.from_bytes(xxhash.xxh64_digest(h.tobytes()), "big", signed=True))
+            fps.append(whole_fingerprint(h))
+            keys.append(sampled_fingerprints(h).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()),
+             pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+            ["doc_id", "rid", "node", "fp", "keys"],
+        )
+
+
+def ask(points: np.ndarray, leaders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier, leads) of points in order of rank.
+
+    A point leads unless ``leaders`` leaders before it lie within RADIUS. The
+    pairs are all those within RADIUS of which one leads, so leaders have been
+    compared with every point and are done.
+    """
+    n = len(points)
+    leads = np.zeros(n, bool)
+    trees: list[tuple[np.ndarray, BKTree]] = []
+
+    def near(tree: BKTree, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(places), QUERY_BLOCK):
+            q, node = tree.within(points[places[i : i + QUERY_BLOCK]], RADIUS)
+            yield places[i : i + QUERY_BLOCK][q], node
+
+    for start in range(0, n, TREE_NODES):
+        here = np.arange(start, min(start + TREE_NODES, n))
+        before = np.zeros(len(here), np.int64)
+        for _, tree in trees:
+            for q, _ in near(tree, here):
+                before += np.bincount(q - start, minlength=len(here))
+        for i in range(len(here)):
+            if before[i] < leaders:
+                leads[start + i] = True
+                rest = points[here[i + 1 :]] ^ points[start + i]
+                before[i + 1 :] += np.bitwise_count(rest) <= RADIUS
+        chosen = here[leads[here]]
+        if len(chosen):
+            trees.append((chosen, BKTree(points[chosen])))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for chosen, tree in trees:
+        for q, node in near(tree, np.arange(n)):
+            other = chosen[node]
+            use = (q > other) | (q < other) & ~leads[q]
+            a.append(np.maximum(q, other)[use])
+            b.append(np.minimum(q, other)[use])
+    return np.concatenate(a), np.concatenate(b), leads
+
+
+def _ask_shard(leaders: int):
+    """Rows (key, node, other) for pairs, and those with a null ``other`` for points that don't lead."""
+
+    def asked(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "doc_id", "node"], ignore_index=True)
+        key, node = rows["key"].to_numpy(), rows["node"].to_numpy()
+        points = rows["fp"].to_numpy(np.int64).view(np.uint64)
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        a, b, stay = [], [], []
+        for i, j in zip(edge[:-1], edge[1:]):
+            if j - i == 2:
+                if np.bitwise_count(points[i] ^ points[i + 1]) <= RADIUS:
+                    a.append([i + 1])
+                    b.append([i])
+            elif j - i > 2:
+                x, y, leads = ask(points[i:j], leaders)
+                a.append(x + i)
+                b.append(y + i)
+                stay.append(np.flatnonzero(~leads) + i)
+        a, b, stay = (np.concatenate([np.zeros(0, np.int64), *x]).astype(int) for x in (a, b, stay))
+        pairs = pd.DataFrame({"later": node[a], "earlier": node[b]}).drop_duplicates()
+        found = pd.DataFrame({
+            "kind": np.r_[np.ones(len(pairs), int), np.zeros(len(stay), int)],
+            "a": np.r_[pairs["later"], node[stay]], "b": np.r_[pairs["earlier"], key[stay]],
+        })
+        return found.astype("int64")
+
+    return asked
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, hashes = None, None
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if b != last:
+                last, hashes = b, shingle_hashes(b)
+            keep.append(likeness(shingle_hashes(a), hashes) >= LIKENESS)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["node"])
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` of which none is a near copy of another.
+
+    Near copies have LIKENESS or more of their WORDS-word shingles in common
+    (lower-cased, cut at ASCII white space). Every row that goes is one of a
+    row that has a smaller id, or, of clashing ids, another text, and stays or
+    goes as one itself; rows that equal another in id and text go too. Rows
+    without an id stay. Rows are told apart by id and text, so a clash of ids
+    takes no text that is nobody's copy. A null text counts as empty; an empty
+    table gives no rows.
+
+    Texts with equal shingles are one node. Candidates are nodes with a common
+    sampled fingerprint: at LIKENESS 0.8 three pairs in a million have none.
+    Those of one sampled fingerprint are searched with BK-trees of at most
+    TREE_NODES whole fingerprints, within RADIUS bits, and each candidate pair
+    is then compared by its texts. In a round, points of a group that lead are
+    compared with the whole group and are done; copies go, and the others are
+    asked again with four times as many leaders, so a group of copies needs a
+    pair for each member and never all pairs.
+    """
+    doc_id = F.col(id_col).cast("long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rid = F.xxhash64(doc_id, text)
+    rows = docs.filter(doc_id.isNotNull())
+    described = written(
+        rows.select(doc_id.alias("doc_id"), rid.alias("rid"), text.alias("text")).mapInArrow(
+            _described, "doc_id long, rid long, node long, fp long, keys array<long>"
+        ), "described",
+    )
+    first = F.min(F.struct("doc_id", "rid"))
+    nodes = described.groupBy("node").agg(first.alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = written(nodes.select("node", "first.doc_id", "first.rid", "fp", "keys"), "nodes")
+    each = nodes.select("node", "doc_id", "rid", "fp", F.posexplode("keys").alias("n", "sample"))
+    filed = each.select("node", "doc_id", "rid", "fp", F.xxhash64("n", "sample").alias("key"))
+    shared = filed.groupBy("key").count().filter("count > 1").select("key")
+    filed = written(filed.join(written(shared, "shared"), "key", "left_semi"), "filed")
+    texts = rows.select(rid.alias("rid"), text.alias("text"))
+    met = filed.select("node", "rid").distinct()
+    texts = written(texts.join(met, "rid").dropDuplicates(["node"]).select("node", "text"), "met")
+    gone, leaders = [], 1
+    while True:
+        n = filed.count()
+        if not n:
+            break
+        shard = F.pmod("key", F.lit(max(1, n // SHARD_ROWS)))
+        asked = filed.groupBy(shard.alias("shard")).applyInPandas(_ask_shard(leaders), "kind long, a long, b long")
+        asked = written(asked, "asked")
+        pairs = asked.filter("kind = 1").select("a", "b").distinct()
+        one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        other = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        pairs = pairs.join(one, "a").join(other, "b").select("a", "text_a", "text_b")
+        copies = written(pairs.mapInArrow(_alike, "node long").distinct(), "copies")
+        gone.append(copies)
+        stay = asked.filter("kind = 0").select(F.col("a").alias("node"), F.col("b").alias("key"))
+        filed = written(filed.join(stay, ["node", "key"]).join(copies, "node", "left_anti"), "filed")
+        leaders *= 4
+    kept = nodes
+    for copies in gone:
+        kept = kept.join(copies, "node", "left_anti")
+    kept = written(kept.select(F.col("rid").alias("__rid")), "kept")
+    found = rows.withColumn("__rid", rid).join(kept, "__rid", "left_semi").dropDuplicates(["__rid"])
+    return found.select(docs.columns).union(docs.filter(doc_id.isNull()))

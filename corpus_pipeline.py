@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carecycle.llm import language, packing, simhash, suffixes
+from carecycle.llm import copies, language, packing, simhash, suffixes
 from carecycle.llm.storage import written
 
 LEAST_SCORE = 0.35  # mean probability below which the network counts as undecided
@@ -40,6 +40,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
+def copy_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without near copies: at least 0.8 of the 5-word shingles in common; the smallest id stays."""
+    return copies.without_copies(docs)
+
+
 def suffix_dedup(
     spark: SparkSession, docs: DataFrame, sf_dir: str, words: int | None = None
 ) -> DataFrame:
@@ -61,7 +66,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", language_id),
-    ("near_dedup", near_dedup),
+    ("near_dedup", copy_dedup),
     ("suffix_dedup", passage_dedup),
     ("pack", pack),
 ]
