@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +21,6 @@ BLOCK = 1024  # segments that run together
 FOLDS = 5
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 @dataclass
 class Network:
@@ -232,7 +229,7 @@ def _documents(net: Network | None, text_col: str):
             langs = [UNKNOWN] * len(texts)
             scores = np.zeros(len(texts))
             if net:
-                read = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+                read = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
                 for i, p in zip(read, _pooled(net, (texts[i].encode() for i in read))):
                     langs[i], scores[i] = net.classes[int(p.argmax())], min(1.0, float(p.max()))
             yield pa.RecordBatch.from_arrays(

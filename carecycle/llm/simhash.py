@@ -34,21 +34,25 @@ def simhash64(text: bytes) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) of every row; a null text counts as empty and gets 0."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, fp long) of every row and the columns of ``carry``; a null text counts as empty and gets 0."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([simhash64(t) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"]
+                [batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *carry]
             )
 
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
+        *carry,
     )
-    return rows.mapInArrow(of, "doc_id long, fp long")
+    kinds = dict(docs.dtypes)
+    return rows.mapInArrow(of, ", ".join(["doc_id long, fp long", *(f"{c} {kinds[c]}" for c in carry)]))
 
 
 class BKTree:
@@ -168,18 +172,19 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, tree_nodes: int = TREE_NO
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2,
-    tree_nodes: int = TREE_NODES,
+    tree_nodes: int = TREE_NODES, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id): documents whose SimHashes link within ``radius`` bits.
+    """(doc_id, fingerprint, component_id, component): documents whose SimHashes link within ``radius`` bits.
 
     component_id is the smallest doc_id reachable by links, the document's own
-    included. Equal fingerprints are one tree node, so groups of copies of any
+    included; component names the group itself by one of its fingerprints, which
+    differs between groups even where two of them share that doc_id. Equal fingerprints are one tree node, so groups of copies of any
     size cost one entry. Null and empty texts have fingerprint zero and link
     like any other; repeated rows each return a row; a null doc_id stays null
     and is never the smallest of a group that has another. Columns other than
-    the two named are ignored. An empty table gives an empty result.
+    the two named and those of ``carry``, which follow, are ignored. An empty table gives an empty result.
     """
-    fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    fps = written(fingerprints(docs, id_col, text_col, carry), "fingerprints")
     parts = connected_components(fingerprint_links(fps, radius, tree_nodes))
     firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     firsts = firsts.join(parts, firsts.fp == parts.node, "left").select(
@@ -187,7 +192,7 @@ def near_duplicates(
     )
     firsts = written(firsts, "firsts")
     least = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = written(firsts.join(least, "component").select("fp", "component_id"), "named")
+    named = written(firsts.join(least, "component").select("fp", "component_id", "component"), "named")
     return fps.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", *carry
     )

@@ -222,6 +222,8 @@ def test_language_of_odd_rows(spark):
     pred = {r.doc_id: (r.lang_pred, r.score) for r in got}
     assert [pred[i][0] for i in (900, 901, 902)] == ["und"] * 3 and pred[902][1] == 0
     assert pred[903][0] == "en" and pred[None][0] == "en"
+    signs = spark.createDataFrame([(1, "12 ½ ² ① Ⅷ", None), (2, "½ a", None)], df.drop("score").schema)
+    assert {r.doc_id: r.lang_pred == "und" for r in language.predict(signs, net).collect()} == {1: True, 2: False}
     assert language.fit(df.filter("false")) is None
     assert {r.lang_pred for r in language.predict(df, None).collect()} == {"und"}
     assert language.predict(df.filter("false"), net).count() == 0
