@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carecycle.llm import copies, language, packing, simhash, suffixes
+from carecycle.llm import language, packing, simhash, suffixes
 from carecycle.llm.storage import written
 
 LEAST_SCORE = 0.35  # mean probability below which the network counts as undecided
@@ -33,16 +33,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays, the one with the smallest id.
 
-    Rows that share that id keep one row; rows without an id form no group and stay.
+    Groups are those of op10: 3-word shingles, at most 2 differing bits. Rows
+    are told apart by id and text, so of two texts under one id only a copy
+    goes; of equal rows one stays. Rows without an id form no group and stay.
     """
-    groups = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(written(groups, "groups"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).union(docs.filter("doc_id IS NULL"))
-
-
-def copy_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without near copies: at least 0.8 of the 5-word shingles in common; the smallest id stays."""
-    return copies.without_copies(docs)
+    keys = [F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(0)).alias("k2")]
+    found = simhash.near_duplicates(docs.select("doc_id", "text", *keys), carry=("k1", "k2"))
+    one = found.filter("doc_id = component_id").groupBy("component").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("row"))
+    same = ["doc_id", "k1", "k2"]
+    kept = docs.select(*docs.columns, *keys).join(written(one.select("row.*"), "kept"), same, "left_semi")
+    return kept.dropDuplicates(same).select(docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
 def suffix_dedup(
@@ -66,7 +66,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", language_id),
-    ("near_dedup", copy_dedup),
+    ("near_dedup", near_dedup),
     ("suffix_dedup", passage_dedup),
     ("pack", pack),
 ]
