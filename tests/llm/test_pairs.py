@@ -1,6 +1,5 @@
 """Near-duplicate operators against their definitions, pair by pair."""
 
-import collections
 import os
 import re
 import sys
@@ -186,51 +185,3 @@ def test_recall_of_the_walk(spark):
     assert want == total
     part = embeddings.near_duplicates(table, reach=0.5).agg(F.sum("n_links")).first()[0]
     assert part >= 0.9 * total
-
-
-def words_of(rng, n):
-    return [f"w{x}" for x in rng.integers(0, 5000, n)]
-
-
-def test_pipeline_drops_exactly_near_copies(spark):
-    """Against brute force: no near pair stays, each row that goes is linked to a smaller id that stays."""
-    rng = np.random.default_rng(12)
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
-    line = words_of(rng, 60)  # in texts that are no copies
-    for k in range(12):
-        base = words_of(rng, 150)
-        for edits in rng.integers(0, 4, 12):
-            text = list(base)
-            for at in rng.integers(0, 150, edits):
-                text[at] = "new" + str(rng.integers(0, 1 << 40))
-            rows.append((int(rng.integers(10**6, 10**7)), " ".join(text)))
-        rows += [(10**8 + 20 * k + i, " ".join(line + words_of(rng, 90))) for i in range(20)]
-    clash = rows[0][0]
-    rows += [(clash, "another text that is nobody's copy"), (clash, rows[0][1]), (None, rows[0][1]), (10**9, "a"), (10**9, "A")]
-    rows += [(10**9 + 1, None), (10**9 + 2, " ")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash"))
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in corpus_pipeline.STAGES[1][1](spark, df, FOLDER).collect())
-    docs = sorted({(i, t or "") for i, t in rows if i is not None})
-    sets = []
-    for _, t in docs:
-        w = (t.translate({i: i + 32 for i in range(65, 91)})).split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    by = collections.defaultdict(list)
-    for i, s in enumerate(sets):
-        for x in s or {None}:
-            by[x].append(i)
-    links = set()
-    for i, s in enumerate(sets):
-        for j, common in collections.Counter(j for x in s or {None} for j in by[x] if j < i).items():
-            if not s or common >= 0.8 * len(s | sets[j]):
-                links.add((i, j))
-    assert len(links) > 300
-    place = {d: i for i, d in enumerate(docs)}
-    kept = {place[d] for d in got if d[0] != -1}
-    assert len(kept) == len(got) - 1 and not any(i in kept and j in kept for i, j in links)
-    part = groups(links, len(docs))
-    stays = {part[i] for i in kept}
-    assert {part[i] for i in range(len(docs))} == stays
-    linked = {i for i, _ in links} | {j for i, j in links if docs[i][0] == docs[j][0]}  # of one id, either may go
-    assert all(i in linked for i in range(len(docs)) if i not in kept)
-    assert corpus_pipeline.STAGES[1][1](spark, df.filter("false"), FOLDER).count() == 0

@@ -238,6 +238,10 @@ def test_pipeline_stages(spark):
     want = sorted([a for a, b in group if a == b and a is not None] + [-1])
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == want
 
+    texts = ["one text of its own here", "quite another text under that id", "one text of its own here"]
+    clash = spark.createDataFrame([(7, t, "en", "s", 1) for t in texts], docs.schema)
+    assert sorted(r.text for r in corpus_pipeline.near_dedup(spark, clash, FOLDER).collect()) == sorted(texts[:2])
+
     cut = corpus_pipeline.suffix_dedup(spark, docs, FOLDER)
     assert cut.schema.simpleString() == kinds and cut.count() == docs.count()
     left = {r.row.doc_id: r.kept.decode("utf-8", "ignore") for r in suffixes.remove_repeats(docs).collect()}
