@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carecycle.llm import bpe, chat, embeddings, language, minhash, packing, pages, rans, simhash, suffixes
+from carecycle.llm import (
+    bpe, chat, embeddings, language, minhash, negatives, packing, pages, rans, simhash, suffixes,
+)
 from carecycle.llm.storage import folder
 
 
@@ -78,6 +80,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("component")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_multi_index": op1_multi_index,
     "op2_packing": op2_packing,
@@ -89,5 +97,6 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
+    "op11_hard_negatives": op11_hard_negatives,
 }
-ORACLE: dict[str, str] = {"op6_chat": chat.SQL}
+ORACLE: dict[str, str] = {"op6_chat": chat.SQL, "op11_hard_negatives": negatives.SQL}
