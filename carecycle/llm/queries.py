@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carecycle.llm import (
-    bpe, chat, embeddings, language, minhash, negatives, packing, pages, rans, simhash, suffixes,
+    bpe, chat, embeddings, language, minhash, negatives, packing, pages, rans, simhash, suffixes, variants,
 )
 from carecycle.llm.storage import folder
 
@@ -86,6 +86,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.count_words(_table(spark, sf_dir, "documents"), drop_one_in=variants.DROP_ONE_IN)
+    return variants.group_variants(words)
+
+
 QUERIES = {
     "op1_multi_index": op1_multi_index,
     "op2_packing": op2_packing,
@@ -98,5 +103,6 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 ORACLE: dict[str, str] = {"op6_chat": chat.SQL, "op11_hard_negatives": negatives.SQL}

@@ -1,12 +1,15 @@
 """Searches and look-ups against their definitions, row by row."""
 
+import collections
 import math
+import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from carecycle.llm import negatives, queries
+from carecycle.llm import negatives, queries, variants
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -86,3 +89,80 @@ def test_hard_negatives_query(spark):
     rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()
     rows = [(r.vec_id, (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label, r.embedding) for r in rows]
     assert as_rows(queries.op11_hard_negatives(spark, FOLDER)) == plain_negatives(rows, lambda i: i % 100 == 0)
+
+
+def plain_words(rows):
+    seen = collections.Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            word = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{word}".encode())
+            if h % 199 == 0:
+                word = word[: h % len(word)] + word[h % len(word) + 1 :]
+            seen[word] += 1
+    return {w: n for w, n in seen.items() if len(w) >= 6 and n >= 5}
+
+
+def plain_groups(words):
+    """Near words by comparing the words with one code point left out."""
+    holes, bare = collections.defaultdict(set), collections.defaultdict(set)
+    for w in words:
+        for i in range(len(w)):
+            holes[i, w[:i], w[i + 1 :]].add(w)
+            bare[w[:i] + w[i + 1 :]].add(w)
+    forms, out = {}, []
+    for w, n in words.items():
+        near = set().union(*(holes[i, w[:i], w[i + 1 :]] for i in range(len(w)))) | bare[w]
+        near |= {w[:i] + w[i + 1 :] for i in range(len(w))} & words.keys()
+        near -= {w}
+        best = min(near, key=lambda x: (-words[x], x), default=None)
+        forms[w] = (best if best and words[best] >= 5 * n else None, len(near))
+    for w, n in words.items():
+        root = w
+        while forms[root][0]:
+            root = forms[root][0]
+        form, near = forms[w]
+        out.append((w, form, root, n, near, words[form] if form else None))
+    return sorted(out, key=str)
+
+
+def as_words(found):
+    return sorted([(r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in found.collect()], key=str)
+
+
+def test_variants_of_few_letters(spark):
+    """Runs of equal letters, words within words, ties, chains of forms, letters beyond the alphabet."""
+    rng = np.random.default_rng(8)
+    words = {}
+    for _ in range(400):
+        word = "".join(rng.choice(list("aabé")) for _ in range(int(rng.integers(1, 14))))
+        words[word] = int(rng.choice([5, 5, 7, 25, 130, 700, 4000]))
+    for i in range(40):  # long paths, told apart at the end, at the start and inside
+        words["x" * 40 + "a" * i] = 6 * i + 5
+        words["y" * i + "z" * 300 + "y"] = 5 ** (i % 6)
+        words["w" * 20 + chr(0x4E00 + i) + "v" * 20] = i + 1
+    df = spark.createDataFrame(list(words.items()), "word string, n long").withColumn("no", F.lit("clash"))
+    got, want = as_words(variants.group_variants(df)), plain_groups(words)
+    assert got == want
+    assert sum(r[4] for r in want) > 1000 and any(r[1] and r[2] != r[1] for r in want)
+    assert variants.group_variants(df.filter("false")).count() == 0
+    with pytest.raises(ValueError):
+        variants.group_variants(df, ratio=1)
+
+
+def test_words_of_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(variants, "COUNTER_WORDS", 3)
+    rows = [(i, "Couleur ÉTÉS étés× couleur coulleur COULEUR x1abcdefg_hijklmno") for i in range(300)]
+    rows += [(None, "couleur"), (1, "couleur"), (1, "couleur"), (2, None), (3, ""), (4, "q" * 5000 + " " + "7" * 50)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("word", F.lit(1))
+    got = variants.count_words(df, drop_one_in=199)
+    want = plain_words(rows)
+    assert dict(map(tuple, got.collect())) == want and "q" * 5000 in want
+    assert as_words(variants.group_variants(got)) == plain_groups(want)
+    assert variants.count_words(df.filter("false")).count() == 0
+
+
+def test_variants_query(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    want = plain_groups(plain_words(rows))
+    assert as_words(queries.op12_spelling_variants(spark, FOLDER)) == want and any(r[1] for r in want)
