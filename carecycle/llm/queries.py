@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carecycle.llm import (
-    bpe, chat, embeddings, language, minhash, negatives, packing, pages, rans, simhash, suffixes, variants,
+    bpe, chat, embeddings, language, minhash, negatives, packing, pages, pii, rans, simhash, suffixes,
+    variants,
 )
 from carecycle.llm.storage import folder
 
@@ -91,6 +92,19 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(words)
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def n(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", n("email"), n("ip"), n("card"), n("phone"), F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_multi_index": op1_multi_index,
     "op2_packing": op2_packing,
@@ -104,5 +118,6 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_pii": op13_pii,
 }
-ORACLE: dict[str, str] = {"op6_chat": chat.SQL, "op11_hard_negatives": negatives.SQL}
+ORACLE: dict[str, str] = {"op6_chat": chat.SQL, "op11_hard_negatives": negatives.SQL, "op13_pii": pii.SQL}
