@@ -71,3 +71,9 @@ def keep_prefix(text: Column, stop: str) -> Column:
 def between_chars(text: Column, first: int, last: int) -> Column:
     """Characters ``first`` to ``last``, both 1-based and inclusive."""
     return F.substring(text, first, last - first + 1)
+
+
+def with_unit(value: Column, unit: str, digits: int = 2) -> Column:
+    """The rounded number and its unit as text; NULL stays NULL. Keep the number as a column beside it."""
+    text = F.concat(F.format_string(f"%.{digits}f", F.round(value, digits)), F.lit(unit))
+    return F.when(value.isNotNull(), text)

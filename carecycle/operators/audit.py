@@ -14,20 +14,27 @@ def id_completeness(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Rows, NULL ids and distinct ids of one id column per table.
 
     Each id is counted by itself: grouping by id first keeps every row count
-    and distinct count in one aggregation without expanding the rows.
+    and distinct count in one aggregation. Several columns of one frame are
+    counted in one scan of it, as rows of (column, id).
     """
-    parts = []
+    frames: dict[int, tuple[DataFrame, list[tuple[str, str]]]] = {}
     for name, (df, column) in tables.items():
-        per_id = df.groupBy(F.col(column).alias("_id")).agg(F.count("*").alias("_n"))
-        parts.append(
-            per_id.agg(
-                F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
-                F.coalesce(F.sum(F.when(F.col("_id").isNull(), F.col("_n"))), F.lit(0)).alias(
-                    "null_ids"
-                ),
-                F.count("_id").alias("distinct_ids"),
-            ).select(F.lit(name).alias("table"), F.lit(column).alias("id"), "*")
+        frames.setdefault(id(df), (df, []))[1].append((name, column))
+    parts = []
+    for df, columns in frames.values():
+        ids = [
+            F.struct(F.lit(name).alias("table"), F.lit(c).alias("id"), F.col(c).cast("string").alias("_id"))
+            for name, c in columns
+        ]
+        per_id = df.select(F.inline(F.array(*ids))).groupBy("table", "id", "_id").agg(F.count("*").alias("_n"))
+        found = per_id.groupBy("table", "id").agg(
+            F.sum("_n").alias("n_rows"),
+            F.coalesce(F.sum(F.when(F.col("_id").isNull(), F.col("_n"))), F.lit(0)).alias("null_ids"),
+            F.count("_id").alias("distinct_ids"),
         )
+        names = df.sparkSession.createDataFrame(columns, "table string, id string")
+        counts = ["n_rows", "null_ids", "distinct_ids"]
+        parts.append(names.join(found, ["table", "id"], "left").fillna(0, counts).select("table", "id", *counts))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -43,20 +50,25 @@ def missing_ids(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.select(key).subtract(right.select(key))
 
 
-def id_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """How many distinct ids (NULL is one) are in both, or in one side only."""
+def id_sides(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Every distinct id (NULL is one) with ``side``: in_both (INTERSECT), left_only or right_only (EXCEPT).
+
+    Both sides are read once and reduced to ids on the map side.
+    """
     sides = (
         left.select(key, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
         .unionByName(right.select(key, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
         .groupBy(key)
         .agg(F.max("_l").alias("_l"), F.max("_r").alias("_r"))
     )
-    in_left, in_right = F.col("_l") == 1, F.col("_r") == 1
-    return sides.agg(
-        F.count_if(in_left & in_right).alias("in_both"),
-        F.count_if(in_left & ~in_right).alias("left_only"),
-        F.count_if(~in_left & in_right).alias("right_only"),
-    )
+    side = F.when((F.col("_l") == 1) & (F.col("_r") == 1), "in_both").when(F.col("_l") == 1, "left_only")
+    return sides.select(key, side.otherwise("right_only").alias("side"))
+
+
+def id_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """How many distinct ids (NULL is one) are in both, or in one side only."""
+    sides = ("in_both", "left_only", "right_only")
+    return id_sides(left, right, key).agg(*[F.count_if(F.col("side") == s).alias(s) for s in sides])
 
 
 def uncovered(

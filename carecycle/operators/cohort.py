@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carecycle.functions.dates import midnight_after, plus_days
+from carecycle.operators.joins import members
 
 
 def repeat_cohort(
@@ -37,6 +38,9 @@ def repeat_cohort(
     if upper == "midnight":
         return _by_daily_counts(rows, subject, ts, days, min_further)
     if upper == "exact":
+        limit = int(events.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+        if min_further + 1 > limit:  # beyond it Spark trims no group before the shuffle
+            return _by_instants(rows, subject, ts, days, min_further)
         return _by_nth_follower(rows, subject, event, ts, days, min_further)
     raise ValueError("upper must be 'midnight' or 'exact'")
 
@@ -87,6 +91,29 @@ def _by_nth_follower(rows, subject, event, ts, days, min_further):
     )
 
 
+def _by_instants(rows, subject, ts, days, min_further):
+    # Counts per day settle most subjects: the days fully inside an event's
+    # window are enough, or all days it touches are too few. In what is left no
+    # day holds more than min_further events, or that day alone would have been
+    # enough, so a subject's rows are bounded by the calendar once more.
+    daily = rows.groupBy(subject, F.unix_date(F.col(ts).cast("date")).alias("_day")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(subject).orderBy("_day")
+    inside = F.sum("_n").over(w.rangeBetween(0, days - 1)) - 1
+    touched = F.sum("_n").over(w.rangeBetween(0, days)) - 1
+    bounds = daily.select(subject, inside.alias("_inside"), touched.alias("_touched")).groupBy(subject)
+    bounds = bounds.agg(F.max("_inside").alias("_inside"), F.max("_touched").alias("_touched"))
+    bounds = bounds.filter(F.col("_touched") >= min_further)
+    enough = F.col("_inside") >= min_further
+    open_rows = members(rows, bounds.filter(~enough), subject)
+    instants = open_rows.groupBy(subject, ts).agg(F.count("*").alias("_n"))
+    further = F.expr(
+        f"sum(_n) OVER (PARTITION BY `{subject}` ORDER BY `{ts}` "
+        f"RANGE BETWEEN CURRENT ROW AND INTERVAL '{days}' DAY FOLLOWING) - 1"
+    )
+    found = instants.select(subject, further.alias("_further")).filter(F.col("_further") >= min_further)
+    return bounds.filter(enough).select(subject).union(found.select(subject).distinct())
+
+
 def repeat_cohort_adult(
     events: DataFrame,
     patients: DataFrame,

@@ -22,6 +22,11 @@ def members(df: DataFrame, ids: DataFrame, key: str = "subject_id") -> DataFrame
     return df.join(shuffled_apart(ids.select(key)), key, "left_semi")
 
 
+def bucket_members(df: DataFrame, ids: DataFrame, key: str = "subject_id") -> DataFrame:
+    """The same where ``ids`` is a table in buckets of the key, which is joined as it lies."""
+    return df.join(ids.select(key), key, "left_semi")
+
+
 def non_members(df: DataFrame, ids: DataFrame, key: str = "subject_id") -> DataFrame:
     """Rows whose key is not NULL and not among the ids."""
     known = df.filter(df[key].isNotNull())

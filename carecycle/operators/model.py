@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation, Summarizer
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +40,7 @@ def linear_model(df: DataFrame, response: str, terms: dict[str, list[str]]) -> D
     Rows with a NULL are left out. With as many parameters as rows the
     estimates have no errors (NULL); if no term is left, the intercept is the
     mean; without a row every number is NULL. Only matrices of the size of the
-    model reach the driver.
+    model reach the driver, MERGED of them at most.
     """
     return _table(df, _fit(df, response, terms), list(terms))
 
@@ -69,33 +68,17 @@ def model_summary(df: DataFrame, response: str, terms: dict[str, list[str]]) ->
 
 def _fit(df: DataFrame, response: str, terms: dict[str, list[str]]) -> dict:
     """(estimate, error, t, p) by term, and under "size" the rows and both deviances."""
-    columns = []
-    for i, factors in enumerate(terms.values()):
-        product = F.lit(1.0)
-        for factor in factors:
-            product = product * F.col(factor)
-        columns.append(product.alias(f"_t{i}"))
-    names = [f"_t{i}" for i in range(len(terms))]
-    rows = df.select(F.col(response).cast("double").alias("_y"), *columns).dropna()
-    design = VectorAssembler(inputCols=[*names, "_y"], outputCol="_all").transform(rows).select("_all")
-    design.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = design.count()
-        if not n:
-            return {"size": (0, 0.0, 0.0)}
-        moments = design.agg(
-            Summarizer.metrics("mean", "variance").summary(F.col("_all")).alias("m")
-        ).first()["m"]
-        mean = moments["mean"].toArray()
-        spread = np.sqrt(np.maximum(moments["variance"].toArray(), 0))
-        correlation = np.nan_to_num(Correlation.corr(design, "_all").first()[0].toArray())
-    finally:
-        design.unpersist()
+    n, mean, scatter = _moments(df, response, terms)
+    if not n:
+        return {"size": (0, 0.0, 0.0)}
     y = len(terms)
-    kept, swept = _sweep(correlation, spread[:y])
-    inverse = -swept[np.ix_(kept, kept)] / np.outer(spread[kept], spread[kept]) / max(1, n - 1)
-    slope = swept[kept, y] * spread[y] / spread[kept]
-    null_deviance = float(spread[y] ** 2 * (n - 1))
+    size = np.sqrt(np.maximum(np.diag(scatter), 0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        correlation = np.nan_to_num(scatter / np.outer(size, size))
+    kept, swept = _sweep(correlation, size[:y])
+    inverse = -swept[np.ix_(kept, kept)] / np.outer(size[kept], size[kept])
+    slope = swept[kept, y] * size[y] / size[kept]
+    null_deviance = float(scatter[y, y])
     deviance = max(0.0, null_deviance * float(swept[y, y]))
     free = n - len(kept) - 1
     centre = mean[kept]
@@ -114,6 +97,67 @@ def _fit(df: DataFrame, response: str, terms: dict[str, list[str]]) -> dict:
     return found
 
 
+MERGED = 64  # matrices of moments that reach the driver at most
+_MOMENTS = "n double, mean array<double>, scatter array<double>"
+
+
+def _moments(df: DataFrame, response: str, terms: dict[str, list[str]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means, and square sums about the means, of the terms and the response.
+
+    Rows are counted by the values of the terms' factors first (map-side), with
+    the response's mean and square sum in each; the products are formed once
+    for each of these patterns, weighted by its rows. With flags as factors
+    there are few patterns, whatever the number of rows. Each task reduces its
+    patterns to one matrix, and at most MERGED merged ones reach the driver.
+    """
+    factors = list(dict.fromkeys(f for parts in terms.values() for f in parts))
+    rows = df.select(*[F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(factors)],
+                     F.col(response).cast("double").alias("_y")).dropna()
+    by = [f"_f{i}" for i in range(len(factors))]
+    patterns = rows.groupBy(*by).agg(
+        F.count("*").cast("double").alias("_n"), F.avg("_y").alias("_mean"), F.var_pop("_y").alias("_spread")
+    )
+    at = [[factors.index(f) for f in parts] for parts in terms.values()]
+    k = len(terms) + 1
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            x, n = batch[by].to_numpy(float).reshape(len(batch), len(by)), batch["_n"].to_numpy()
+            if not len(n):
+                continue
+            z = np.column_stack([*[x[:, i].prod(1) for i in at], batch["_mean"]])
+            mean = (n @ z) / n.sum()
+            scatter = (z - mean).T @ ((z - mean) * n[:, None])
+            scatter[-1, -1] += (n * batch["_spread"]).sum()
+            total = _merged(total, (n.sum(), mean, scatter))
+        if total:
+            yield pd.DataFrame({"n": [total[0]], "mean": [total[1]], "scatter": [total[2].ravel()]})
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            for r in batch.itertuples():
+                total = _merged(total, (r.n, np.array(r.mean), np.array(r.scatter).reshape(k, k)))
+        if total:
+            yield pd.DataFrame({"n": [total[0]], "mean": [total[1]], "scatter": [total[2].ravel()]})
+
+    total = None
+    parts = patterns.mapInPandas(reduced, _MOMENTS).repartition(MERGED).mapInPandas(merged, _MOMENTS)
+    for r in parts.collect():
+        total = _merged(total, (r.n, np.array(r.mean), np.array(r.scatter).reshape(k, k)))
+    return (int(total[0]), *total[1:]) if total else (0, np.zeros(k), np.zeros((k, k)))
+
+
+def _merged(a: tuple | None, b: tuple) -> tuple:
+    """Moments of two sets of rows together."""
+    if a is None:
+        return b
+    n = a[0] + b[0]
+    apart = b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
+
+
 def t_tail(t: float, free: int) -> float:
     """Probability that Student's t with ``free`` degrees of freedom lies beyond t on either side.
 

@@ -49,8 +49,8 @@ def group_size_excess(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def batches(df: DataFrame, key: str, size: int, out: str = "batch") -> DataFrame:
-    """Consecutive batches of exactly ``size`` rows in key order."""
+def batches(df: DataFrame, key: str | list[str], size: int, out: str = "batch") -> DataFrame:
+    """Consecutive batches of exactly ``size`` rows in the order of a key of any orderable type."""
     return number_rows(df, key, "_row").withColumn(
         out, F.ceil(F.col("_row") / F.lit(size)).cast("long")
     ).drop("_row")

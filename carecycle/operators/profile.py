@@ -128,3 +128,25 @@ def two_way(df: DataFrame, rows: str, columns: str) -> DataFrame:
             "column_share": F.round(F.col("n") / F.sum("n").over(column), 3),
         }
     )
+
+
+def margins(df: DataFrame, by: list[str], values: dict[str, Column], digits: int = 2) -> DataFrame:
+    """Rows, and mean, sd and missing of each value, for the levels of every column of ``by``.
+
+    One aggregation by grouping sets gives all margins: a row is (margin,
+    level), with a NULL level of its own. Values are reduced on the map side.
+    """
+    rows = df.select(*[F.col(c).cast("string").alias(c) for c in by], *[v.cast("double").alias(n) for n, v in values.items()])
+    stats = [F.count("*").alias("n_rows")]
+    for name in values:
+        stats += [
+            F.round(F.avg(name), digits).alias(f"mean_{name}"),
+            F.round(F.stddev_samp(name), digits).alias(f"sd_{name}"),
+            F.count_if(F.col(name).isNull()).alias(f"missing_{name}"),
+        ]
+    found = rows.groupingSets([[F.col(c)] for c in by], *by).agg(F.grouping_id().alias("_set"), *stats)
+    margin = level = F.lit(None).cast("string")
+    for i, c in enumerate(by):
+        this = F.col("_set") == (1 << len(by)) - 1 - (1 << (len(by) - 1 - i))
+        margin, level = F.when(this, c).otherwise(margin), F.when(this, F.col(c)).otherwise(level)
+    return found.select(margin.alias("margin"), level.alias("level"), *[c for c in found.columns if c not in (*by, "_set")])

@@ -30,8 +30,9 @@ def blind_shuffle(
     for df, label in labelled:
         part = df.withColumn("cohort", F.lit(label))
         stacked = part if stacked is None else stacked.unionByName(part)
-    return (
-        stacked.filter(F.col(required).isNotNull())
-        .withColumn("shuffle_key", seeded_key(seed, F.col(row_key)))
-        .orderBy("shuffle_key", row_key)
-    )
+    return shuffled(stacked.filter(F.col(required).isNotNull()), row_key, seed)
+
+
+def shuffled(df: DataFrame, row_key: str, seed: str) -> DataFrame:
+    """Rows in the order of a seeded hash of the row key."""
+    return df.withColumn("shuffle_key", seeded_key(seed, F.col(row_key))).orderBy("shuffle_key", row_key)

@@ -300,3 +300,51 @@ def mortality_table(
         for m in measures
     ]
     return sums.select(F.inline(F.array(*structs)))
+
+
+def readmissions(admissions: DataFrame, patients: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Later admissions in days since a subject's first one, and the days each subject is followed.
+
+    Subjects are followed to their death or, at most, to the last day of any admission.
+    """
+    day = F.col("admit_dt").cast("date")
+    first = first_per(admissions.select("subject_id", "hadm_id", "admit_dt"), ["subject_id"], ["admit_dt", "hadm_id"])
+    first = first.select("subject_id", day.alias("_first"), F.col("hadm_id").alias("_first_id"))
+    later = admissions.join(shuffled_apart(first), "subject_id").filter(F.col("hadm_id") != F.col("_first_id"))
+    last = admissions.agg(F.max(day).alias("_last"))  # one row
+    followed = first.join(patients.select("subject_id", "dod"), "subject_id").crossJoin(F.broadcast(last))
+    return (
+        later.select("subject_id", F.date_diff(day, "_first").alias("days")),
+        followed.select("subject_id", F.date_diff(F.least("dod", "_last"), "_first").alias("days")),
+    )
+
+
+def care_settings(stays: DataFrame, demographics: DataFrame, flags: DataFrame) -> DataFrame:
+    """Stays with their care unit, the admission's source and the first treatment flag that is set."""
+    source = demographics.select("hadm_id", F.col("admission_source_descr").alias("admission_source"))
+    treatment = F.lit("none")
+    for name in reversed([c for c in flags.columns if c not in ("subject_id", "hadm_id")]):
+        treatment = F.when(F.col(name) == 1, name).otherwise(treatment)
+    return (
+        stays.join(source, "hadm_id", "left")
+        .join(flags.drop("subject_id"), "hadm_id", "left")
+        .select(
+            "subject_id", "hospital_seq", "icustay_los", "admission_source",
+            F.col("icustay_first_careunit").alias("care_unit"), treatment.alias("treatment"),
+        )
+    )
+
+
+def fitted(df: DataFrame, coefficients: DataFrame, terms: dict[str, list[str]], intercept: str) -> DataFrame:
+    """Rows with the linear model's ``fitted`` value; rows must differ from each other, terms without estimate count 0.
+
+    The products of a row's flags are joined with the coefficient table, so no
+    estimate is pasted into the plan.
+    """
+    products = [F.struct(F.lit(intercept).alias("term"), F.lit(1.0).alias("_x"))]
+    for term, factors in terms.items():
+        x = reduce(lambda a, b: a * b, [F.col(f).cast("double") for f in factors])
+        products.append(F.struct(F.lit(term).alias("term"), x.alias("_x")))
+    known = coefficients.select("term", F.coalesce("estimate", F.lit(0.0)).alias("_estimate"))
+    rows = df.select("*", F.inline(F.array(*products))).join(known, "term")
+    return rows.groupBy(*df.columns).agg(F.sum(F.col("_x") * F.col("_estimate")).alias("fitted"))

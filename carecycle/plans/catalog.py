@@ -10,8 +10,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from carecycle.functions.recode import merge_labels
+from carecycle.functions.dates import elapsed_days
+from carecycle.functions.recode import merge_labels, with_unit
 from carecycle.functions.vocab import (
     ANNOTATION_FEATURES,
     ANNOTATION_IDS,
@@ -22,15 +24,15 @@ from carecycle.functions.vocab import (
 from carecycle.operators import agreement as ag
 from carecycle.operators import audit, durations, model, pick, profile, ranges, sampling, survival
 from carecycle.operators import cohort as co
-from carecycle.operators.joins import members
+from carecycle.operators.joins import bucket_members, members
 from carecycle.plans import analysis as an
 from carecycle.plans import annotations as ann
 from carecycle.plans import extracts as ex
 from carecycle.plans import notes as nt
 from carecycle.session import files_dir
-from carecycle.sources import files
+from carecycle.sources import files, schemas
 from carecycle.sources.analogs import Analogs
-from carecycle.sources.tables import own_name, replace_table
+from carecycle.sources.tables import own_name, replace_bucketed, replace_table
 
 Query = Callable[[Analogs], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -318,39 +320,28 @@ def negative_nursing_notes(a):
 
 @query
 def long_notes(a):
-    notes = a.notes()
-    return nt.long_notes(
-        {
-            "discharge": nt.note_extract(notes, _negatives(a), nt.is_discharge()),
-            "nursing": nt.first_note_per_admission(notes, _negatives(a), nt.is_nursing()),
-        }
-    )
+    return nt.long_notes(a.notes(), _negatives(a))
+
+
+def _both_cohorts(a):
+    return {1: _cohort(a, MANY_REPEATS), 0: _negatives(a)}
 
 
 @query
 def blind_shuffle(a):
-    nursing = nt.is_nursing()
-    positive = nt.note_extract(a.notes(), _cohort(a, MANY_REPEATS), nursing)
-    negative = nt.note_extract(a.notes(), _negatives(a), nursing)
-    columns = ["note_id", "subject_id", "hadm_id", "icustay_id", "charttime", "text"]
-    return sampling.blind_shuffle(
-        [(positive.select(*columns), 1), (negative.select(*columns), 0)],
-        "note_id", "hadm_id", SHUFFLE_SEED,
-    )
+    columns = ["note_id", "subject_id", "hadm_id", "icustay_id", "charttime", "text", "cohort"]
+    kind = nt.is_nursing() & F.col("hadm_id").isNotNull()
+    notes = nt.labelled_notes(a.notes(), _both_cohorts(a), [kind])
+    return sampling.shuffled(notes.select(*columns), "note_id", SHUFFLE_SEED)
 
 
 @query
 def combined_notes(a):
     """Discharge and nursing notes of both cohorts, stacked in reading order."""
-    columns = ["note_id", "subject_id", "hadm_id", "icustay_id", "charttime", "category", "text"]
-    parts = [
-        nt.note_extract(a.notes(), subjects, kind)
-        .select(*columns)
-        .withColumn("cohort", F.lit(label))
-        for subjects, label in ((_cohort(a, MANY_REPEATS), 1), (_negatives(a), 0))
-        for kind in (nt.is_discharge(), nt.is_nursing() & F.col("hadm_id").isNotNull())
-    ]
-    return reduce(DataFrame.unionByName, parts).orderBy("subject_id", "charttime", "note_id")
+    columns = ["note_id", "subject_id", "hadm_id", "icustay_id", "charttime", "category", "text", "cohort"]
+    kinds = [nt.is_discharge(), nt.is_nursing() & F.col("hadm_id").isNotNull()]
+    notes = nt.labelled_notes(a.notes(), _both_cohorts(a), kinds)
+    return notes.select(*columns).orderBy("subject_id", "charttime", "note_id")
 
 
 # -- treatments ------------------------------------------------------------
@@ -396,18 +387,31 @@ def pressor_days_overall(a):
 
 @query
 def vent_durations(a):
-    """Ventilation spans as the text of an extract, parsed back."""
+    """Ventilation spans of an extract file, whose times are text."""
     spans = durations.treatment_span(a.chart_events(), VENTILATION)
-    text = spans.select(
+    rows = spans.select(
+        F.col("icustay_id").alias("index"),
+        F.floor(F.col("icustay_id") / 3).alias("subject_id"),
         "icustay_id",
+        F.lit(1).alias("seq"),
         *[
             F.date_format(f"{end}_time", "M/d/yyyy H:mm").alias(f"{name}_time")
             for name, end in (("begin", "start"), ("end", "stop"))
         ],
     )
+    path = files.write_lines(rows, files_dir(a.spark, "ventilation"))
+    read = files.good_rows(files.read_lines(a.spark, path, schemas.VENTILATION_EXTRACT))
+    text = read.select("icustay_id", "begin_time", "end_time")
     return durations.parsed_durations(text, "begin_time", "end_time")
 
 
+@query
+def treated_percent(a):
+    """Share of subjects ever treated, as a number and as text with its unit."""
+    share = treated_share(a).select("treatment", "percent")
+    return share.withColumn("percent_text", with_unit(F.col("percent"), "%"))
+
+
 # -- annotation files ------------------------------------------------------
 
 
@@ -422,7 +426,7 @@ def _results_on_disk(a, folder):
 
 
 def _notes_on_disk(a, folder):
-    """Note files in two layouts, named by batch; returns schema -> path."""
+    """Note files in two layouts, named by batch; returns their folders."""
     notes = a.annotated_notes().withColumn(
         "source", F.concat(F.lit("xx"), F.col("batch_id"), F.lit("notes"))
     )
@@ -432,14 +436,14 @@ def _notes_on_disk(a, folder):
         "description string": 1,
     }
     wide = notes.withColumn("description", F.lit("Summary"))
-    paths = {}
+    paths = []
     for schema, cohort in layouts.items():
         names = [c.split()[0] for c in schema.split(", ")]
         path = files.write_batches(
             wide.filter(F.col("cohort") == cohort).select(*names, "source"),
             files_dir(a.spark, f"{folder}/{cohort}"), "source",
         )
-        paths[schema] = [path]
+        paths.append(path)
     return paths
 
 
@@ -450,7 +454,9 @@ def read_results(a):
 
 @query
 def read_notes(a):
-    return files.read_notes(a.spark, _notes_on_disk(a, "notes"))
+    """Notes of a folder of files whose layouts their headers tell."""
+    _notes_on_disk(a, "notes")
+    return files.read_notes(a.spark, files_dir(a.spark, "notes"))
 
 
 LATE_OPERATOR = "R-O"
@@ -589,6 +595,105 @@ def annotation_batches(a):
     )
 
 
+@query
+def annotation_batch_files(a):
+    """Texts of the remaining unsure notes, written as files of 30 and read back."""
+    remaining = ann.unsure_remaining(a.annotations(), _adjudicated(a))
+    texts = ann.unsure_export(_reconciled(a), remaining)
+    order = ["hadm_id", "subject_id", "chartdate", "text"]
+    path = files.write_numbered_batches(texts, files_dir(a.spark, "unsure_batches"), order, 30)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema)
+    rows = files.read_numbered_batches(a.spark, path, schema)
+    sizes = rows.groupBy("file").agg(F.count("*").alias("rows_in_file"))
+    return rows.join(sizes, "file").drop("file")
+
+
+# -- extract files ---------------------------------------------------------
+
+
+def _lines(a, name, df, schema, spoilt, sep=","):
+    """Lines of an extract; some are written broken, so that there is something to part."""
+    broken = {
+        spoilt: F.when(F.col("hadm_id") % 89 == 5, "n/a"),
+        "": F.when(F.col("hadm_id") % 97 == 3, f"{sep}?"),
+    }
+    path = files.write_lines(df, files_dir(a.spark, name), sep, broken)
+    return files.read_lines(a.spark, path, schema, sep)
+
+
+def _demographic_lines(a, name):
+    rows = _demographics(a).withColumn("index", F.col("icustay_id"))
+    columns = StructType.fromDDL(schemas.DEMOGRAPHICS_EXTRACT).names
+    return _lines(a, name, rows.select(*columns), schemas.DEMOGRAPHICS_EXTRACT, "admit_age")
+
+
+def _comorbidity_lines(a, name):
+    rows = members(a.comorbidities(), _subjects(a)).withColumns(
+        {"index": F.col("hadm_id"), "category": F.lit("ELIXHAUSER")}
+    )
+    columns = StructType.fromDDL(schemas.COMORBIDITY_EXTRACT).names
+    return _lines(a, name, rows.select(*columns), schemas.COMORBIDITY_EXTRACT, "obesity")
+
+
+def _code_lines(a, name):
+    rows = members(a.diagnoses(), _subjects(a))
+    columns = StructType.fromDDL(schemas.CODE_EXTRACT).names
+    return _lines(a, name, rows.select(*columns), schemas.CODE_EXTRACT, "sequence", ";")
+
+
+@query
+def demographics_extract(a):
+    return files.good_rows(_demographic_lines(a, "demographics_extract"))
+
+
+@query
+def comorbidity_extract(a):
+    return files.good_rows(_comorbidity_lines(a, "comorbidity_extract"))
+
+
+@query
+def code_extract(a):
+    """Diagnosis codes of a file with semicolons."""
+    return files.good_rows(_code_lines(a, "code_extract"))
+
+
+@query
+def frequency_extract(a):
+    """Admission frequencies of a file with a header in each part."""
+    path = files.write_csv(an.admission_frequency(_stays(a)), files_dir(a.spark, "frequency_extract"))
+    header = "HOSPITAL_SEQ,NUMBER_OF_PATIENTS"
+    return files.good_rows(files.read_lines(a.spark, path, schemas.FREQUENCY_EXTRACT, header=header))
+
+
+@query
+def extract_quarantine(a):
+    """Lines of three extracts by what they are, bad ones by reason."""
+    extracts = {
+        "demographics": _demographic_lines, "comorbidities": _comorbidity_lines, "codes": _code_lines,
+    }
+    parts = [
+        files.accounted(build(a, f"{name}_quarantine")).select(F.lit(name).alias("extract"), "*")
+        for name, build in extracts.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def cohort_extracts(a):
+    """Rows of the cohort's extracts, all joined with one cohort table in buckets."""
+    name = own_name(a.spark, "carecycle_cohort_buckets")
+    cohort = replace_bucketed(_cohort(a), name, "subject_id")
+    tables = {
+        "admissions": a.admissions(), "diagnoses": a.diagnoses(), "costs": a.cost_events(),
+        "procedures": a.procedures(), "demographics": a.demographics(),
+    }
+    parts = [
+        bucket_members(df, cohort).agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("extract"), "n_rows")
+        for name, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # -- admission level -------------------------------------------------------
 
 
@@ -610,6 +715,13 @@ def stays_union(a):
     return files.read_stay_extracts(a.spark, paths, schema)
 
 
+@query
+def stays_cross_check(a):
+    """Stays pulled by the subjects alone against those of the cohort: INTERSECT and EXCEPT."""
+    pulled = ex.cohort_rows(a.stays(), _subjects(a))
+    return audit.id_sides(_stays(a), pulled, "icustay_id")
+
+
 @query
 def admission_frequency(a):
     return an.admission_frequency(_stays(a))
@@ -720,6 +832,15 @@ def severity_track_high(a):
     return an.severity_track(_severity_extract(a)).filter("subject_max > 20")
 
 
+@query
+def care_margins(a):
+    """Stays by care unit, by admission source and by treatment, in one aggregation."""
+    flags = an.procedure_flags(a.procedures(), PROCEDURE_LISTS)
+    rows = an.care_settings(_stays(a), a.demographics(), flags)
+    values = {"admissions": F.col("hospital_seq"), "days": F.col("icustay_los") / 1440.0}
+    return profile.margins(rows, ["care_unit", "admission_source", "treatment"], values)
+
+
 # -- survival and models ---------------------------------------------------
 
 
@@ -751,6 +872,22 @@ def survival_discharge(a):
     return _curve(curve)
 
 
+@query
+def survival_minutes(a):
+    """The first curve with the time of day of the admission kept."""
+    first = an.first_admission_rows(_stays(a))
+    days = elapsed_days(F.col("hospital_admit_dt"), F.col("dod").cast("timestamp_ntz"))
+    event = F.when(F.col("expire_flg") == "Y", 1).otherwise(0)
+    return _curve(survival.kaplan_meier(first.select("subject_id", days.alias("days"), event.alias("event"))))
+
+
+@query
+def readmission_risk(a):
+    """Mean number of further admissions up to each day since the first one."""
+    events, followed = an.readmissions(a.admissions(), a.patients())
+    return _rounded(survival.mean_cumulative(events, followed), "mean_events", "std_error")
+
+
 @query
 def outpatient_deaths(a):
     return an.outpatient_deaths(_stays(a))
@@ -801,13 +938,9 @@ def mortality_interactions_fitted(a):
     """Fitted values of the interaction model by flag pattern; saturated, so they are means."""
     rows = _mortality_rows(a)
     terms = model.full_interactions(INTERACTION_FLAGS)
-    found = {r.term: r.estimate for r in model.linear_model(rows, "died", terms).collect()}
-    fitted = F.lit(found[model.INTERCEPT])
-    for term, factors in terms.items():
-        if found[term] is not None:
-            fitted = fitted + found[term] * reduce(lambda x, y: x * y, map(F.col, factors))
     cells = rows.groupBy(*INTERACTION_FLAGS).agg(F.count("*").alias("n"))
-    return _rounded(cells.withColumn("fitted", fitted), "fitted")
+    found = model.linear_model(rows, "died", terms)
+    return _rounded(an.fitted(cells, found, terms, model.INTERCEPT), "fitted")
 
 
 # -- completeness ----------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from carecycle.functions.vocab import (
     PHYSICIAN_CATEGORY,
 )
 from carecycle.operators.cohort import of_age
-from carecycle.operators.joins import members, non_members
+from carecycle.operators.joins import members, non_members, shuffled_apart
 from carecycle.operators.pick import first_per
 from carecycle.operators.sampling import sample_ids
 from carecycle.plans.extracts import not_neonate
@@ -74,12 +76,34 @@ def with_discharge_note(notes: DataFrame, subjects: DataFrame) -> DataFrame:
     return members(having, subjects)
 
 
-def long_notes(sets: dict[str, DataFrame], longer_than: int = 4000) -> DataFrame:
-    """How many notes of each set exceed a number of characters."""
-    counted = None
-    for name, notes in sets.items():
-        part = notes.agg(
-            F.count_if(F.length("text") > longer_than).alias("n_long")
-        ).select(F.lit(name).alias("note_set"), "n_long")
-        counted = part if counted is None else counted.unionByName(part)
-    return counted
+def labelled_notes(
+    notes: DataFrame, cohorts: dict[int, DataFrame], kinds: list[Column], label: str = "cohort"
+) -> DataFrame:
+    """Notes of several cohorts and kinds, a row for each cohort and kind that a note belongs to.
+
+    The texts are read once and joined once, with the labelled subjects of all cohorts.
+    """
+    subjects = [df.select("subject_id", F.lit(n).alias(label)) for n, df in cohorts.items()]
+    labels = shuffled_apart(reduce(DataFrame.unionByName, subjects))
+    held = F.array(*[F.when(kind, F.lit(i)) for i, kind in enumerate(kinds)])
+    rows = notes.filter(reduce(lambda a, b: a | b, kinds)).withColumn("_kinds", F.array_compact(held))
+    rows = rows.join(labels, "subject_id")
+    return rows.withColumn("_kind", F.explode("_kinds")).drop("_kinds", "_kind")
+
+
+def long_notes(notes: DataFrame, subjects: DataFrame, longer_than: int = 4000) -> DataFrame:
+    """How many discharge notes, and first nursing notes of an admission, exceed a number of characters.
+
+    The texts are read once, only to be measured.
+    """
+    nursing = is_nursing() & F.col("hadm_id").isNotNull()
+    measured = notes.filter(is_discharge() | nursing).select(
+        "note_id", "subject_id", "hadm_id", "charttime", is_discharge().alias("_discharge"), nursing.alias("_nursing"),
+        (F.length("text") > longer_than).alias("_long"),
+    )
+    rows = members(measured, subjects)
+    first = first_per(rows.filter("_nursing"), ["hadm_id"], ["charttime", "note_id"])
+    parts = []
+    for name, df in (("discharge", rows.filter("_discharge")), ("nursing", first)):
+        parts.append(df.agg(F.count_if("_long").alias("n_long")).select(F.lit(name).alias("note_set"), "n_long"))
+    return reduce(DataFrame.unionByName, parts)

@@ -343,6 +343,19 @@ _VIEWS = {
         SELECT subject_id, gender, CAST(expire_flg = 'Y' AS INTEGER) AS event,
                coalesce(raw_days, max(raw_days) OVER ()) AS days
         FROM (SELECT *, dod - CAST(hospital_admit_dt AS DATE) AS raw_days FROM first_rows)""",
+    "first_death_minutes": """
+        SELECT subject_id, CAST(expire_flg = 'Y' AS INTEGER) AS event,
+               coalesce(raw_days, max(raw_days) OVER ()) AS days
+        FROM (SELECT *, datesub('minute', hospital_admit_dt, CAST(dod AS TIMESTAMP)) / CAST(1440 AS DOUBLE) AS raw_days
+              FROM first_rows)""",
+    "admission_order": """
+        SELECT subject_id, CAST(admit_dt AS DATE) AS day,
+               first_value(CAST(admit_dt AS DATE)) OVER w AS first_day, row_number() OVER w AS nth
+        FROM admissions WINDOW w AS (PARTITION BY subject_id ORDER BY admit_dt, hadm_id)""",
+    "readmitted": "SELECT subject_id, day - first_day AS days FROM admission_order WHERE nth > 1",
+    "followed": """
+        SELECT subject_id, least(dod, (SELECT max(day) FROM admission_order)) - first_day AS days
+        FROM admission_order JOIN patients USING (subject_id) WHERE nth = 1""",
     "left_alive": """
         SELECT * EXCLUDE (rk) FROM (
           SELECT *, row_number() OVER (PARTITION BY subject_id
@@ -588,6 +601,8 @@ _LOS = ", ".join(
     for name, c in {"icu_days": "icustay_los", "hospital_days": "hospital_los"}.items()
     for stat, f in (("mean", "avg"), ("sd", "stddev_samp"))
 )
+# Lines that the extracts do not break.
+_WHOLE = "coalesce(hadm_id % 97 <> 3 AND hadm_id % 89 <> 5, true)"
 _STAY_NULLS = [
     "icustay_id", "subject_id", "hadm_id", "dod", "hospital_seq", "hospital_los",
     "hospital_expire_flg", "hospital_last_flg", "sofa_first", "sapsi_first",
@@ -732,6 +747,8 @@ _QUERIES = {
                datesub('minute', date_trunc('minute', start_time),
                        date_trunc('minute', stop_time)) / CAST(1440 AS DOUBLE) AS duration
         FROM vent""",
+    "treated_percent": f"""
+        SELECT treatment, percent, printf('%.2f%%', percent) AS percent_text FROM ({{treated_share}})""",
     "read_results": "SELECT * FROM results",
     "read_notes": "SELECT DISTINCT * FROM annotated_notes",
     "reconcile": "SELECT * FROM reconciled",
@@ -799,6 +816,72 @@ _QUERIES = {
     "annotation_batches": """
         SELECT icu_id, CAST(ceil(row_number() OVER (ORDER BY icu_id) / 30) AS BIGINT) AS batch
         FROM remaining""",
+    "annotation_batch_files": """
+        SELECT *, count(*) OVER (PARTITION BY batch) AS rows_in_file
+        FROM (SELECT *, CAST(ceil(row_number() OVER (ORDER BY hadm_id, subject_id, chartdate, text) / 30) AS BIGINT) AS batch
+              FROM ({unsure_export}))""",
+    "demographics_extract": f"""
+        SELECT icustay_id AS "index", subject_id, hadm_id, admit_age, gender, dod, marital_status, ethnicity,
+               overall_payor_group, religion, admission_type, admission_source, hospital_expire_flg, expire_flg
+        FROM demographics WHERE {_WHOLE}""",
+    "comorbidity_extract": f"""
+        SELECT hadm_id AS "index", subject_id, hadm_id, 'ELIXHAUSER' AS category, {_FLAG_LIST}
+        FROM comorbidities WHERE subject_id IN (SELECT subject_id FROM subjects) AND {_WHOLE}""",
+    "code_extract": f"SELECT code, subject_id, hadm_id, description, sequence FROM cohort_diagnoses WHERE {_WHOLE}",
+    "frequency_extract": """
+        SELECT hospital_seq, count(DISTINCT subject_id) AS number_of_patients
+        FROM cohort_stays WHERE hospital_seq IS NOT NULL GROUP BY 1""",
+    "extract_quarantine": " UNION ALL ".join(
+        f"""SELECT '{name}' AS extract, CASE WHEN {_WHOLE} THEN 'row' ELSE 'bad' END AS kind,
+                   CASE WHEN hadm_id % 97 = 3 THEN 'not {columns} columns'
+                        WHEN hadm_id % 89 = 5 THEN '{spoilt}' END AS reason, count(*) AS n_lines
+            FROM {source} GROUP BY 1, 2, 3"""
+        for name, columns, spoilt, source in (
+            ("demographics", 14, "admit_age is not of type double", "demographics"),
+            ("comorbidities", 34, "obesity is not of type int",
+             "(SELECT * FROM comorbidities WHERE subject_id IN (SELECT subject_id FROM subjects))"),
+            ("codes", 5, "sequence is not of type int", "cohort_diagnoses"),
+        )
+    ),
+    "cohort_extracts": " UNION ALL ".join(
+        f"""SELECT '{name}' AS extract, count(*) AS n_rows
+            FROM {source} WHERE subject_id IN (SELECT subject_id FROM cohort)"""
+        for name, source in (
+            ("admissions", "admissions"), ("diagnoses", "diagnoses"), ("costs", "cost_events"),
+            ("procedures", "procedures"), ("demographics", "demo"),
+        )
+    ),
+    "stays_cross_check": """
+        SELECT icustay_id, 'in_both' AS side FROM (
+          SELECT icustay_id FROM cohort_stays INTERSECT SELECT icustay_id FROM stays
+          WHERE subject_id IN (SELECT subject_id FROM subjects))
+        UNION ALL
+        SELECT icustay_id, 'left_only' FROM (
+          SELECT icustay_id FROM cohort_stays EXCEPT SELECT icustay_id FROM stays
+          WHERE subject_id IN (SELECT subject_id FROM subjects))
+        UNION ALL
+        SELECT icustay_id, 'right_only' FROM (
+          SELECT icustay_id FROM stays WHERE subject_id IN (SELECT subject_id FROM subjects)
+          EXCEPT SELECT icustay_id FROM cohort_stays)""",
+    "care_margins": """
+        SELECT CASE WHEN grouping(care_unit) = 0 THEN 'care_unit' WHEN grouping(admission_source) = 0 THEN 'admission_source'
+                    ELSE 'treatment' END AS margin,
+               CASE WHEN grouping(care_unit) = 0 THEN care_unit WHEN grouping(admission_source) = 0 THEN admission_source
+                    ELSE treatment END AS level,
+               count(*) AS n_rows, round(avg(hospital_seq), 2) AS mean_admissions,
+               round(stddev_samp(hospital_seq), 2) AS sd_admissions, count(*) - count(hospital_seq) AS missing_admissions,
+               round(avg(icustay_los / CAST(1440 AS DOUBLE)), 2) AS mean_days,
+               round(stddev_samp(icustay_los / CAST(1440 AS DOUBLE)), 2) AS sd_days,
+               count(*) - count(icustay_los) AS missing_days
+        FROM (SELECT s.hospital_seq, s.icustay_los, s.icustay_first_careunit AS care_unit,
+                     d.admission_source_descr AS admission_source,
+                     CASE WHEN p.dialysis = 1 THEN 'dialysis' WHEN p.tracheostomy = 1 THEN 'tracheostomy' ELSE 'none' END
+                       AS treatment
+              FROM cohort_stays s LEFT JOIN demo d ON s.hadm_id = d.hadm_id
+              LEFT JOIN (SELECT hadm_id, max(CASE WHEN itemid IN (1, 2, 3) THEN 1 ELSE 0 END) AS dialysis,
+                                max(CASE WHEN itemid IN (4, 5) THEN 1 ELSE 0 END) AS tracheostomy
+                         FROM procedures GROUP BY 1) p ON s.hadm_id = p.hadm_id)
+        GROUP BY GROUPING SETS ((care_unit), (admission_source), (treatment))""",
     "stays_union": """
         SELECT icustay_id AS "index", * FROM cohort_stays WHERE hospital_seq >= 1""",
     "admission_frequency": """
@@ -848,6 +931,14 @@ _QUERIES = {
     "severity_track_high": "SELECT * FROM track WHERE subject_max > 20",
     "survival_first": _kaplan_meier("first_death"),
     "survival_by_group": _kaplan_meier("first_death", "gender"),
+    "survival_minutes": _kaplan_meier("first_death_minutes"),
+    "readmission_risk": """
+        SELECT days, at_risk, events, round(sum(events / at_risk) OVER w, 6) AS mean_events,
+               round(sqrt(sum(events / CAST(at_risk AS DOUBLE) ** 2) OVER w), 6) AS std_error
+        FROM (SELECT days, events, (SELECT count(*) FROM followed f WHERE f.days >= e.days) AS at_risk
+              FROM (SELECT e.days, count(*) AS events FROM readmitted e JOIN followed f
+                      ON e.subject_id = f.subject_id AND e.days <= f.days GROUP BY 1) e)
+        WINDOW w AS (ORDER BY days)""",
     "death_at_nth": """
         SELECT hospital_seq, count(*) AS deaths FROM cohort_stays
         WHERE hospital_expire_flg = 'Y' AND hospital_seq IS NOT NULL GROUP BY 1""",
@@ -919,4 +1010,11 @@ _QUERIES["icd9_by_sequence_top"] = (
     _QUERIES["icd9_by_sequence"] + " ORDER BY prim DESC, description LIMIT 20"
 )
 
-ORACLE: dict[str, str] = {name: _sql(body) for name, body in _QUERIES.items()}
+
+
+def _filled(body: str) -> str:
+    """Puts the query that a name in braces stands for in its place."""
+    return re.sub(r"\{(\w+)\}", lambda m: _QUERIES[m[1]], body)
+
+
+ORACLE: dict[str, str] = {name: _sql(_filled(body)) for name, body in _QUERIES.items()}

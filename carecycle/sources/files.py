@@ -6,12 +6,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from carecycle.functions.recode import between_chars
+from carecycle.operators.pick import batches
 from carecycle.sources.schemas import ANNOTATION_RESULTS
 
 CORRUPT = "_corrupt"
 
+# What a line of an extract is.
+ROW, HEADER, BLANK, BAD = "row", "header", "blank", "bad"
+
 
 def read_csv(
     spark: SparkSession,
@@ -70,6 +75,105 @@ def write_batches(df: DataFrame, path: str, batch: str = "batch", header: bool =
     return path
 
 
+def write_numbered_batches(df: DataFrame, path: str, key: str | list[str], size: int, header: bool = True) -> str:
+    """One CSV file of exactly ``size`` rows for each batch in key order; the last one holds the rest.
+
+    Rows are numbered in parallel and sent to tasks by batch, so each batch is
+    written by one task as one file in its folder ``batch=<n>``.
+    """
+    (
+        batches(df, key, size)
+        .repartition("batch")
+        .write.mode("overwrite")
+        .option("header", header)
+        .option("escape", '"')
+        .partitionBy("batch")
+        .csv(path)
+    )
+    return path
+
+
+def read_numbered_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of batch files with their batch, from the folder, and the file's path."""
+    rows = read_csv(spark, path, f"{schema}, batch bigint", multi_line=True)
+    return rows.select("*", F.col("_metadata.file_path").alias("file"))
+
+
+def write_lines(df: DataFrame, path: str, sep: str = ",", broken: dict[str, Column] | None = None) -> str:
+    """Rows as header-less lines of text.
+
+    ``broken`` gives other text for columns, or under the key "" text to put
+    behind the line; NULL leaves the row as it is.
+    """
+    broken = dict(broken or {})
+    tail = F.coalesce(broken.pop("", F.lit(None)), F.lit(""))
+    columns = [
+        F.coalesce(broken[c].cast("string"), F.col(c).cast("string")).alias(c) if c in broken else F.col(c)
+        for c in df.columns
+    ]
+    kept = {"sep": sep, "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    lines = df.select(*columns).select(F.concat(F.to_csv(F.struct(*df.columns), kept), tail).alias("value"))
+    lines.write.mode("overwrite").text(path)
+    return path
+
+
+def read_lines(
+    spark: SparkSession, paths: str | list[str], schema: str, sep: str = ",", header: str | None = None
+) -> DataFrame:
+    """Every line of text extracts: (source, kind, reason, line, row).
+
+    kind is "row" for a line that has the declared columns, whose values are
+    in the struct ``row``; "bad" for one that has too few or too many of them,
+    or a value that its column can't hold, as ``reason`` says; "blank"; or
+    "header" where the line is ``header``, whatever its case. One scan parses
+    the lines and accounts for all of them. An empty value is NULL. Values
+    must not contain line breaks.
+    """
+    fields = StructType.fromDDL(schema)
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"'}
+    texts = ", ".join(f"`{f.name}` string" for f in fields)
+    lines = spark.read.text(paths).select(F.col("value").alias("line"), source_name().alias("source"))
+    parsed = lines.select(
+        "*",
+        F.from_csv("line", F.lit(f"{schema}, {CORRUPT} string"), options).alias("typed"),
+        F.from_csv("line", F.lit(f"{texts}, {CORRUPT} string"), options).alias("raw"),
+    )
+    wrong = [
+        F.when(
+            F.col(f"raw.{f.name}").isNotNull() & F.col(f"typed.{f.name}").isNull(),
+            F.lit(f"{f.name} is not of type {f.dataType.simpleString()}"),
+        )
+        for f in fields
+        if not isinstance(f.dataType, StringType)
+    ]
+    reason = F.coalesce(F.when(F.col(f"raw.{CORRUPT}").isNotNull(), F.lit(f"not {len(fields)} columns")), *wrong)
+    kind = F.when(F.btrim("line") == "", BLANK)
+    if header is not None:
+        kind = kind.when(F.lower(F.btrim("line")) == header.strip().lower(), HEADER)
+    kind = F.coalesce(kind, F.when(reason.isNotNull(), BAD), F.lit(ROW))
+    told = parsed.select("source", kind.alias("kind"), reason.alias("reason"), "line", "typed")
+    row = F.struct(*[F.col(f"typed.{f.name}").alias(f.name) for f in fields])
+    return told.select(
+        "source", "kind", F.when(F.col("kind") == BAD, F.col("reason")).alias("reason"), "line",
+        F.when(F.col("kind") == ROW, row).alias("row"),
+    )
+
+
+def good_rows(lines: DataFrame) -> DataFrame:
+    """The parsed rows of ``read_lines``."""
+    return lines.filter(F.col("kind") == ROW).select("row.*")
+
+
+def quarantined(lines: DataFrame) -> DataFrame:
+    """The lines of ``read_lines`` that could not be parsed, with the reason."""
+    return lines.filter(F.col("kind") == BAD).select("source", "reason", "line")
+
+
+def accounted(lines: DataFrame) -> DataFrame:
+    """How many lines are of each kind, and bad for each reason."""
+    return lines.groupBy("kind", "reason").agg(F.count("*").alias("n_lines"))
+
+
 def read_stay_extracts(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """Union of header-less stay extracts, one file or folder per admission order."""
     return read_csv(spark, paths, schema, header=False)
@@ -96,13 +200,72 @@ def read_results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     ).drop("_source").distinct()
 
 
-def read_notes(spark: SparkSession, layouts: dict[str, list[str]]) -> DataFrame:
+# Names under which files give the columns of a note, once lower-cased with
+# underscores for other signs.
+NOTE_COLUMNS = {
+    "subject_id": ("subject_id", "subject"),
+    "hadm_id": ("hadm_id", "hadm_id_x", "hadm", "hospital_admission_id", "hadm_id_miii"),
+    "category": ("category",),
+    "text": ("text",),
+    "cohort": ("cohort",),
+}
+_NOTE_TYPES = {"subject_id": "bigint", "hadm_id": "bigint", "cohort": "int"}
+
+
+def first_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, header) of every file: its first line in lower case, signs other than letters and digits as underscores.
+
+    The line is found where it lies, at the start of a file's first block;
+    tasks keep one line for each file before any are moved.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    first = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("first"))
+    names = F.transform(
+        F.split("first", ","), lambda c: F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), F.lit("_"))
+    )
+    return first.select("file", names.alias("header"))
+
+
+def note_layouts(spark: SparkSession, paths: str | list[str]) -> tuple[dict[str, list[str]], list[tuple[str, list[str]]]]:
+    """The layouts of note files as ``read_notes`` takes them, and the files of unknown layout with their header.
+
+    A layout is known if each column of NOTE_COLUMNS has exactly one place
+    under one of its names. Only names of files and headers reach the driver.
+    """
+    layouts: dict[str, list[str]] = {}
+    unknown = []
+    families = first_lines(spark, paths).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    for family in families.orderBy("header").collect():
+        named = [next((c for c, names in NOTE_COLUMNS.items() if h in names), None) for h in family.header]
+        repeated = next((i for i, c in enumerate(named) if c and c in named[:i] and c != "hadm_id"), None)
+        if repeated is not None or not set(NOTE_COLUMNS) <= set(named):
+            unknown += [(file, list(family.header)) for file in family.files]
+            continue
+        ddl = [
+            f"{c} {_NOTE_TYPES.get(c, 'string')}" if c and c not in named[:i] else f"_other{i} string"
+            for i, c in enumerate(named)
+        ]
+        layouts[", ".join(ddl)] = list(family.files)
+    return layouts, unknown
+
+
+def read_notes(spark: SparkSession, layouts: dict[str, list[str]] | str) -> DataFrame:
     """Unannotated notes of files that differ in header and column order.
 
     ``layouts`` maps a file's column list (DDL, by position, with the names
     subject_id, hadm_id, category, text and cohort among them) to the paths
-    that have it. The batch comes from characters 3-12 of the file name.
+    that have it, or is the folder of the files, whose headers then tell; a
+    file of unknown layout is refused. Of an admission that is repeated in
+    several columns the first counts. The batch comes from characters 3-12 of
+    the file name.
     """
+    if isinstance(layouts, str):
+        layouts, unknown = note_layouts(spark, layouts)
+        if unknown:
+            raise ValueError(f"{len(unknown)} files of unknown layout, first {unknown[0][0]} with {unknown[0][1]}")
     parts = []
     for schema, paths in layouts.items():
         rows = _with_source(read_csv(spark, paths, schema, multi_line=True))

@@ -77,6 +77,9 @@ VENTILATION_EXTRACT = (
     "end_time string"
 )
 
+# Diagnosis codes, separated by semicolons.
+CODE_EXTRACT = "code string, subject_id bigint, hadm_id bigint, description string, sequence int"
+
 # Annotation results: 22 columns in the file, operator and batch in its name.
 ANNOTATION_RESULTS = ", ".join(
     [f"{c} bigint" if c.endswith("_id") else f"{c} string" for c in ANNOTATION_IDS]

@@ -3,12 +3,16 @@
 import csv
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from carecycle.functions.vocab import ANNOTATION_FEATURES, ANNOTATION_IDS, STAY_COLUMNS
+from carecycle.operators.joins import bucket_members
 from carecycle.operators.pick import batches
 from carecycle.plans.annotations import pending_notes, reconcile, unsure_export, unsure_remaining
 from carecycle.sources import files, schemas
 from carecycle.session import files_dir
-from carecycle.sources.tables import own_name, replace_table
+from carecycle.sources.tables import own_name, replace_bucketed, replace_table
 
 
 def write(path, rows, header=None, sep=","):
@@ -110,6 +114,79 @@ def test_batch_files_round_trip(spark, tmp_path):
     assert sizes == {1: 30, 2: 30, 3: 5}
 
 
+def test_numbered_batch_files(spark, tmp_path):
+    """Every file holds exactly its batch, in key order, ties and line breaks included."""
+    rows = [(f"k{i // 7:03}", f'text {i}, "quoted"\nsecond line') for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, text string").repartition(6)
+    path = files.write_numbered_batches(df, str(tmp_path / "batches"), ["k", "text"], 30)
+    names = [f for _, _, fs in os.walk(path) for f in fs if f.endswith(".csv")]
+    assert len(names) == 4
+    back = files.read_numbered_batches(spark, path, "k string, text string").collect()
+    assert sorted((r.k, r.text) for r in back) == sorted(rows)
+    sizes = {b: [r for r in back if r.batch == b] for b in (1, 2, 3, 4)}
+    assert [len(sizes[b]) for b in (1, 2, 3, 4)] == [30, 30, 30, 10]
+    assert all(len({r.file for r in rs}) == 1 for rs in sizes.values()) and len({r.file for r in back}) == 4
+    assert all(max(r.k for r in sizes[b]) <= min(r.k for r in sizes[b + 1]) for b in (1, 2, 3))
+
+
+def test_lines_are_all_accounted_for(spark, tmp_path):
+    lines = ["ID;Name;Day", "1;a;2001-02-03", "", "x;b;2001-02-03", '2;"c;d";', "3;e", "4;f;2001-02-03;g", ";;", "5;g;soon", "id;name;day"]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    found = files.read_lines(spark, str(tmp_path / "a.csv"), "id bigint, name string, day date", ";", header="id;name;day")
+    got = [(r.kind, r.reason, r.line, r.source) for r in found.collect()]
+    assert [x[2] for x in got] == lines and {x[3] for x in got} == {"a.csv"}
+    assert [x[:2] for x in got] == [
+        ("header", None), ("row", None), ("blank", None), ("bad", "id is not of type bigint"), ("row", None),
+        ("bad", "not 3 columns"), ("bad", "not 3 columns"), ("row", None), ("bad", "day is not of type date"), ("header", None)]
+    rows = [(r.id, r.name, str(r.day)) for r in files.good_rows(found).collect()]
+    assert rows == [(1, "a", "2001-02-03"), (2, "c;d", "None"), (None, None, "None")]
+    assert files.quarantined(found).count() == 4
+    assert {(r.kind, r.n_lines) for r in files.accounted(found).filter("kind <> 'bad'").collect()} == {
+        ("header", 2), ("row", 3), ("blank", 1)}
+
+
+def test_extract_round_trip(spark, tmp_path):
+    rows = [(1, " spaced ", 0.1, None), (2, 'say "x"; y', None, "z"), (3, "", 1e-7, ",")]
+    df = spark.createDataFrame(rows, "a long, b string, c double, d string")
+    path = files.write_lines(df, str(tmp_path / "x"), ";", {"c": F.when(F.col("a") == 2, "?"), "": F.when(F.col("a") == 3, ";")})
+    found = files.read_lines(spark, path, "a long, b string, c double, d string", ";")
+    assert [tuple(r) for r in files.good_rows(found).collect()] == [rows[0]]
+    assert {r.reason for r in files.quarantined(found).collect()} == {"c is not of type double", "not 4 columns"}
+
+
+def test_notes_of_a_folder(spark, tmp_path):
+    folder = tmp_path / "notes"
+    os.mkdir(folder)
+    write(folder / "jjdis16Mar16.csv", [[1, 5, "Discharge", "one\ntwo", 1]],
+          ["Subject.ID", "HADM_ID_MIII", "category", "text", "cohort"])
+    write(folder / "jjdis17Mar16.csv", [[0, "three, four", 6, 6, "Discharge", 2, 0.5]],
+          ["cohort", "text", "hadm_id", "hadm_id_MIII", "category", "subject_id", "randomizer"])
+    got = {(r.subject_id, r.hadm_id, r.text, r.cohort, r.batch_id) for r in files.read_notes(spark, str(folder)).collect()}
+    assert got == {(1, 5, "one\ntwo", 1, "dis16mar16"), (2, 6, "three, four", 0, "dis17mar16")}
+    write(folder / "jjdis18Mar16.csv", [[1, "x"]], ["hadm_id", "note"])
+    layouts, unknown = files.note_layouts(spark, str(folder))
+    assert len(layouts) == 2 and [(f[0].rsplit("/", 1)[1], f[1]) for f in unknown] == [("jjdis18Mar16.csv", ["hadm_id", "note"])]
+    with pytest.raises(ValueError, match="unknown layout"):
+        files.read_notes(spark, str(folder))
+
+
+def test_bucketed_cohort_is_not_shuffled(spark):
+    """Three extracts join the cohort table; only their own rows move."""
+    name = own_name(spark, "buckets")
+    cohort = replace_bucketed(spark.range(1000).withColumnRenamed("id", "subject_id"), name, "subject_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for n in (3, 5, 7):
+            extract = spark.range(5000).selectExpr(f"id % {n * 400} AS subject_id", "id AS hadm_id")
+            found = bucket_members(extract, cohort)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+            assert found.count() == sum(i % (n * 400) < 1000 for i in range(5000))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_replace_table(spark):
     name = own_name(spark, "numbers")
     assert replace_table(spark.range(5), name).count() == 5

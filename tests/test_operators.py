@@ -1,5 +1,6 @@
 """Hand-made fixtures for the shared operators."""
 
+import decimal
 import math
 import random
 import statistics
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carecycle.functions.dates import elapsed_days
-from carecycle.functions.recode import bucket, cap, sentinel_to_null
+from carecycle.functions.recode import bucket, cap, sentinel_to_null, with_unit
 from carecycle.operators import agreement, audit, durations, model, pick, profile, ranges
 from carecycle.operators import sampling, survival
 from carecycle.plans import analysis, extracts
@@ -328,9 +329,129 @@ def test_elapsed_days_uses_whole_minutes(spark):
     assert df.select(elapsed_days(F.col("a"), F.col("b"))).first()[0] == 0.0
 
 
-def test_nan_is_missing_and_row_numbers_need_numbers(spark):
+def test_nan_is_missing(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "x double")
     got = ranges.five_numbers(df, ["x"]).first()
     assert (got.n, got.missing, got.min, got.max, got.mean, got.median) == (2, 2, 1, 3, 2, 2)
-    with pytest.raises(TypeError, match="string"):
-        ranges.number_rows(spark.createDataFrame([("a",)], "x string"), "x")
+    assert ranges.five_numbers(df.filter("false"), ["x"]).count() == 0
+
+
+@pytest.mark.parametrize("kind, values", [
+    ("string", [None, "", "a", "aa", "b", "é", "zz"]),
+    ("timestamp_ntz", [datetime(2000, 1, d, 3, d) for d in range(1, 9)]),
+    ("date", [None, date(2000, 1, 1), date(2000, 1, 2)]),
+    ("decimal(20,2)", [1, 2, 3]),
+])
+def test_row_numbers_of_any_key(spark, kind, values):
+    """Ties are numbered without gaps, NULL first, whatever share of the rows a key holds."""
+    rng = random.Random(kind)
+    rows = [(rng.choice(values[: 1 + i % len(values)]), i) for i in range(2000)]
+    if kind.startswith("decimal"):
+        rows = [(decimal.Decimal(a), i) for a, i in rows]
+    df = spark.createDataFrame(rows, f"k {kind}, id long").withColumn("m", F.create_map("id", F.lit(1))).repartition(5)
+    got = sorted((r.n, r.k, r.id) for r in ranges.number_rows(df, "k", "n").collect())
+    assert [n for n, _, _ in got] == list(range(1, 2001)) and {i for _, _, i in got} == set(range(2000))
+    keys = [(k is not None, k) for _, k, _ in got]
+    assert all(a[0] < b[0] or a[1] is None or a[1] <= b[1] for a, b in zip(keys, keys[1:]))
+    both = sorted((r.n, r.k, r.id) for r in ranges.number_rows(df, ["k", "id"], "n", ranges=3).collect())
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1]))
+    assert [(k, i) for _, k, i in both] == want
+    assert ranges.number_rows(df.filter("false"), "k").count() == 0
+
+
+def test_ranges_read_their_input_once(spark, tmp_path):
+    """One scan in the plan as it is made, no join, no window over a single partition."""
+    spark.range(1000).selectExpr("id", "id % 7 AS x").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    for found in (ranges.number_rows(df, "x"), ranges.five_numbers(df, ["id", "x"]), pick.batches(df, "id", 30)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 1
+        assert "Join" not in plan and "SinglePartition" not in plan
+
+
+def _plain_curve(rows):
+    """Survival at each distinct time, straight from the definition."""
+    out, alive = [], 1.0
+    for t in sorted({d for d, _ in rows}):
+        n = sum(d >= t for d, _ in rows)
+        dead = sum(e for d, e in rows if d == t)
+        alive *= 1 - dead / n
+        out.append((t, n, dead, alive))
+    return out
+
+
+def test_survival_over_seconds(spark):
+    """Times with fractions, as many as subjects, give the curve of the definition and that of whole days."""
+    rng = random.Random(9)
+    rows = [(g, rng.choice([rng.random() * 9, 2.5, 4.0]), rng.randrange(2)) for g in ("a", "b", None) for _ in range(200)]
+    df = spark.createDataFrame([*rows, ("a", None, 0)], "g string, days double, event int")
+    got = survival.kaplan_meier(df, strata=["g"]).collect()
+    last = max(d for _, d, _ in rows)
+    for g in ("a", "b", None):
+        mine = [(d, e) for x, d, e in rows if x == g] + ([(last, 0)] if g == "a" else [])
+        curve = sorted((r.days, r.at_risk, r.events, r.survival) for r in got if r.g == g)
+        for have, want in zip(curve, _plain_curve(mine), strict=True):
+            assert have[:3] == want[:3] and math.isclose(have[3], want[3], rel_tol=1e-9, abs_tol=1e-12)
+    plan = survival.kaplan_meier(df, impute=None)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    whole = spark.createDataFrame([(rng.randrange(9), rng.randrange(2)) for _ in range(99)], "days int, event int")
+    a = survival.kaplan_meier(whole).collect()
+    b = survival.kaplan_meier(whole.withColumn("days", F.col("days").cast("double"))).collect()
+    for x, y in zip(sorted(a, key=lambda r: r.days), sorted(b, key=lambda r: r.days), strict=True):
+        assert (x.days, x.at_risk, x.events) == (y.days, y.at_risk, y.events)
+        for c in ("survival", "std_error", "lower", "upper"):
+            assert x[c] is y[c] or math.isclose(x[c], y[c], rel_tol=1e-9)
+
+
+def test_mean_cumulative_events(spark):
+    """Three subjects followed for 10, 4 and 2 days: 2/3 on day 1, 1/2 on day 3, 1/1 on day 9."""
+    followed = spark.createDataFrame([(1, 10), (2, 4), (3, 2), (4, None)], "subject_id long, days int")
+    events = [(1, 1), (2, 1), (2, 3), (1, 9), (3, 3), (2, 5), (1, None), (4, 1), (5, 1)]
+    df = spark.createDataFrame(events, "subject_id long, days int")
+    got = sorted((r.days, r.at_risk, r.events, r.mean_events) for r in survival.mean_cumulative(df, followed).collect())
+    want = [(1, 3, 2, 2 / 3), (3, 2, 1, 2 / 3 + 1 / 2), (9, 1, 1, 2 / 3 + 1 / 2 + 1)]
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(math.isclose(g[3], w[3]) for g, w in zip(got, want))
+
+
+def test_margins(spark):
+    rows = [("a", "x", 1.0), ("a", None, 3.0), ("b", "x", None)]
+    got = profile.margins(spark.createDataFrame(rows, "u string, v string, n double"), ["u", "v"], {"n": F.col("n")})
+    assert {(r.margin, r.level): (r.n_rows, r.mean_n, r.sd_n, r.missing_n) for r in got.collect()} == {
+        ("u", "a"): (2, 2.0, 1.41, 0), ("u", "b"): (1, None, None, 1),
+        ("v", "x"): (2, 1.0, None, 1), ("v", None): (1, 3.0, None, 0)}
+
+
+def test_sides_and_units(spark):
+    a = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k long")
+    b = spark.createDataFrame([(2,), (3,), (None,)], "k long")
+    assert {(r.k, r.side) for r in audit.id_sides(a, b, "k").collect()} == {
+        (1, "left_only"), (2, "in_both"), (None, "in_both"), (3, "right_only")}
+    rows = spark.createDataFrame([(67.666,), (None,)], "x double").select(with_unit(F.col("x"), "%").alias("t"))
+    assert [r.t for r in rows.collect()] == ["67.67%", None]
+
+
+def test_completeness_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "k long, j long")
+    got = audit.id_completeness({"a": (df, "k"), "b": (df, "j")}).collect()
+    assert sorted(map(tuple, got)) == [("a", "k", 0, 0, 0), ("b", "j", 0, 0, 0)]
+
+
+def test_moments_by_pattern(spark):
+    """Weighted patterns give the regression of the rows, continuous factors included."""
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.integers(0, 2, 500), rng.integers(0, 3, 500), rng.standard_normal(500)])
+    y = x @ [1.0, -2.0, 0.5] + x[:, 0] * x[:, 1] + rng.standard_normal(500) + 1e6
+    rows = [(*map(float, a), float(b)) for a, b in zip(x, y)] + [(None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double")
+    terms = {"a": ["a"], "b": ["b"], "c": ["c"], "a:b": ["a", "b"]}
+    got = {r.term: r for r in model.linear_model(df, "y", terms).collect()}
+    z = np.column_stack([np.ones(500), x, x[:, 0] * x[:, 1]])
+    want, *_ = np.linalg.lstsq(z, y, rcond=None)
+    assert np.allclose([got[t].estimate for t in [model.INTERCEPT, *terms]], want, rtol=1e-7)
+    errors = np.sqrt(np.diag(np.linalg.inv(z.T @ z)) * ((y - z @ want) ** 2).sum() / 495)
+    assert np.allclose([got[t].std_error for t in [model.INTERCEPT, *terms]], errors, rtol=1e-6)
+    cells = spark.createDataFrame([(1.0, 2.0, 0.0), (0.0, 0.0, 1.0)], "a double, b double, c double")
+    table = model.linear_model(df, "y", terms)
+    fitted = {r.a: r.fitted for r in analysis.fitted(cells, table, terms, model.INTERCEPT).collect()}
+    assert np.allclose([fitted[1.0], fitted[0.0]], [want @ [1, 1, 2, 0, 2], want @ [1, 0, 0, 1, 0]])

@@ -65,3 +65,19 @@ def test_cohort_sends_days_not_rows_of_the_hot_subject(events, small_partitions)
     daily = events.filter("subject_id = 7").select(F.to_date("admit_dt")).distinct().count()
     assert daily <= 9000
     assert repeat_cohort(events).filter("subject_id = 7").count() == 1
+
+
+def test_many_followers_of_a_hot_subject(spark, events, small_partitions):
+    """Beyond Spark's window group limit no subject's rows are sorted whole, and the answer stays exact."""
+    found = repeat_cohort(events, min_further=5000, upper="exact", days=365)
+    plan = executed(found)
+    assert "WindowGroupLimit" not in plan
+    assert [r.subject_id for r in found.collect()] == [7]
+    few = events.filter("subject_id < 40").repartition(4)
+    limit = "spark.sql.optimizer.windowGroupLimitThreshold"
+    for k in (1, 2, 3):
+        want = {r.subject_id for r in repeat_cohort(few, min_further=k, upper="exact", days=2500).collect()}
+        spark.conf.set(limit, "1")
+        got = [r.subject_id for r in repeat_cohort(few, min_further=k, upper="exact", days=2500).collect()]
+        spark.conf.unset(limit)
+        assert len(got) == len(set(got)) and set(got) == want
