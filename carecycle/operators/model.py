@@ -134,16 +134,15 @@ def _moments(df: DataFrame, response: str, terms: dict[str, list[str]]) -> tuple
         if total:
             yield pd.DataFrame({"n": [total[0]], "mean": [total[1]], "scatter": [total[2].ravel()]})
 
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
         total = None
-        for batch in batches:
-            for r in batch.itertuples():
-                total = _merged(total, (r.n, np.array(r.mean), np.array(r.scatter).reshape(k, k)))
-        if total:
-            yield pd.DataFrame({"n": [total[0]], "mean": [total[1]], "scatter": [total[2].ravel()]})
+        for r in rows.itertuples():
+            total = _merged(total, (r.n, np.array(r.mean), np.array(r.scatter).reshape(k, k)))
+        return pd.DataFrame({"n": [total[0]], "mean": [total[1]], "scatter": [total[2].ravel()]})
 
     total = None
-    parts = patterns.mapInPandas(reduced, _MOMENTS).repartition(MERGED).mapInPandas(merged, _MOMENTS)
+    parts = patterns.mapInPandas(reduced, _MOMENTS).withColumn("part", F.spark_partition_id() % MERGED)
+    parts = parts.groupBy("part").applyInPandas(merged, _MOMENTS)
     for r in parts.collect():
         total = _merged(total, (r.n, np.array(r.mean), np.array(r.scatter).reshape(k, k)))
     return (int(total[0]), *total[1:]) if total else (0, np.zeros(k), np.zeros((k, k)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carecycle.functions.vocab import (
@@ -102,8 +102,12 @@ def long_notes(notes: DataFrame, subjects: DataFrame, longer_than: int = 4000) -
         (F.length("text") > longer_than).alias("_long"),
     )
     rows = members(measured, subjects)
-    first = first_per(rows.filter("_nursing"), ["hadm_id"], ["charttime", "note_id"])
-    parts = []
-    for name, df in (("discharge", rows.filter("_discharge")), ("nursing", first)):
-        parts.append(df.agg(F.count_if("_long").alias("n_long")).select(F.lit(name).alias("note_set"), "n_long"))
-    return reduce(DataFrame.unionByName, parts)
+    # Nursing notes are ranked in their admission, each other note by itself.
+    group = [F.col("_nursing"), F.when(F.col("_nursing"), F.col("hadm_id")).otherwise(F.col("note_id"))]
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("charttime", "note_id"))
+    counts = rows.withColumn("_rank", rank).agg(
+        F.count_if(F.col("_discharge") & F.col("_long")).alias("discharge"),
+        F.count_if(F.col("_nursing") & (F.col("_rank") == 1) & F.col("_long")).alias("nursing"),
+    )
+    sets = [F.struct(F.lit(c).alias("note_set"), F.col(c).alias("n_long")) for c in counts.columns]
+    return counts.select(F.inline(F.array(*sets)))
