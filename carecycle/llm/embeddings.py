@@ -87,6 +87,13 @@ class Grid:
                 heapq.heappush(queue, (x[i + 1] + y[j], i + 1, j))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors in double precision times a power of two that brings the largest component near 1, so no square over- or underflows."""
+    x = x.astype(float)
+    _, e = np.frexp(np.abs(x).max(-1, keepdims=True, initial=0))
+    return np.ldexp(np.ldexp(x, -(e // 2)), -(e - e // 2))
+
+
 def _valid(kind: str):
     """The bytes of vectors that can link; null for all others."""
 
@@ -97,8 +104,7 @@ def _valid(kind: str):
                 x = None
                 if label is not None and vector and None not in vector:
                     x = np.array(vector, kind)
-                    norm = float(np.sqrt((x.astype(float) ** 2).sum()))
-                    x = x if norm > 0 and math.isfinite(norm) else None
+                    x = x if np.isfinite(x).all() and x.any() else None
                 found.append(None if x is None else x.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["vec_id", "label", "vec"]
@@ -108,7 +114,7 @@ def _valid(kind: str):
 
 
 def _units(vectors: list[bytes], kind: str) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(float)
+    x = _scaled(np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1))
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -165,7 +171,7 @@ def _block_links(threshold: float, kind: str):
             a, b = query["node"].to_numpy(), index["node"].to_numpy()
             cosine = y @ x.T
             for q, i in np.argwhere(np.abs(cosine - threshold) < 1e-9):  # where rounding may decide
-                u, v = (np.frombuffer(r["vec"].iloc[k], kind).astype(float) for r, k in ((query, q), (index, i)))
+                u, v = (_scaled(np.frombuffer(r["vec"].iloc[k], kind)) for r, k in ((query, q), (index, i)))
                 cosine[q, i] = (u * v).sum() / (math.sqrt((u * u).sum()) * math.sqrt((v * v).sum()))
             q, i = np.nonzero((cosine >= threshold) & (a[:, None] != b))
             if not len(q):

@@ -128,7 +128,7 @@ def plain_vectors(rows, threshold=0.98):
                 continue
             if None in a or None in b:
                 continue
-            x, y = np.array(a, float), np.array(b, float)
+            x, y = np.array(a, np.longdouble), np.array(b, np.longdouble)  # of wider range
             size = np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())
             if np.isfinite(size) and size > 0 and (x * y).sum() / size >= threshold:
                 links.append((i, j))
@@ -154,6 +154,8 @@ def test_vectors(spark, monkeypatch):
     rows += [(300, None, one), (301, 1, None), (302, 1, [0.0] * 8), (303, 1, [None] + one[1:]), (304, 1, one)]
     rows += [(305, 1, [float("nan")] + one[1:]), (306, 1, [float("inf")] + one[1:]), (304, 1, one), (None, 1, one)]
     rows += [(307, 1, one[1:]), (308, 1, [2.0] * 7), (309, 2, [])]
+    for i, x in enumerate((1e200, 1e-200, 5e-324, 1.7e308)):
+        rows += [(310 + 3 * i, 2, [x] * 8), (311 + 3 * i, 2, [x] * 8), (312 + 3 * i, 1, [x] + [0.0] * 7)]
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").withColumn("cell", F.lit(1))
     want = plain_vectors(rows)
     for block in (7, 512):
