@@ -13,13 +13,14 @@ NOBODY = "unknown"  # the name of a turn without a role
 
 
 def _turns(talk: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    order = ["conv_id", "turn", "role", "text"]
+    order = ["conv_id", "turn", "role", "text", "row"]
     turns = talk.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
         F.col(role_col).cast("string").alias("role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        F.monotonically_increasing_id().alias("row"),  # tells repeated turns apart
     )
-    cut = turns.distinct().repartitionByRange(*order)
+    cut = turns.repartitionByRange(*order)
     return written(cut.withColumn("range", F.spark_partition_id()), "turns")
 
 
@@ -38,7 +39,8 @@ def rotate(
     the assistant's turns; elsewhere the two are equal.
 
     Turns are ordered by turn, then by role and text; a null turn comes first
-    and a row that repeats another in all four columns is the same turn. A null
+    and rows that repeat each other in all four columns are turns of their own,
+    one behind the other. A null
     text is empty; a turn without a role is a user's named 'unknown', who has
     no view of his own; null conv_ids make one conversation; a conversation of
     system turns alone has no views; other columns are ignored; an empty table
@@ -57,14 +59,14 @@ def rotate(
     name = F.coalesce("role", F.lit(NOBODY))
     head = F.when(mine, "assistant\n").when(system, SYSTEM + "\n").otherwise(F.concat(F.lit("user name="), name, F.lit("\n")))
     views = views.select(
-        "conv_id", "speaker", "range", "turn", "text", F.col("role").alias("said_by"),
+        "conv_id", "speaker", "range", "turn", "text", "row", F.col("role").alias("said_by"),
         F.when(mine, "assistant").when(system, SYSTEM).otherwise("user").alias("role"),
         F.when(~mine & ~system, name).alias("name"),
         F.concat(F.lit(OPEN), head).alias("head"),
     )
     views = views.withColumn("segment", F.concat("head", "text", F.lit(CLOSE)))
     view = ["conv_id", "speaker", "range"]
-    inside = Window.partitionBy(*view).orderBy("turn", "said_by", "text")
+    inside = Window.partitionBy(*view).orderBy("turn", "said_by", "text", "row")
     views = views.withColumn("place", F.row_number().over(inside))
     views = views.withColumn("inside", _before(F.length("segment"), inside))
     totals = views.groupBy(*view).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("segment")).alias("chars"))
@@ -92,11 +94,11 @@ def _before(value: Column, window: Window) -> Column:
 
 SQL = """
 WITH turns AS (
-    SELECT DISTINCT conv_id, turn, role AS said_by, coalesce(text, '') AS text FROM conversations
+    SELECT row_number() OVER () AS row, conv_id, turn, role AS said_by, coalesce(text, '') AS text FROM conversations
 ), people AS (
     SELECT DISTINCT conv_id, said_by AS speaker FROM turns WHERE said_by <> 'system'
 ), views AS (
-    SELECT t.conv_id, p.speaker, t.turn, t.said_by, t.text,
+    SELECT t.row, t.conv_id, p.speaker, t.turn, t.said_by, t.text,
            CASE WHEN t.said_by = p.speaker THEN 'assistant' WHEN t.said_by = 'system' THEN 'system' ELSE 'user' END AS role
     FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), headed AS (
@@ -111,7 +113,7 @@ WITH turns AS (
            row_number() OVER w - 1 AS position,
            coalesce(sum(length(segment)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
     FROM whole
-    WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, said_by NULLS FIRST, text)
+    WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, said_by NULLS FIRST, text, row)
 )
 SELECT conv_id, speaker, CAST(position AS BIGINT) AS position, turn, role, name, segment, CAST(start AS BIGINT) AS start,
        CAST(start + length(CASE WHEN role = 'assistant' THEN head ELSE segment END) AS BIGINT) AS mask_start,

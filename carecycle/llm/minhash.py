@@ -121,14 +121,17 @@ def _keys(doc_id: Column, text: Column) -> list[Column]:
 
 
 def _chain(rows: DataFrame) -> DataFrame:
-    """(k1, k2, doc_id, n_chars, n1, n2): each document with the keys of the next one.
+    """(k1, k2, doc_id, n_chars, n1, n2, copies, last): each different document with the key of the next one.
 
     Documents are ordered by doc_id, then by key. They are cut into ranges;
     the next document is found inside the range, and for a range's last one it
     is the first of the next range, after the last range that of the first.
+    Of rows that repeat each other the last (last, copies 1) has the next
+    document behind it, the others (copies of them in one row) another copy.
     """
     order = ["doc_id", "k1", "k2"]
-    cut = rows.dropDuplicates(["k1", "k2"]).repartitionByRange(*order)
+    merged = rows.groupBy(*order).agg(F.first("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("n"))
+    cut = merged.repartitionByRange(*order)
     cut = written(cut.withColumn("range", F.spark_partition_id()), "ranges")
     here = F.struct(*order)
     ranges = cut.groupBy("range").agg(F.min(here).alias("first"))  # a row for each range
@@ -139,18 +142,25 @@ def _chain(rows: DataFrame) -> DataFrame:
     inside = F.lead(here).over(Window.partitionBy("range").orderBy(*order))
     found = cut.withColumn("inside", inside).join(ranges, "range")
     nxt = F.coalesce("inside", "after")
-    found = found.select("k1", "k2", "doc_id", "n_chars", nxt["k1"].alias("n1"), nxt["k2"].alias("n2"))
+    one = F.lit(1).cast("long")
+    ends = [F.struct(nxt["k1"].alias("n1"), nxt["k2"].alias("n2"), one.alias("copies"), F.lit(True).alias("last"))]
+    ends += [F.struct(F.col("k1").alias("n1"), F.col("k2").alias("n2"), (F.col("n") - 1).alias("copies"), F.lit(False).alias("last"))]
+    found = found.select("k1", "k2", "doc_id", "n_chars", F.inline(F.filter(F.array(*ends), lambda x: x["copies"] > 0)))
     return written(found, "chain")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k1, k2, n1, n2, doc_id, n_chars, fingerprint, edited, edited_fingerprint) of every document.
+    """(k1, k2, n1, n2, copies, last, doc_id, n_chars, fingerprint, edited, edited_fingerprint) of every different document.
 
     k1 and k2 are its key, n1 and n2 that of the next document; edited is the text whose last quarter of code points, rounded down, is
     replaced by the first as many of the next document in ascending doc_id
     order (after the last one, the first; a null id comes first; equal ids
-    stand in the order of a hash of their texts). Null texts count as empty. Rows that repeat both id and text are one document. Other columns
-    are ignored; an empty table gives no rows.
+    stand in the order of a hash of their texts). Null texts count as empty.
+    Rows that repeat both id and text are fingerprinted once: the next document
+    of the last is that of another id or text (last is true), that of the
+    others is a copy; they are a row with their number in copies, which
+    ``with_likeness`` turns into rows again. Other columns are ignored; an
+    empty table gives no rows.
 
     Only ids are put in order. Each text is shuffled once by its key, for
     itself and for the head that it lends to the document before it.
@@ -161,25 +171,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chain = _chain(docs.select(*keys, doc_id.alias("doc_id"), F.length(text).cast("long").alias("n_chars")))
     texts = docs.select(*keys, text.alias("text")).dropDuplicates(["k1", "k2"])
     lent = chain.select(
-        F.col("k1").alias("to1"), F.col("k2").alias("to2"), F.col("n1").alias("k1"), F.col("n2").alias("k2"),
+        F.col("k1").alias("to1"), F.col("k2").alias("to2"), F.col("n1").alias("k1"), F.col("n2").alias("k2"), "last",
         F.floor(F.col("n_chars") / 4).cast("int").alias("n_lent"),
     )
     heads = texts.join(lent, ["k1", "k2"]).select(
-        F.col("to1").alias("k1"), F.col("to2").alias("k2"), "n_lent",
+        F.col("to1").alias("k1"), F.col("to2").alias("k2"), "last", "n_lent",
         F.col("text").substr(F.lit(1), F.col("n_lent")).alias("head"),
     )
-    whole = texts.join(chain, ["k1", "k2"]).join(heads, ["k1", "k2"])
+    same = ["k1", "k2", "last"]
+    whole = texts.join(chain, ["k1", "k2"]).join(heads, same)
     kept = F.col("text").substr(F.lit(1), (F.col("n_chars") - F.col("n_lent")).cast("int"))
     return whole.select(
-        "k1", "k2", "n1", "n2", "doc_id", "n_chars", fingerprint(F.col("text")).alias("fingerprint"),
+        "k1", "k2", "n1", "n2", "copies", "last", "doc_id", "n_chars", fingerprint(F.col("text")).alias("fingerprint"),
         F.concat(kept, "head").alias("edited"),
     ).withColumn("edited_fingerprint", fingerprint(F.col("edited")))
 
 
 def with_likeness(found: DataFrame) -> DataFrame:
-    """Adds near_edited and near_next to rows of ``fingerprints``; texts should be left out before."""
+    """A row for each document of ``fingerprints``, with near_edited and near_next; texts should be left out before."""
     found = written(found, "fingerprints")
-    nxt = found.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("fingerprint").alias("next"))
+    nxt = found.filter("last").select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("fingerprint").alias("next"))
     found = found.join(nxt, ["n1", "n2"])
     found = found.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint")))
-    return found.withColumn("near_next", likeness(F.col("fingerprint"), F.col("next")))
+    found = found.withColumn("near_next", likeness(F.col("fingerprint"), F.col("next")))
+    one_each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return found.withColumn("copies", one_each)

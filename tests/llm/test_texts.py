@@ -142,12 +142,19 @@ def shingles(text):
 def test_minhash(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     rows += [(9000, None), (9001, "one"), (9001, "one"), (9002, "ONE"), (9003, "é" * 7), (None, "null id " * 40)]
+    rows += [(9005, "twice the same text"), (9005, "twice the same text"), (9006, "behind it")]
+    of_last = hashlib.sha256(b"twice the same behi").hexdigest()
     df = texts(spark, rows)
     found = minhash.fingerprints(df).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
     got = minhash.with_likeness(found).collect()
-    docs = sorted({(i if i is not None else -1, t or "") for i, t in rows})
+    docs = sorted((i if i is not None else -1, t or "") for i, t in rows)
     by_id = {(r.doc_id if r.doc_id is not None else -1): r for r in got}
-    assert len(got) == len(docs) == len(by_id)
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in got) == [i for i, _ in docs]
+    copies = sorted(r.edited_sha256 for r in got if r.doc_id == 9001)
+    assert copies == sorted(hashlib.sha256(t.encode()).hexdigest() for t in ("one", "one"))
+    assert len({r.edited_sha256 for r in got if r.doc_id == 9005}) == 2  # of two copies the last has another behind it
+    docs = [d for k, d in enumerate(docs) if d != docs[(k + 1) % len(docs)]]  # copies' last rows stand for them
+    by_id[9005] = max((r for r in got if r.doc_id == 9005), key=lambda r: r.edited_sha256 == of_last)
     off, seen = [], {}
     for k, (i, text) in enumerate(docs):
         after, r = docs[(k + 1) % len(docs)][1], by_id[i]
