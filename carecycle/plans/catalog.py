@@ -1010,6 +1010,13 @@ def icd9_by_sequence(a):
     )
 
 
+@query
+def icd9_tally_detailed(a):
+    """The same by whole codes, of which many lack a priority."""
+    names = a.diagnoses().groupBy("code").agg(F.min("description").alias("description"))
+    return ex.code_tally(members(a.diagnoses(), _subjects(a)), names, stop="|")
+
+
 @query
 def icd9_tally_top(a):
     """The 20 most common primary diagnoses."""

@@ -171,16 +171,17 @@ def _named_counts(per_code: DataFrame, names: DataFrame, columns: list[str]) ->
 
 
 def code_tally(
-    diagnoses: DataFrame, names: DataFrame, require_all: bool = True
+    diagnoses: DataFrame, names: DataFrame, require_all: bool = True, stop: str = "."
 ) -> DataFrame:
     """Times each diagnosis is primary, secondary and tertiary.
 
-    Codes are counted before they are named, so the name join sees one row per
-    code. By default a diagnosis has to occur at all three priorities.
+    Codes are cut at ``stop`` and counted before they are named, so the name
+    join sees one row per code. By default a diagnosis has to occur at all
+    three priorities.
     """
     priorities = {"primary_dx": 1, "secondary_dx": 2, "tertiary_dx": 3}
     per_code = counts_where(
-        primary_to_tertiary(diagnoses),
+        primary_to_tertiary(diagnoses, stop),
         "code",
         {name: F.col("sequence") == n for name, n in priorities.items()},
     )

@@ -966,6 +966,12 @@ _QUERIES = {
     + ", ".join(f"count(*) FILTER (WHERE sequence = {n}) AS {c}" for c, n in _PRIORITIES.items())
     + " FROM top_diagnoses GROUP BY 1) WHERE "
     + " AND ".join(f"{c} > 0" for c in _PRIORITIES),
+    "icd9_tally_detailed": "SELECT * FROM (SELECT n.description, "
+    + ", ".join(f"count(*) FILTER (WHERE sequence = {n}) AS {c}" for c, n in _PRIORITIES.items())
+    + """ FROM cohort_diagnoses d
+          JOIN (SELECT code, min(description) AS description FROM diagnoses GROUP BY 1) n ON d.code = n.code
+          WHERE sequence < 4 GROUP BY 1) WHERE """
+    + " AND ".join(f"{c} > 0" for c in _PRIORITIES),
     "icd9_by_sequence": "SELECT * FROM (SELECT description, "
     + ", ".join(f"count(*) FILTER (WHERE {cond}) AS {c}" for c, cond in _ORDERED.items())
     + """ FROM top_diagnoses t JOIN stays s ON t.subject_id = s.subject_id
