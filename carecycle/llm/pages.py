@@ -46,13 +46,20 @@ BOILERPLATE_WORDS = frozenset(
     "subscribe subscription tags toolbar widget widgets".split()
 )
 ALWAYS_WORDS = frozenset("comment comments disqus replies respond".split())
+ALWAYS_STEMS = ("comment", "komment", "coment")  # readers' comments in the languages of the pages
+NAMED_BY_ID = frozenset("h1 h2 h3 h4 h5 h6 section".split())  # their ids name a topic, not a part of the page
+ITEMS = frozenset("li dt dd td th figcaption caption".split())
+CALLS = re.compile(
+    r"\b(?:subscribe|sign up|newsletter|buy now|order now|free trial|special offer|advertisement|sponsored|% off)\b", re.I
+)
+CALL_LENGTH = 200  # characters up to which a block can be a call to readers
 
 # The classifier's log-odds for content.
 WEIGHTS = {
     "base": -0.5, "in_content": 2.0, "content_word": 1.0, "paragraph": 0.8, "heading": 0.3, "length": 0.7,
-    "sentence": 0.4, "links": -3.0, "boilerplate": -6.0,
+    "sentence": 0.4, "item": 0.4, "links": -3.0, "call": -4.0, "boilerplate": -6.0,
 }
-NEXT = 0.6  # smoothness between neighbours, less with their distance in the tree
+NEXT = 1.2  # smoothness between neighbours, less with their distance in the tree
 SIBLING = 0.5  # smoothness between consecutive blocks under one parent
 
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -78,17 +85,24 @@ class Block:
     linked: int  # characters inside links
 
 
+def _names(value: str | None) -> list[str]:
+    """The words of a class or id."""
+    return [w.lower() for w in _WORDS.findall(value)] if value else []
+
+
 def _element(tag: str, attrs: dict[str, str | None], parent: Element | None) -> Element:
     role = (attrs.get("role") or "").lower()
     style = (attrs.get("style") or "").replace(" ", "").lower()
-    named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-    words = [w.lower() for w in _WORDS.findall(named)] if named.strip() else []
-    bad = BOILERPLATE_WORDS.intersection(words)
+    words = _names(attrs.get("class"))
+    ids = _names(attrs.get("id"))
+    always = {w for w in words + ids if w in ALWAYS_WORDS or w.startswith(ALWAYS_STEMS)}
+    words += [] if tag in NAMED_BY_ID else ids
+    bad = always.union(BOILERPLATE_WORDS.intersection(words))
     good = bool(CONTENT_WORDS.intersection(words)) or attrs.get("itemprop") == "articleBody"
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style
     content = tag in CONTENT_TAGS or role in ("main", "article") or bool(parent and parent.content)
     whole = tag in ("html", "body", "main", "article")  # names of whole pages tell nothing of a part
-    named_bad = bool(bad & ALWAYS_WORDS) or bool(bad) and not good and not {"with", "has", "no"} & set(words)
+    named_bad = bool(always) or bool(bad) and not good and not {"with", "has", "no"} & set(words)
     boilerplate = (
         tag in BOILERPLATE_TAGS
         or tag == "header" and not content
@@ -191,7 +205,9 @@ def log_odds(block: Block) -> float:
         + WEIGHTS["heading"] * (len(e.tag) == 2 and e.tag[0] == "h")
         + WEIGHTS["length"] * min(n / 80, 2.0)
         + WEIGHTS["sentence"] * (block.text[-1] in ".!?…:;\"'”»")
+        + WEIGHTS["item"] * (e.tag in ITEMS)
         + WEIGHTS["links"] * block.linked / n
+        + WEIGHTS["call"] * (n <= CALL_LENGTH and bool(CALLS.search(block.text)))
         + WEIGHTS["boilerplate"] * e.boilerplate
     )
 

@@ -9,6 +9,7 @@ import sys
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from carecycle.llm import language, minhash, pages, queries, suffixes
@@ -270,6 +271,43 @@ def test_head_without_an_end():
     assert pages.main_text(f"<head><title>x</title> {bare}") == bare
 
 
+FIRST = "A first paragraph of the article with enough words in it to be read as text."
+SECOND = "A second paragraph that follows it, which also has many words and a full stop."
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<article><p>{0}</p><h2 id='related-work'>Related work</h2><p>{1}</p></article>", "{0}\nRelated work\n{1}"),
+    ("<article><p>{0}</p><section id='social-life'><p>{1}</p></section></article>", "{0}\n{1}"),
+    ("<body><p>{0}</p><ul><li>Milk</li><li>Two eggs</li><li>Flour</li></ul><p>{1}</p></body>", "{0}\nMilk\nTwo eggs\nFlour\n{1}"),
+    ("<body><p>{0}</p><div class='x3'><p>Subscribe now and get 50% off!</p></div><p>{1}</p></body>", "{0}\n{1}"),
+    ("<article><p>{0}</p><p>{1}</p><div class='kommentare'><p>{0}</p></div></article>", "{0}\n{1}"),
+    ("<article><p>{0}</p><p>{1}</p></article><section id='comments'><h2>Comments</h2><p>{0}</p></section>", "{0}\n{1}"),
+    ("<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul><p>{0}</p><p>{1}</p>", "{0}\n{1}"),
+])
+def test_parts_without_telling_names(page, want):
+    assert pages.main_text(page.format(FIRST, SECOND)) == want.format(FIRST, SECOND)
+
+
+def test_the_cut_decides_where_the_classifier_is_unsure():
+    """Short items lean to boilerplate by themselves; between paragraphs they are content, between menus not."""
+    items = "<ul><li>Milk</li><li>Eggs</li></ul>"
+    menu = "<nav><a href=x>Somewhere else</a></nav>"
+    for around, kept in ((f"<p>{FIRST}</p>", True), (menu, False)):
+        page = pages.Blocks()
+        page.feed(f"<body>{around}{items}{around}</body>")
+        page.close()
+        label = dict(zip((b.text for b in page.blocks), pages.labels(page.blocks)))
+        assert all(pages.log_odds(b) < 0 for b in page.blocks if b.text in ("Milk", "Eggs"))
+        assert label["Milk"] == label["Eggs"] == kept
+
+
+def test_odd_nesting():
+    """Elements that are never closed, ten thousand deep, and end tags without a start."""
+    deep = "<div>" * 10_000 + f"<p>{FIRST}" + "</span>" * 5
+    assert pages.main_text(deep) == FIRST
+    assert pages.main_text(f"<p>{FIRST}<p>{SECOND}<table><tr><td>x" ).startswith(f"{FIRST}\n{SECOND}")
+
+
 def test_pages_query_finds_whole_articles(spark):
     source = {r.page_id: r.html for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}
     got = queries.op5_html(spark, FOLDER).collect()
