@@ -48,7 +48,8 @@ class Lists:
         products of the entries read last sum to the threshold, which no
         candidate unmet can exceed. Reading stops once the threshold is
         strictly below every window's k-th score, or below its low end where
-        fewer are met; ties at the k-th score are all met by then.
+        fewer are met, or once every candidate is met; ties at the k-th score
+        are all met by then.
         """
         n = len(self.vectors)
         up, down = np.flatnonzero(anchor > 0), np.flatnonzero(anchor < 0)
@@ -65,11 +66,12 @@ class Lists:
             else:  # every score is 0 and no list tells candidates apart
                 to, new = n, ~met
             met |= new
+            everything = met.all()
             new = np.flatnonzero(new & wanted)
             score = self.vectors[new] @ anchor
             score = score if score.dtype != object else np.clip(score, -_MOST, _MOST)
             rows, scores = np.concatenate([rows, new]), np.concatenate([scores, score])
-            at = to
+            at = n if everything else to
             if at < n:
                 threshold = (anchor[up] * self.values[n - at, up]).sum() + (anchor[down] * self.values[at - 1, down]).sum()
                 if all(self._closed(scores, threshold, low, high, k) for low, high in windows):
@@ -97,17 +99,23 @@ def _exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return whole(a), whole(b)
 
 
-def _first(rows: pd.DataFrame, found: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int | None, int]]:
-    """(row, id, score) of the k first of ``found``: by descending score, then by id, null last, then by row."""
-    if not len(found):
-        return []
-    ids = rows["vec_id"].iloc[found]
-    ranked = pd.DataFrame({
-        "row": rows["row"].to_numpy()[found], "none": ids.isna().to_numpy(), "id": ids.fillna(0).to_numpy(np.int64),
-        "score": scores.astype(np.int64),
-    })
-    ranked = ranked.sort_values(["score", "none", "id", "row"], ascending=[False, True, True, True]).head(k)
-    return [(r.row, None if r.none else r.id, r.score) for r in ranked.itertuples()]
+class _Named:
+    """Row numbers and ids of a shard's candidates; ``none`` says where an id is null."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.row, self.id, self.none = (rows[c].to_numpy() for c in ("row", "id", "none"))
+
+    def first(self, found: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int | None, int]]:
+        """(row, id, score) of the k first of ``found``: by descending score, then by id, null last, then by row."""
+        scores = scores.astype(np.int64)
+        if len(found) > k:
+            high = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            found, scores = found[high], scores[high]
+        order = np.lexsort((self.row[found], self.id[found], self.none[found], -scores))[:k]
+        return [
+            (int(self.row[i]), None if self.none[i] else int(self.id[i]), int(s))
+            for i, s in zip(found[order], scores[order])
+        ]
 
 
 def _positives(k: int):
@@ -118,11 +126,10 @@ def _positives(k: int):
             if rows.empty:
                 continue
             a, x = _exact(_matrix(list(anchors["vec"])), _matrix(list(rows["vec"])))
-            lists = Lists(x)
+            lists, named = Lists(x), _Named(rows)
             for anchor, mine in zip(a, anchors["row"]):
-                other = (rows["row"] != mine).to_numpy()
-                found, scores = lists.top(anchor, [(-np.inf, np.inf)], k, other)[0]
-                out += [(mine, *r) for r in _first(rows, found, scores, k)]
+                found, scores = lists.top(anchor, [(-np.inf, np.inf)], k, named.row != mine)[0]
+                out += [(mine, *r) for r in named.first(found, scores, k)]
         return _frame(out, ["anchor", "row", "positive_id", "positive_score"])
 
     return of
@@ -133,13 +140,13 @@ def _negatives(k: int, least: int):
         out = []
         if len(asking) and len(asked):
             a, x = _exact(_matrix(list(asking["vec"])), _matrix(list(asked["vec"])))
-            lists, labels = Lists(x), asked["label"].to_numpy()
+            lists, named, labels = Lists(x), _Named(asked), asked["label"].to_numpy()
             for anchor, r in zip(a, asking.itertuples()):
                 windows = [(-(-least * int(p) // 100), int(p)) for p in r.scores]
                 places = [j for j, (low, high) in enumerate(windows) if low <= high]
                 met = lists.top(anchor, [windows[j] for j in places], k, labels != r.label)
                 for j, (found, scores) in zip(places, met):
-                    out += [(r.row, j, *n) for n in _first(asked, found, scores, k)]
+                    out += [(r.row, j, *n) for n in named.first(found, scores, k)]
         return _frame(out, ["anchor", "place", "row", "negative_id", "negative_score"])
 
     return of
@@ -210,7 +217,8 @@ def mine(
     meeting = ["size", "block", "shard"]
     each_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
     each_shard = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")
-    own = [F.col(c).alias(c) for c in ("size", "row", "vec_id", "label", "vec")]  # columns apart from the anchors'
+    own = [F.col(c).alias(c) for c in ("size", "row", "label", "vec")]  # columns apart from the anchors'
+    own += [F.coalesce("vec_id", F.lit(0)).alias("id"), F.col("vec_id").isNull().alias("none")]
     asked = rows.select(*own, each_block, shard.alias("shard")).groupBy(*meeting)
     asks = rows.filter("asks").select("size", block.alias("block"), "row", "label", "vec")
 

@@ -55,6 +55,7 @@ def test_hard_negatives(spark, shard, block):
     rows += [(400, None, one), (402, 1, None), (404, 1, [None] + one[1:]), (406, 1, [math.nan] + one[1:])]
     rows += [(408, 1, [math.inf] + one[1:]), (410, 1, one), (410, 1, one), (None, 1, one), (None, 2, one), (412, 2, [])]
     rows += [(414, 1, []), (416, 3, [0.0] * 6), (418, 3, one[1:]), (420, 2, one[1:]), (422, 3, [-1.0, 0.0, 0.0, 0.0, 0.0])]
+    rows += [((1 << 60) + 4 * i, i % 2, one) for i in range(6)]  # ids beyond double precision
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").withColumn("shard", F.lit("clash"))
     got = negatives.mine(df, F.col("vec_id") % 4 == 0, shard_rows=shard, anchor_rows=block)
     want = plain_negatives(rows, lambda i: i % 4 == 0)
