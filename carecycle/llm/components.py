@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from carecycle.llm.storage import written
+from carecycle.llm.storage import removed, written
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -32,7 +32,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     node hands its smallest neighbour to the others until only stars are left,
     in a number of rounds that grows with the logarithm of the nodes. Each
     round is written to the shared folder, so lineage stays short and a lost
-    executor costs one round. Minima are combined map-side and the joins stand
+    executor costs one round; the round before it is deleted. Minima are combined map-side and the joins stand
     directly on their shuffles, so a hub with most of the links can be split.
     Links with a null end and self-links are left out; an empty table has no
     components.
@@ -46,13 +46,18 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = large.filter("a <> b").distinct()
         small = _pass_least(large, "true")
         small = small.select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b"))
+        before = stars
         stars, now = _round(small.filter("a <> b").distinct())
+        removed(before)
         if now == seen:
             break
         seen = now
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+    found = stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         stars.select("b", "b").distinct()
     )
+    parts = written(found, "components")
+    removed(stars)
+    return parts
 
 
 def _pass_least(links: DataFrame, keep: str) -> DataFrame:

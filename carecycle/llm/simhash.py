@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carecycle.llm.components import connected_components, forest
-from carecycle.llm.storage import written
+from carecycle.llm.storage import removed, written
 
 TREE_NODES = 2048  # the bound of one shard's tree
 QUERY_BLOCK = 256  # queries that walk a tree together
@@ -167,7 +167,9 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, tree_nodes: int = TREE_NO
     found = cut.groupBy("shard", "is_cut", "low", "high").applyInPandas(
         _shard_links(radius), "a long, b long"
     )
-    return written(found, "found")
+    found = written(found, "found")
+    removed(distinct, large)
+    return found
 
 
 def near_duplicates(
@@ -185,14 +187,17 @@ def near_duplicates(
     the two named and those of ``carry``, which follow, are ignored. An empty table gives an empty result.
     """
     fps = written(fingerprints(docs, id_col, text_col, carry), "fingerprints")
-    parts = connected_components(fingerprint_links(fps, radius, tree_nodes))
+    links = fingerprint_links(fps, radius, tree_nodes)
+    parts = connected_components(links)
     firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     firsts = firsts.join(parts, firsts.fp == parts.node, "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
     )
     firsts = written(firsts, "firsts")
+    removed(links, parts)
     least = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
     named = written(firsts.join(least, "component").select("fp", "component_id", "component"), "named")
+    removed(firsts)
     return fps.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", *carry
     )
