@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carecycle.llm.components import connected_components, forest
-from carecycle.llm.storage import written
+from carecycle.llm.storage import removed, written
 
 THRESHOLD = 0.98
 SAMPLE = 8192  # vectors that the codebooks are fitted to
@@ -269,6 +269,7 @@ def near_duplicates(
         _block_links(threshold, kind), "node long, links long, root long"
     )
     found = written(found, "found")
+    removed(filed, sizes)
     parts = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     nodes = distinct.select("k1", "k2", "node", "weight", "first").join(counts, "node", "left")
@@ -278,8 +279,10 @@ def near_duplicates(
         F.coalesce("component", "node").alias("component"),
     )
     nodes = written(nodes, "nodes")
+    removed(distinct, found, parts)
     least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
     named = written(nodes.join(least, "component").select("k1", "k2", "n_links", "component_id"), "named")
+    removed(nodes)
     linking = rows.filter("vec IS NOT NULL").select("vec_id", "k1", "k2").join(named, ["k1", "k2"])
     linking = linking.select("vec_id", "n_links", "component_id")
     alone = rows.filter("vec IS NULL").select(

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carecycle.llm.storage import written
+from carecycle.llm.storage import removed, written
 
 LEAST_LETTERS = 6
 LEAST_COUNT = 5
@@ -193,13 +193,16 @@ def near_words(words: DataFrame) -> DataFrame:
     """
     deep = written(words.select("no", "word").mapInArrow(_deep_nodes, "no long, place long, d1 long, d2 long"), "paths")
     nodes = deep.select("d1", "d2").distinct().withColumn("node", -1 - F.monotonically_increasing_id())
-    numbered = deep.join(written(nodes, "nodes"), ["d1", "d2"]).groupBy("no")
+    nodes = written(nodes, "nodes")
+    numbered = deep.join(nodes, ["d1", "d2"]).groupBy("no")
     numbered = numbered.agg(F.collect_list(F.struct("place", "node")).alias("deep"))  # twice the word's length at most
     pairs = words.join(numbered, "no", "left").select("no", "word", "deep").mapInArrow(_pairs, _PAIR)
     total = words.agg(F.coalesce(F.sum(2 * F.length("word") + 1), F.lit(0))).first()[0]
     shard = F.pmod(F.xxhash64("p", "s"), F.lit(max(1, -(-total // SHARD_PAIRS))))
     found = pairs.groupBy(shard.alias("shard")).applyInPandas(_near, "no long, n_near long, best long")
-    return found.groupBy("no").agg(F.sum("n_near").alias("n_near"), F.min("best").alias("best"))
+    near = written(found.groupBy("no").agg(F.sum("n_near").alias("n_near"), F.min("best").alias("best")), "near")
+    removed(deep, nodes)
+    return near
 
 
 def group_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
@@ -219,9 +222,11 @@ def group_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     if ratio < 2:
         raise ValueError("ratio must be 2 or more, or forms could run in a circle")
     order = [F.desc("n"), F.asc("word")]
-    ranked = written(words.select("word", "n"), "words").repartitionByRange(*order).sortWithinPartitions(*order)
+    counted = written(words.select("word", "n"), "words")
+    ranked = counted.repartitionByRange(*order).sortWithinPartitions(*order)
     ranked = written(ranked.withColumn("no", F.monotonically_increasing_id()), "ranked")
-    near = written(near_words(ranked), "near")
+    removed(counted)
+    near = near_words(ranked)
 
     best = ranked.select(F.col("no").alias("best"), F.col("n").alias("best_n"))
     asked = ranked.select("no", "n").join(near.select("no", "best"), "no").join(best, "best")
