@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carecycle.llm.storage import written
+from carecycle.llm.storage import removed, written
 
 LENGTH = 400
 GRAM = 64  # bytes of an anchor
@@ -134,15 +135,18 @@ def _anchor_rows(length: int, gram: int, code=bytes, words: int | None = None):
 _INTERVAL = "key long, u1 long, u2 long, k1 long, k2 long, lo long, hi long, at long"
 
 
-def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(intervals whose windows all occur elsewhere, intervals that have to be compared).
+def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(intervals that are known to occur elsewhere, intervals to sort, tables that both are read from).
 
-    Equal intervals settle each other. What is left under a key is compared if
-    the key has several different intervals; of equal ones, one row stands for
-    all (``settled`` then).
+    Of equal intervals two are sorted, for all of them, so that the order of
+    suffixes finds their repeat; the others are copies and go with them by a
+    count. An interval without a copy is sorted if its key has others. Rows
+    that repeat a document's id and text are one to the sort, so where all
+    copies are such rows the count decides alone.
     """
+    row = F.struct("k1", "k2", "lo")
     per_text = rows.groupBy("key", "u1", "u2").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "lo")).alias("one")
+        F.count(F.lit(1)).alias("copies"), F.min(row).alias("one"), F.max(row).alias("other")
     )
     per_text = written(per_text, "intervals")
     per_key = per_text.groupBy("key").agg(
@@ -151,11 +155,13 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     per_key = per_key.filter("all > 1").select("key", "different")
     marks = written(per_text.join(per_key, "key"), "marks")
     seen = rows.join(marks, ["key", "u1", "u2"])
-    settled = seen.filter("copies > 1").select("k1", "k2", "lo", "hi")
-    stands = F.col("one") == F.struct("k1", "k2", "lo")
-    open_rows = seen.filter((F.col("different") > 1) & ((F.col("copies") == 1) | stands))
-    open_rows = open_rows.withColumn("settled", F.col("copies") > 1).drop("copies", "one")
-    return settled, open_rows
+    several, apart = F.col("copies") > 1, F.col("one") != F.col("other")
+    stands = (F.col("one") == row) | (F.col("other") == row)
+    counted = several & ~(stands & apart)
+    settled = seen.filter(counted).select("k1", "k2", "lo", "hi")
+    to_sort = seen.filter(F.when(several, stands & (apart | (F.col("different") > 1))).otherwise(F.col("different") > 1))
+    to_sort = to_sort.withColumn("settled", counted).drop("copies", "one", "other")
+    return settled, to_sort, [per_text, marks]
 
 
 def _contexts(length: int, far: int, code=bytes):
@@ -216,9 +222,11 @@ def _halves(length: int):
     return rows
 
 
-def cover_ranks(text: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks, by at least ``depth`` bytes, of the suffixes at the cover's positions; 0 elsewhere.
+def cover_ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ranks, names, span): ranks, by at least ``depth`` bytes, of the suffixes at the cover's positions, 0 elsewhere.
 
+    names are those of an earlier round, equal where ``span`` bytes are, the
+    most that leave eight bytes of ``depth``; without such a round span is 0.
     ``text`` ends with at least 2 * depth + 8 bytes of padding. Names of
     PERIOD bytes are doubled: a suffix's next name is PERIOD * 2^k further on,
     where the cover has a position again.
@@ -228,12 +236,14 @@ def cover_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     at = np.flatnonzero(np.isin(np.arange(n + depth) % PERIOD, COVER))
     rank = np.zeros(len(text), np.int64)
     rank[at] = np.unique(words[at] >> np.uint64(8 * (8 - PERIOD)), return_inverse=True)[1]
-    step = PERIOD
+    step, names, span = PERIOD, rank, 0
     while step < depth:
+        if step <= depth - 8:
+            names, span = rank.copy(), step
         both = rank[at] * len(text) + rank[np.minimum(at + step, len(text) - 1)]
         rank[at] = np.unique(both, return_inverse=True)[1]
         step *= 2
-    return rank
+    return rank, names, span
 
 
 def _words(text: np.ndarray) -> np.ndarray:
@@ -246,11 +256,15 @@ def _shift(r: int, s: int) -> int:
     return next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER and (s + d) % PERIOD in COVER)
 
 
+# The shifts of all pairs of residues.
+SHIFTS = np.array([[_shift(r, s) for s in range(PERIOD)] for r in range(PERIOD)])
+
+
 def sort_bucket(suffixes: np.ndarray, words: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Suffix positions of one bucket in order: by eight bytes, ties by cover ranks.
 
     Two suffixes with equal heads are compared at the shift that takes both
-    into the cover. A tie's members are counted class by class of their
+    into the cover. Of longer ties, members are counted class by class of their
     positions modulo PERIOD: the rank of a suffix is the number of members
     before it in every class, found by binary search.
     """
@@ -258,7 +272,12 @@ def sort_bucket(suffixes: np.ndarray, words: np.ndarray, rank: np.ndarray) -> np
     head = words[suffixes]
     tie = np.cumsum(np.r_[0, head[1:] != head[:-1]])
     size = np.bincount(tie)
-    inside = np.flatnonzero(size[tie] > 1)
+    first = np.flatnonzero(size[tie] == 2)[::2]  # of each pair
+    a, b = suffixes[first], suffixes[first + 1]
+    d = SHIFTS[a % PERIOD, b % PERIOD]
+    swap = first[rank[a + d] > rank[b + d]]
+    suffixes[swap], suffixes[swap + 1] = suffixes[swap + 1], suffixes[swap]
+    inside = np.flatnonzero(size[tie] > 2)
     if not len(inside):
         return suffixes
     x, t = suffixes[inside], tie[inside]
@@ -282,12 +301,13 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH, bucket: int = BUC
 
     The texts stand in one array. Window starts are dealt into buckets by their
     first eight bytes and one bucket is sorted at a time; neighbours in order
-    are then compared over the whole length, so memory beyond the text and the
-    cover's ranks is that of one bucket.
+    are then compared over the whole length, by the cover's names of long
+    stretches, so memory beyond the text and the cover's ranks is that of one
+    bucket.
     """
     ends = np.cumsum([len(t) for t in texts])
     text = np.frombuffer(b"".join(texts) + bytes(2 * length + 16), np.uint8)
-    rank = cover_ranks(text, length)
+    rank, names, span = cover_ranks(text, length)
     words = _words(text)
     start = np.zeros(len(text), bool)
     for end, t in zip(ends, texts):
@@ -302,9 +322,19 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH, bucket: int = BUC
             j = int(np.searchsorted(words[starts], words[starts[j - 1]], "right"))
         order = sort_bucket(starts[i:j], words, rank)
         a, b = order[:-1], order[1:]
-        for offset in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-            same = words[a + offset] == words[b + offset]
-            a, b = a[same], b[same]
+        same = (words[a] == words[b]) & (words[a + length - 8] == words[b + length - 8])
+        a, b = a[same], b[same]
+        if span:  # from the shift on, names that follow each other; the last ends in the last eight bytes
+            d = SHIFTS[a % PERIOD, b % PERIOD]
+            last = d + (length - span - d) // PERIOD * PERIOD
+            for offset in range(0, length, span):
+                at = np.minimum(d + offset, last)
+                same = names[a + at] == names[b + at]
+                a, b, d, last = a[same], b[same], d[same], last[same]
+        else:
+            for offset in range(8, length - 8, 8):
+                same = words[a + offset] == words[b + offset]
+                a, b = a[same], b[same]
         again[a] = again[b] = True
         i = j
     return [again[end - len(t) : max(end - length + 1, end - len(t))] for end, t in zip(ends, texts)]
@@ -366,39 +396,44 @@ def _keep(length: int, as_text: bool, words: int | None = None):
 
 def _repeats(
     source: DataFrame, length: int, gram: int, group_rows: int, shard_rows: int, code=bytes, words: int | None = None
-) -> DataFrame:
-    """(k1, k2, lo, hi): intervals of starts of windows that occur elsewhere too, in the texts as ``code`` gives them."""
+) -> list[DataFrame]:
+    """Tables (k1, k2, lo, hi): intervals of starts of windows that occur elsewhere too, in the texts as ``code`` gives them."""
     found = source.select("k1", "k2", "text").mapInArrow(_anchor_rows(length, gram, code, words), _INTERVAL)
-    settled, compare = _settle(written(found, "anchors"))
+    anchors = written(found, "anchors")
+    settled, to_sort, read = _settle(anchors)
     spans = [written(settled, "settled")]
-    lists = compare.groupBy("k1", "k2").agg(
+    lists = to_sort.groupBy("k1", "k2").agg(
         F.collect_set(F.struct("key", "lo", "hi", "at", "different", "settled")).alias("items")
     )
     lists = written(lists, "lists")
+    removed(anchors, *read)
     contexts = source.select("k1", "k2", "text").join(lists, ["k1", "k2"])
     contexts = contexts.mapInArrow(_contexts(length, length - gram, code), _CONTEXT)
     contexts = written(contexts.dropDuplicates(["key", "k1", "k2", "lo"]), "contexts")  # repeated rows
-    ready = []
+    removed(lists)
+    kept, ready = [contexts], []
     while True:
         ready.append(contexts.filter(F.col("different") <= group_rows).select(_CONTEXT_NAMES))
         large = contexts.filter(F.col("different") > group_rows)
         if large.isEmpty():
             break
         cut = large.select("k1", "k2", "lo", "hi", "at", "near", "far", "bytes")
-        cut = cut.mapInArrow(_halves(length), _HALF)
-        settled, compare = _settle(written(cut, "halves"))
-        spans.append(settled)
-        contexts = written(compare.select(_CONTEXT_NAMES), "contexts")
-    pairs = ready[0]
+        cut = written(cut.mapInArrow(_halves(length), _HALF), "halves")
+        settled, to_sort, read = _settle(cut)
+        spans.append(written(settled, "settled"))
+        contexts = written(to_sort.select(_CONTEXT_NAMES), "contexts")
+        removed(cut, *read)
+        kept.append(contexts)
+    rows = ready[0]
     for more in ready[1:]:
-        pairs = pairs.union(more)
-    shards = max(1, pairs.count() // shard_rows)
-    compared = pairs.groupBy(F.pmod("key", F.lit(shards)).alias("shard")).applyInPandas(
+        rows = rows.union(more)
+    shards = max(1, rows.count() // shard_rows)
+    sorted_out = rows.groupBy(F.pmod("key", F.lit(shards)).alias("shard")).applyInPandas(
         _shard_spans(length), "k1 long, k2 long, lo long, hi long"
     )
-    for more in spans:
-        compared = compared.union(more)
-    return compared
+    spans.append(written(sorted_out, "sorted"))
+    removed(*kept)
+    return spans
 
 
 def remove_repeats(
@@ -428,15 +463,15 @@ def remove_repeats(
     cut words at their ends.
 
     Every window of ``length`` bytes belongs to the anchor that its content
-    selects, and windows of one anchor form an interval. Intervals of equal
-    bytes settle each other by a count. Only intervals that share an anchor but
-    differ somewhere are compared byte by byte: they are dealt by anchor into
-    shards of about ``shard_rows``, whose suffixes are sorted bucket by bucket
-    with a difference cover. Under an anchor with more than ``group_rows``
-    different intervals, these are halved and dealt anew by the longer string
-    that the windows of each half share, until no such group is left; a half of
-    one window is settled by counting alone. The text is never sent to a task
-    by a key that documents share.
+    selects, and windows of one anchor form an interval. Intervals that share
+    an anchor are dealt by it into shards of about ``shard_rows``, whose
+    suffixes are sorted bucket by bucket with a difference cover; of equal
+    intervals two are sorted and the others, their copies, go with them. Under
+    an anchor with more than ``group_rows`` different intervals, these are
+    halved and dealt anew by the longer string that the windows of each half
+    share, until no such group is left. The text is never sent to a task by a
+    key that documents share. Tables in between are deleted as soon as they are
+    used up.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
@@ -447,12 +482,14 @@ def remove_repeats(
         F.xxhash64(text, F.lit(length), doc_id).alias("k2"), text.alias("text"),
     )
     sizes = group_rows, shard_rows
-    spans = _repeats(source, length, gram, *sizes, words=words).withColumn("coded", F.lit(False))
-    if words is not None:
-        coded = _repeats(source, CODE * words, gram, *sizes, code=word_codes)
-        spans = spans.union(coded.withColumn("coded", F.lit(True)))
+    plain = _repeats(source, length, gram, *sizes, words=words)
+    coded = _repeats(source, CODE * words, gram, *sizes, code=word_codes) if words is not None else []
+    parts = [t.withColumn("coded", F.lit(False)) for t in plain] + [t.withColumn("coded", F.lit(True)) for t in coded]
+    spans = reduce(DataFrame.union, parts)
     per_doc = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi", "coded")).alias("spans"))
-    whole = source.join(written(per_doc, "spans"), ["k1", "k2"], "left")
+    per_doc = written(per_doc, "spans")
+    removed(*plain, *coded)
+    whole = source.join(per_doc, ["k1", "k2"], "left")
     kind = source.schema["row"].dataType.simpleString()
     return whole.select("row", "text", "spans").mapInArrow(
         _keep(length, as_text, words),

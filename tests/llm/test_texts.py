@@ -126,6 +126,27 @@ def test_passages_of_words(spark):
     assert got[None] == "" and url not in got[20] and len(got[15].split()) == 9
 
 
+def test_sorted_windows_are_those_that_repeat():
+    """Against counting, for many lengths, bucket sizes, periodic and nearly equal texts."""
+    rng = random.Random(5)
+    for trial in range(200):
+        length = rng.choice([9, 15, 16, 22, 23, 40, 41, 64, 100, 400])
+        base = bytes(rng.choice(b"ab") for _ in range(2 * length))
+        some = []
+        for _ in range(rng.randint(1, 12)):
+            at = rng.randint(0, length)
+            edited = bytearray(base[: length + rng.randint(0, 20)])
+            edited[rng.randrange(len(edited))] = 99
+            some.append(rng.choice([
+                base[at : at + rng.randint(0, length + 30)], b"a" * rng.randint(0, 3 * length), bytes(edited),
+                bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 2 * length))),
+            ]))
+        seen = collections.Counter(t[i : i + length] for t in some for i in range(len(t) - length + 1))
+        found = suffixes.repeated_windows(some, length, bucket=rng.choice([4, 50, 1 << 16]))
+        for t, again in zip(some, found):
+            assert list(again) == [seen[t[i : i + length]] > 1 for i in range(max(0, len(t) - length + 1))]
+
+
 def test_long_texts_are_cut_into_blocks(monkeypatch):
     monkeypatch.setattr(suffixes, "BLOCK", 100)
     rng = random.Random(7)
