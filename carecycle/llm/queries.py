@@ -61,7 +61,9 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "token-files")
     rans.write(_table(spark, sf_dir, "documents"), path)
-    docs = rans.read(spark, path).select("part", "seq", "at", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    docs = rans.read(spark, path).select(
+        "part", "seq", "piece", "at", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
     return rans.with_starts(docs, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -8,13 +8,14 @@ from functools import lru_cache
 
 import numpy as np
 
-CHUNKS_KEPT = 600_000
-PIECES_KEPT = 300_000
+CHUNKS_KEPT = 700_000  # in two generations, like the pieces
+PIECES_KEPT = 700_000
 
 # Characters that need no composition, whose lower case depends on nothing
 # around them, and which are letters, digits or neither in every Unicode version.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
-# Most chunks: letters, then signs that begin neither a contraction nor a special token.
+_letters = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+# Other frequent ones: letters, then signs that begin neither a contraction nor a special token.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 # What the vocabulary's own pattern finds in lower-cased plain characters.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -33,6 +34,12 @@ def chunks(text: str | None) -> list[str]:
 
 def plain_pieces(chunk: str) -> list[str] | None:
     """The pre-tokens of a chunk of plain characters; None for any other chunk."""
+    sign = chunk[-1]
+    if sign in ".,;:!?":  # most chunks: letters, or letters and a sign
+        if _letters(chunk[:-1]):
+            return [chunk[:-1].lower(), sign]
+    elif _letters(chunk):
+        return [chunk.lower()]
     word = _WORD.fullmatch(chunk)
     if word:
         letters, signs = word.groups()
@@ -59,10 +66,13 @@ class ChunkEncoder(dict):
     share is encoded once: this dictionary maps chunks to the bytes of their
     ids. Chunks of plain characters are cut into pre-tokens here and encoded by
     the library's model, which saves most of a call; all others go through the
-    whole library. Bounded numbers of chunks and pre-tokens are remembered.
+    whole library. Bounded numbers of chunks and pre-tokens are remembered:
+    when half as many are, they become the older half, whose members are taken
+    over when they are met again, so what is frequent stays. Ids take four
+    bytes each, or two with ``narrow`` and a vocabulary of at most 2^16.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, narrow: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -71,38 +81,57 @@ class ChunkEncoder(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenize = self.tokenizer.model.tokenize
-        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        ids = range(self.tokenizer.get_vocab_size())
+        self.width = 2 if narrow and len(ids) <= 1 << 16 else 4
+        self.packed = [i.to_bytes(self.width, "little") for i in ids]
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
         self.symbols = dict(enumerate(byte_symbols()))
 
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
+        if found is not None:
+            return found
+        if len(self.pieces) >= PIECES_KEPT // 2:
+            self.older_pieces, self.pieces = self.pieces, {}
+        found = self.older_pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= PIECES_KEPT:
-                self.pieces.clear()
             spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
             found = b"".join([self.packed[t.id] for t in self.tokenize(spelt)])
-            self.pieces[piece] = found
+        self.pieces[piece] = found
         return found
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CHUNKS_KEPT:
+        if len(self) >= CHUNKS_KEPT // 2:
+            self.older = dict(self)
             self.clear()
+        found = self.older.get(chunk)
+        if found is not None:
+            self[chunk] = found
+            return found
         pieces = plain_pieces(chunk) if chunk else []
         if pieces is None:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-            found = np.array(ids, "<u4").tobytes()
+            found = np.array(ids, f"<u{self.width}").tobytes()
         else:
             found = b"".join(map(self._piece, pieces))
         self[chunk] = found
         return found
 
+    def packed_ids(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian unsigned numbers of ``width`` bytes; a null text has none."""
+        return b"".join(map(self.__getitem__, chunks(text)))
+
     def encode(self, text: str | None) -> np.ndarray:
-        """The little-endian unsigned 32-bit ids of a text; a null text has none."""
-        return np.frombuffer(b"".join(map(self.__getitem__, chunks(text))), "<u4")
+        """The same as an array."""
+        return np.frombuffer(self.packed_ids(text), f"<u{self.width}")
+
 
+@lru_cache(1)
+def encoder(path: str | None = None, narrow: bool = False) -> ChunkEncoder:
+    """The encoder of this Python worker, kept from task to task.
 
-@lru_cache(2)
-def encoder(path: str | None = None) -> ChunkEncoder:
-    """The encoder of this Python worker, kept from task to task."""
-    return ChunkEncoder(path)
+    With ``narrow``, ids take two bytes where the vocabulary allows it.
+    """
+    return ChunkEncoder(path, narrow)

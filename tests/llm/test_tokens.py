@@ -173,6 +173,35 @@ def test_damaged_files_are_noticed(spark):
         rans.read(spark, bad).collect()
 
 
+def test_a_document_of_many_blocks(spark, library):
+    """It is cut and put together again; a damaged block in its middle is noticed and spoils no other."""
+    path, bad = folder(spark, "long"), folder(spark, "long-bad")
+    rows = [(1, "short"), (5, " ".join(f"word{i} é" for i in range(400))), (5, "same id"), (5, "same id"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rans.write(df, path, block=64)
+    docs = rans.with_starts(rans.read(spark, path), path).orderBy("start").collect()
+    want = sorted((i, library.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in rows)
+    assert sorted((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in docs) == want
+    assert [r.doc_id for r in docs] == [1, 5, 5, 5, 9]
+    assert [r.start for r in docs] == np.cumsum([0, *[r.n_tokens for r in docs]])[:-1].tolist()
+    blocks = spark.read.parquet(f"{path}/blocks")
+    split = sorted((r.part, r.seq, r.piece) for r in blocks.filter("split").collect())
+    assert len(split) >= 10 and blocks.agg(F.max("n_tokens")).first()[0] <= 2 * 64
+    at = (F.col("part") == split[5][0]) & (F.col("seq") == split[5][1]) & (F.col("piece") == split[5][2])
+    spark.read.parquet(f"{path}/table").write.parquet(f"{bad}/table")
+    blocks.withColumn("crc32", F.when(at, F.col("crc32") + 1).otherwise(F.col("crc32"))).write.parquet(f"{bad}/blocks")
+    with pytest.raises(Exception, match=f"block {split[5][0]}/{split[5][1]}: the checksum"):
+        rans.read(spark, bad).collect()
+    freq = np.zeros(1 << 16, np.int64)
+    for r in spark.read.parquet(f"{bad}/table").collect():
+        freq[r.id] = r.freq
+    rest = spark.read.parquet(f"{bad}/blocks").filter(~at).collect()
+    assert len(rest) == blocks.count() - 1
+    for b in rest:
+        ids = rans.Coder(freq).decode([(b.n_tokens, b.words, b.checkpoints)])[0]
+        assert zlib.crc32(ids.astype("<u4").tobytes()) == b.crc32
+
+
 def test_token_file_query(spark, library):
     source = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     got = {r.doc_id: r for r in queries.op7_rans(spark, FOLDER).collect()}
@@ -209,14 +238,17 @@ def test_chat_of_odd_rows(spark):
                 learnt.append(whole[r.mask_start : r.mask_end])
             else:
                 assert r.mask_start == r.mask_end
-        said = sorted({(x[1] if x[1] is not None else -1, x[3] or "") for x in rows if (x[0], x[2]) == (conv, speaker)})
+        said = sorted((x[1] if x[1] is not None else -1, x[3] or "") for x in rows if (x[0], x[2]) == (conv, speaker))
         assert learnt == [t + "<|im_end|>" for _, t in said]
     first = "".join(r.segment for r in views[1, "bob"])
     assert first == (
-        "<|im_start|>system\nrules<|im_end|>\n<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>user name=ann\né<|im_end|>\n"
+        "<|im_start|>system\nrules<|im_end|>\n" + 2 * "<|im_start|>user name=ann\nhi<|im_end|>\n"
+        + "<|im_start|>user name=ann\né<|im_end|>\n"
         "<|im_start|>assistant\n<|im_end|>\n<|im_start|>user name=unknown\nwho<|im_end|>\n"
     )
     assert chat.rotate(df.filter("false")).count() == 0
+    again = [(7, None, "ann", "yes"), (7, None, "ann", "yes"), (7, None, "bob", "yes")]
+    assert chat.rotate(spark.createDataFrame(again, "conv_id long, turn long, role string, text string")).count() == 6
 
 
 def test_pipeline_stages(spark):
