@@ -8,7 +8,7 @@ values, so the semantics that depend on them are exercised.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,23 +180,20 @@ class Analogs:
         types = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]
         conditions = [F.col("p_brand") == f"Brand#{i}" for i in range(1, 26)]
         conditions += [F.col("p_type") == t for t in types]
+        # A part's flags are the bits of one number, so orders combine a single column.
+        bits = reduce(Column.bitwiseOR, [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(conditions)])
         per_order = (
             self.table("lineitem")
-            .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+            .join(self.table("part").select("p_partkey", bits.alias("_bits")), F.col("l_partkey") == F.col("p_partkey"))
             .groupBy("l_orderkey")
-            .agg(
-                *[
-                    F.max(F.when(c, 1).otherwise(0)).alias(name)
-                    for name, c in zip(COMORBIDITIES, conditions)
-                ]
-            )
+            .agg(F.bit_or("_bits").alias("_bits"))
         )
         return per_order.join(
             self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")
         ).select(
             F.col("o_custkey").alias("subject_id"),
             F.col("l_orderkey").alias("hadm_id"),
-            *COMORBIDITIES,
+            *[F.getbit("_bits", F.lit(i)).cast("int").alias(name) for i, name in enumerate(COMORBIDITIES)],
         )
 
     @_once

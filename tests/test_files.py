@@ -200,3 +200,14 @@ def test_files_are_replaced(spark):
     for n in (5, 2):
         files.write_csv(spark.range(n), path)
     assert files.read_csv(spark, path, "id long").count() == 2
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    """Filters on what a line is don't parse it anew for every column: two parsers, typed and text."""
+    (tmp_path / "a.csv").write_text("\n".join(f"{i},{i},{i},{i}" for i in range(9)) + "\n5,x,5,5\n1,2\n")
+    schema = "a int, b int, c int, d int"
+    found = files.read_lines(spark, str(tmp_path / "a.csv"), schema)
+    for rows, n in ((files.good_rows(found), 9), (files.quarantined(found), 2), (files.accounted(found), 3)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_csv(") == 2
+        assert rows.count() == n
