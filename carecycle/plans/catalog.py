@@ -621,22 +621,22 @@ def _lines(a, name, df, schema, spoilt, sep=","):
     return files.read_lines(a.spark, path, schema, sep)
 
 
-def _demographic_lines(a, name):
+def _demographic_lines(a, name, subjects=None):
     rows = _demographics(a).withColumn("index", F.col("icustay_id"))
     columns = StructType.fromDDL(schemas.DEMOGRAPHICS_EXTRACT).names
     return _lines(a, name, rows.select(*columns), schemas.DEMOGRAPHICS_EXTRACT, "admit_age")
 
 
-def _comorbidity_lines(a, name):
-    rows = members(a.comorbidities(), _subjects(a)).withColumns(
+def _comorbidity_lines(a, name, subjects=None):
+    rows = members(a.comorbidities(), subjects or _subjects(a)).withColumns(
         {"index": F.col("hadm_id"), "category": F.lit("ELIXHAUSER")}
     )
     columns = StructType.fromDDL(schemas.COMORBIDITY_EXTRACT).names
     return _lines(a, name, rows.select(*columns), schemas.COMORBIDITY_EXTRACT, "obesity")
 
 
-def _code_lines(a, name):
-    rows = members(a.diagnoses(), _subjects(a))
+def _code_lines(a, name, subjects=None):
+    rows = members(a.diagnoses(), subjects or _subjects(a))
     columns = StructType.fromDDL(schemas.CODE_EXTRACT).names
     return _lines(a, name, rows.select(*columns), schemas.CODE_EXTRACT, "sequence", ";")
 
@@ -671,8 +671,9 @@ def extract_quarantine(a):
     extracts = {
         "demographics": _demographic_lines, "comorbidities": _comorbidity_lines, "codes": _code_lines,
     }
+    subjects = replace_table(_subjects(a), own_name(a.spark, "carecycle_quarantine_subjects"))
     parts = [
-        files.accounted(build(a, f"{name}_quarantine")).select(F.lit(name).alias("extract"), "*")
+        files.accounted(build(a, f"{name}_quarantine", subjects)).select(F.lit(name).alias("extract"), "*")
         for name, build in extracts.items()
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -11,6 +11,8 @@ import __spark_entry__ as entry  # noqa: E402
 import parity  # noqa: E402
 from carecycle.plans.catalog import QUERIES  # noqa: E402
 from carecycle.plans.oracle import ORACLE  # noqa: E402
+from carecycle.sources.analogs import Analogs  # noqa: E402
+from carecycle.sources.tables import own_name  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -65,3 +67,14 @@ def test_relations(spark):
     assert tally == n
     matrix = rows(spark, "disagreement_matrix").filter("sum_disagree > 0").count()
     assert rows(spark, "disagreement_rate").first().notes_disputed == matrix
+
+
+def test_quarantine_shares_the_subjects(spark):
+    """Two of the three extracts read the subjects that were written once."""
+    name = own_name(spark, "carecycle_quarantine_subjects")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    a = Analogs(spark, FOLDER)
+    kinds = {(r.extract, r.kind) for r in QUERIES["extract_quarantine"](a).collect()}
+    assert {(e, "row") for e in ("demographics", "comorbidities", "codes")} <= kinds
+    assert spark.table(name).columns == ["subject_id"]
+    spark.sql(f"DROP TABLE {name}")
