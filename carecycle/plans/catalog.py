@@ -706,14 +706,9 @@ def stays_union(a):
     seq = F.col("hospital_seq")
     groups = {"first": seq == 1, "second": seq == 2, "third": seq == 3, "four_plus": seq >= 4}
     indexed = stays.select(F.col("icustay_id").alias("index"), "*")
-    paths = [
-        files.write_csv(
-            indexed.filter(condition), files_dir(a.spark, f"{name}_hadm"), header=False
-        )
-        for name, condition in groups.items()
-    ]
+    path = files.write_groups(indexed, files_dir(a.spark, "hadm_extracts"), groups)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in indexed.schema.fields)
-    return files.read_stay_extracts(a.spark, paths, schema)
+    return files.read_stay_extracts(a.spark, [path], schema).drop("extract")
 
 
 @query

@@ -211,3 +211,24 @@ def test_lines_are_parsed_once(spark, tmp_path):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_csv(") == 2
         assert rows.count() == n
+
+
+def test_groups_are_written_in_one_pass(spark, tmp_path):
+    """Rows go to their group's folder or nowhere; a source row is computed once, not once for each group."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passing(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(100).selectExpr("id", "nullif(id % 5, 4) AS g", "'a\"b, c' AS t").mapInArrow(passing, "id long, g long, t string")
+    groups = {"one": F.col("g") == 1, "more": F.col("g") >= 2, "none": F.col("g") > 50}
+    path = files.write_groups(df, str(tmp_path / "groups"), groups)
+    assert seen.value == 100
+    assert sorted(d for d in os.listdir(path) if d.startswith("extract=")) == ["extract=more", "extract=one"]
+    back = files.read_stay_extracts(spark, [path], "id long, g long, t string").collect()
+    assert sorted((r.id, r.g, r.t, r.extract) for r in back) == [
+        (i, i % 5, 'a"b, c', "one" if i % 5 == 1 else "more") for i in range(100) if 1 <= i % 5 < 4]
+    files.write_groups(df.filter("g = 0"), path, groups)
+    assert files.read_stay_extracts(spark, [path], "id long, g long, t string").count() == 0
