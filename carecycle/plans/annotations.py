@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carecycle.operators.audit import missing_ids
@@ -95,18 +95,38 @@ def unsure_export(
 
     The tool expects three admission columns; they get distinct names.
     """
-    return (
-        members(reconciled, remaining, note)
-        .select("note_subject_id", "hadm_id", "real_time", "text")
-        .distinct()
-        .select(
-            F.col("note_subject_id").alias("subject_id"),
-            "hadm_id",
-            F.col("hadm_id").alias("hadm_id_2"),
-            F.col("hadm_id").alias("hadm_id_3"),
-            F.col("real_time").alias("chartdate"),
-            F.lit("Discharge").alias("category"),
-            F.lit("Summary").alias("descriptions"),
-            "text",
-        )
+    return _tool_layout(
+        members(reconciled, remaining, note).select("note_subject_id", "hadm_id", "real_time", "text")
+    )
+
+
+def unsure_texts(
+    notes: DataFrame, results: DataFrame, remaining: DataFrame, late: Column, note: str = "icu_id"
+) -> DataFrame:
+    """``unsure_export`` of what ``reconcile`` gives for all results, of which ``late`` picks the late ones.
+
+    Results are narrowed to the remaining notes and to distinct dates before
+    they meet a text, and texts are joined once.
+    """
+    told = results.select(note, "hadm_id", "batch_id", "real_time", late.alias("_late")).filter(
+        F.col("_late").isNotNull() & (F.col("_late") | F.col("batch_id").isNotNull())
+    )
+    batch = F.when(~F.col("_late"), F.col("batch_id")).alias("_batch")
+    dates = members(told, remaining, note).select(F.col("hadm_id").alias("_hadm_id"), batch, "real_time").distinct()
+    own = notes.select("hadm_id", "batch_id", F.col("subject_id").alias("note_subject_id"), "text")
+    same_batch = F.col("_batch").isNull() | (F.col("batch_id") == F.col("_batch"))
+    found = own.join(dates, (F.col("hadm_id") == F.col("_hadm_id")) & same_batch)
+    return _tool_layout(found.select("note_subject_id", "hadm_id", "real_time", "text"))
+
+
+def _tool_layout(texts: DataFrame) -> DataFrame:
+    return texts.distinct().select(
+        F.col("note_subject_id").alias("subject_id"),
+        "hadm_id",
+        F.col("hadm_id").alias("hadm_id_2"),
+        F.col("hadm_id").alias("hadm_id_3"),
+        F.col("real_time").alias("chartdate"),
+        F.lit("Discharge").alias("category"),
+        F.lit("Summary").alias("descriptions"),
+        "text",
     )

@@ -581,10 +581,15 @@ def unsure_remaining(a):
     return ann.unsure_remaining(a.annotations(), _adjudicated(a))
 
 
+def _unsure_texts(a):
+    remaining = ann.unsure_remaining(a.annotations(), _adjudicated(a))
+    late = F.col("operator") == LATE_OPERATOR
+    return ann.unsure_texts(a.annotated_notes(), a.annotations(), remaining, late)
+
+
 @query
 def unsure_export(a):
-    remaining = ann.unsure_remaining(a.annotations(), _adjudicated(a))
-    return ann.unsure_export(_reconciled(a), remaining)
+    return _unsure_texts(a)
 
 
 @query
@@ -598,8 +603,7 @@ def annotation_batches(a):
 @query
 def annotation_batch_files(a):
     """Texts of the remaining unsure notes, written as files of 30 and read back."""
-    remaining = ann.unsure_remaining(a.annotations(), _adjudicated(a))
-    texts = ann.unsure_export(_reconciled(a), remaining)
+    texts = _unsure_texts(a)
     order = ["hadm_id", "subject_id", "chartdate", "text"]
     path = files.write_numbered_batches(texts, files_dir(a.spark, "unsure_batches"), order, 30)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema)

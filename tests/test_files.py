@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from carecycle.functions.vocab import ANNOTATION_FEATURES, ANNOTATION_IDS, STAY_COLUMNS
 from carecycle.operators.joins import bucket_members
 from carecycle.operators.pick import batches
-from carecycle.plans.annotations import pending_notes, reconcile, unsure_export, unsure_remaining
+from carecycle.plans.annotations import pending_notes, reconcile, unsure_export, unsure_remaining, unsure_texts
 from carecycle.sources import files, schemas
 from carecycle.session import files_dir
 from carecycle.sources.tables import own_name, replace_bucketed, replace_table
@@ -232,3 +232,24 @@ def test_groups_are_written_in_one_pass(spark, tmp_path):
         (i, i % 5, 'a"b, c', "one" if i % 5 == 1 else "more") for i in range(100) if 1 <= i % 5 < 4]
     files.write_groups(df.filter("g = 0"), path, groups)
     assert files.read_stay_extracts(spark, [path], "id long, g long, t string").count() == 0
+
+
+def test_export_of_narrowed_results(spark):
+    """Equal to the export of all reconciled rows: late, unknown and repeated ones; notes are read once."""
+    results = spark.createDataFrame(
+        [(h, i, b, t, o, f) for h, i in ((1, 2), (2, 4), (3, 6), (None, 8), (4, None))
+         for b in ("a", "b", None) for t in ("d1", None) for o in ("L", "x", None) for f in (0, 1)],
+        "hadm_id long, icu_id long, batch_id string, real_time string, operator string, unsure int")
+    notes = spark.createDataFrame(
+        [(9, h, "c", t, 1, b) for h in (1, 2, 4, 5, None) for b in ("a", "c", None) for t in ("one", "one", None)],
+        "subject_id long, hadm_id long, category string, text string, cohort int, batch_id string")
+    remaining = spark.createDataFrame([(2,), (6,), (8,), (None,)], "icu_id long")
+    late = F.col("operator") == "L"
+    whole = reconcile(notes, results.filter(~late), results.filter(late))
+    want = unsure_export(whole, remaining)
+    got = unsure_texts(notes, results, remaining, late)
+    key = lambda r: tuple(map(str, r))
+    assert got.schema == want.schema and len(want.collect()) == 4
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    logical = got._jdf.queryExecution().optimizedPlan().toString()
+    assert logical.count("text#") > 0 and logical.count("LogicalRDD [subject_id#") + logical.count("LocalRelation [subject_id#") == 1
