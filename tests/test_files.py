@@ -11,7 +11,7 @@ from carecycle.operators.joins import bucket_members
 from carecycle.operators.pick import batches
 from carecycle.plans.annotations import pending_notes, reconcile, unsure_export, unsure_remaining, unsure_texts
 from carecycle.sources import files, schemas
-from carecycle.session import files_dir
+from carecycle.session import ADAPTIVE, files_dir
 from carecycle.sources.tables import own_name, replace_bucketed, replace_table
 
 
@@ -253,3 +253,8 @@ def test_export_of_narrowed_results(spark):
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
     logical = got._jdf.queryExecution().optimizedPlan().toString()
     assert logical.count("text#") > 0 and logical.count("LogicalRDD [subject_id#") + logical.count("LocalRelation [subject_id#") == 1
+
+
+def test_partitions_are_merged_to_less_than_the_default():
+    """Ids shrink in a shuffle; merged to Spark's 64 MB, a task of stays_cross_check unpacks over a gigabyte."""
+    assert ADAPTIVE["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == "16MB"
