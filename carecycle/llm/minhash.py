@@ -170,16 +170,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = _keys(doc_id, text)
     chain = _chain(docs.select(*keys, doc_id.alias("doc_id"), F.length(text).cast("long").alias("n_chars")))
     texts = docs.select(*keys, text.alias("text")).dropDuplicates(["k1", "k2"])
+    # A head carries its row of the chain, so texts meet the chain and the heads in one join.
     lent = chain.select(
-        F.col("k1").alias("to1"), F.col("k2").alias("to2"), F.col("n1").alias("k1"), F.col("n2").alias("k2"), "last",
-        F.floor(F.col("n_chars") / 4).cast("int").alias("n_lent"),
+        F.col("k1").alias("to1"), F.col("k2").alias("to2"), F.col("n1").alias("k1"), F.col("n2").alias("k2"),
+        "copies", "last", "doc_id", "n_chars", F.floor(F.col("n_chars") / 4).cast("int").alias("n_lent"),
     )
     heads = texts.join(lent, ["k1", "k2"]).select(
-        F.col("to1").alias("k1"), F.col("to2").alias("k2"), "last", "n_lent",
-        F.col("text").substr(F.lit(1), F.col("n_lent")).alias("head"),
+        F.col("to1").alias("k1"), F.col("to2").alias("k2"), F.col("k1").alias("n1"), F.col("k2").alias("n2"),
+        "copies", "last", "doc_id", "n_chars", "n_lent", F.col("text").substr(F.lit(1), F.col("n_lent")).alias("head"),
     )
-    same = ["k1", "k2", "last"]
-    whole = texts.join(chain, ["k1", "k2"]).join(heads, same)
+    whole = texts.join(heads, ["k1", "k2"])
     kept = F.col("text").substr(F.lit(1), (F.col("n_chars") - F.col("n_lent")).cast("int"))
     return whole.select(
         "k1", "k2", "n1", "n2", "copies", "last", "doc_id", "n_chars", fingerprint(F.col("text")).alias("fingerprint"),

@@ -358,3 +358,11 @@ def test_cut_is_the_cheapest_labelling():
 
         best = min(cost([bool(k >> i & 1) for i in range(9)]) for k in range(512))
         assert abs(cost(pages.labels(blocks)) - best) < 1e-6
+
+
+def test_minhash_shuffles_texts_once(spark):
+    """Texts lend their heads and take one, in two joins by one key; a third by another key would move them again."""
+    docs = spark.createDataFrame([(i, f"text {i} of some words") for i in range(5)], "doc_id long, text string")
+    found = minhash.fingerprints(docs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2
+    assert sorted(r.doc_id for r in found.collect()) == [0, 1, 2, 3, 4]
