@@ -139,14 +139,14 @@ def _tokenised(vocabulary: str | None, block: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(vocabulary, narrow=True)
-        encode, width = encoder.packed_ids, encoder.width
+        width = encoder.width
         part, seq = TaskContext.get().partitionId(), 0
         counts = np.zeros(0, np.int64)
         end = END_ID.to_bytes(width, "little")
         for batch in batches:
             out, size = [], width * block
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.packed_all(batch.column(1))):
+                ids += end
                 pieces = -(-len(ids) // size)
                 if pieces == 1:
                     out.append((part, seq, doc, 0, 1, width, ids, None))

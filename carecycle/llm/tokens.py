@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNKS_KEPT = 700_000  # in two generations, like the pieces
 PIECES_KEPT = 700_000
+TOGETHER = 1 << 22  # bytes of texts whose chunks are told apart together
 
 # Characters that need no composition, whose lower case depends on nothing
 # around them, and which are letters, digits or neither in every Unicode version.
@@ -123,6 +127,29 @@ class ChunkEncoder(dict):
         """The ids of a text as little-endian unsigned numbers of ``width`` bytes; a null text has none."""
         return b"".join(map(self.__getitem__, chunks(text)))
 
+    def packed_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """``packed_ids`` of each text of an Arrow array, for less work.
+
+        Arrow cuts about TOGETHER bytes of whole texts at ASCII white space and
+        tells their chunks apart, so that each different chunk is looked up
+        once, and then sets the chunks' ids in the texts' order.
+        """
+        ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(), dtype=np.int64)
+        i = 0
+        while i < len(texts):
+            before = ends[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+            parts = pc.ascii_split_whitespace(texts.slice(i, j - i).fill_null(""))
+            coded = parts.flatten().dictionary_encode()
+            found = list(map(self.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
+            ids = pa.array(found, pa.large_binary()).take(coded.indices)
+            _, at, raw = ids.buffers()
+            bounds = np.frombuffer(at, np.int64)[parts.offsets].tolist()
+            raw = memoryview(raw or b"")
+            for a, b in zip(bounds, bounds[1:]):
+                yield bytes(raw[a:b])
+            i = j
+
     def encode(self, text: str | None) -> np.ndarray:
         """The same as an array."""
         return np.frombuffer(self.packed_ids(text), f"<u{self.width}")

@@ -6,9 +6,11 @@ import os
 import random
 import sys
 import zlib
+from unittest import mock
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -55,6 +57,36 @@ def test_both_encoders_agree_with_the_library(library, monkeypatch):
         assert list(ids) == want and list(remembered.encode(text)) == want
 
 
+@pytest.mark.parametrize("together", [8, 1 << 22])
+def test_texts_of_a_batch_are_encoded_together(library, monkeypatch, together):
+    monkeypatch.setattr(tokens, "TOGETHER", together)
+    cases = [None, "", " ", *strings(500), "a\x0bb\x0cc \u0301\x0b\u0301", "é\tÉ\r\né", None]
+    remembered = tokens.ChunkEncoder(narrow=True)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in cases]
+    for texts in (pa.array(cases), pa.array(["before", *cases, "after"], pa.large_string()).slice(1, len(cases))):
+        got = list(remembered.packed_all(texts))
+        assert [np.frombuffer(x, f"<u{remembered.width}").tolist() for x in got] == want
+    assert list(remembered.packed_all(pa.array([], pa.string()))) == []
+
+
+def test_token_files_look_a_chunk_up_once_in_a_batch(monkeypatch):
+    class Counted(tokens.ChunkEncoder):
+        looked_up = 0
+
+        def __getitem__(self, chunk):
+            self.looked_up += 1
+            return super().__getitem__(chunk)
+
+    encoder = Counted(narrow=True)
+    monkeypatch.setattr(tokens, "encoder", lambda *args, **kwargs: encoder)
+    monkeypatch.setattr(rans, "TaskContext", mock.Mock())
+    rans.TaskContext.get().partitionId.return_value = 0
+    texts = [f"the same words again, and {i}" for i in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(texts)], ["doc_id", "text"])
+    *rows, _ = rans._tokenised(None, rans.BLOCK)(iter([batch]))
+    assert sum(map(len, rows)) == 100 and encoder.looked_up == 5 + 100
+
+
 def test_one_merge_at_a_time_gives_the_same():
     v = bpe.Vocabulary(tokens.default_vocabulary())
     words = [w.encode() for w in ("aaaaaaaa", "banana", "lollollol", "x", "thethethe")]
