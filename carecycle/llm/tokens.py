@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 CHUNKS_KEPT = 700_000  # in two generations, like the pieces
 PIECES_KEPT = 700_000
-TOGETHER = 1 << 22  # bytes of texts whose chunks are told apart together
+TOGETHER = 1 << 23  # bytes of texts whose chunks are told apart together
 
 # Characters that need no composition, whose lower case depends on nothing
 # around them, and which are letters, digits or neither in every Unicode version.
@@ -21,6 +21,9 @@ _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _letters = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 # Other frequent ones: letters, then signs that begin neither a contraction nor a special token.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
+# The first of these kinds, as Arrow knows them.
+_SIGNS = ".,;:!?"
+_SIMPLE = f"^[A-Za-zÀ-ÖØ-öø-ÿ]+[{_SIGNS}]?$"
 # What the vocabulary's own pattern finds in lower-cased plain characters.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
@@ -39,7 +42,7 @@ def chunks(text: str | None) -> list[str]:
 def plain_pieces(chunk: str) -> list[str] | None:
     """The pre-tokens of a chunk of plain characters; None for any other chunk."""
     sign = chunk[-1]
-    if sign in ".,;:!?":  # most chunks: letters, or letters and a sign
+    if sign in _SIGNS:  # most chunks: letters, or letters and a sign
         if _letters(chunk[:-1]):
             return [chunk[:-1].lower(), sign]
     elif _letters(chunk):
@@ -127,6 +130,26 @@ class ChunkEncoder(dict):
         """The ids of a text as little-endian unsigned numbers of ``width`` bytes; a null text has none."""
         return b"".join(map(self.__getitem__, chunks(text)))
 
+    def _of(self, find, keys: pa.Array) -> pa.Array:
+        """What ``find`` gives for each key; it is asked once for equal ones."""
+        coded = keys.dictionary_encode()
+        found = list(map(find, coded.dictionary.to_numpy(zero_copy_only=False)))
+        return pa.array(found, pa.large_binary()).take(coded.indices)
+
+    def _packed_chunks(self, chunks: pa.Array) -> pa.Array:
+        """The ids of each chunk; most are letters or letters and a sign, which are looked up by their lower-cased letters."""
+        simple = pc.match_substring_regex(chunks, _SIMPLE)
+        lower = pc.utf8_lower(chunks.filter(simple))
+        letters = pc.utf8_rtrim(lower, _SIGNS)
+        bare = pc.equal(pc.binary_length(letters), pc.binary_length(lower))
+        signs = pc.if_else(bare, "", pc.utf8_slice_codeunits(lower, -1))
+        signs = self._of(lambda sign: self._piece(sign) if sign else b"", signs)
+        found = pc.binary_join_element_wise(self._of(self._piece, letters), signs, pa.scalar(b"", pa.large_binary()))
+        rest = self._of(self.__getitem__, chunks.filter(pc.invert(simple)))
+        simple = simple.to_numpy(zero_copy_only=False)
+        at = np.where(simple, np.cumsum(simple), len(found) + np.cumsum(~simple)) - 1
+        return pa.concat_arrays([found, rest]).take(pa.array(at, pa.int64()))
+
     def packed_all(self, texts: pa.Array) -> Iterator[bytes]:
         """``packed_ids`` of each text of an Arrow array, for less work.
 
@@ -141,8 +164,7 @@ class ChunkEncoder(dict):
             j = max(i + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
             parts = pc.ascii_split_whitespace(texts.slice(i, j - i).fill_null(""))
             coded = parts.flatten().dictionary_encode()
-            found = list(map(self.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
-            ids = pa.array(found, pa.large_binary()).take(coded.indices)
+            ids = self._packed_chunks(coded.dictionary).take(coded.indices)
             _, at, raw = ids.buffers()
             bounds = np.frombuffer(at, np.int64)[parts.offsets].tolist()
             raw = memoryview(raw or b"")
