@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from carecycle.llm import tokens
+
 STEPS = 64  # bytes of a segment; the state starts anew in each
 HIDDEN = 8
 SAMPLE_DOCS = 800  # documents per language to learn from
@@ -223,6 +225,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def _documents(net: Network | None, text_col: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.encoder.cache_clear()  # of an earlier run's last stage, in a worker that is used again
         for batch in batches:
             row = batch.column(0)
             texts = row.field(text_col).to_pylist()

@@ -17,6 +17,7 @@ WINDOW = 4096
 OPEN_WINDOWS = 1024  # windows that one task keeps partially filled
 END_ID = 2
 ROWS_OUT = 1024
+KEPT = 200_000  # chunks and pre-tokens that a worker's encoder remembers, each
 
 
 @dataclass
@@ -146,7 +147,7 @@ def pack(
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary).encode
+        encoder = tokens.encoder(vocabulary, kept=KEPT)
         packer = Packer(window, open_windows)
         base = TaskContext.get().partitionId() << 33
         rows: list[Piece] = []
@@ -165,8 +166,8 @@ def pack(
             return pa.RecordBatch.from_arrays(columns, names)
 
         for part in batches:
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                rows.extend(packer.add(doc, np.append(encode(text), np.uint32(END_ID)).astype("<u4")))
+            for doc, ids in zip(part.column(0).to_pylist(), encoder.packed_all(part.column(1))):
+                rows.extend(packer.add(doc, np.append(np.frombuffer(ids, "<u4"), np.uint32(END_ID))))
                 while len(rows) >= ROWS_OUT:
                     yield batch(rows[:ROWS_OUT])
                     del rows[:ROWS_OUT]

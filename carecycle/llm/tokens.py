@@ -77,13 +77,16 @@ class ChunkEncoder(dict):
     when half as many are, they become the older half, whose members are taken
     over when they are met again, so what is frequent stays. Ids take four
     bytes each, or two with ``narrow`` and a vocabulary of at most 2^16.
+    ``kept`` bounds the chunks and the pre-tokens, each, in place of the module's
+    bounds.
     """
 
-    def __init__(self, path: str | None = None, narrow: bool = False):
+    def __init__(self, path: str | None = None, narrow: bool = False, kept: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.chunks_kept, self.pieces_kept = kept or CHUNKS_KEPT, kept or PIECES_KEPT
         self.tokenizer = Tokenizer.from_file(path or default_vocabulary())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -100,7 +103,7 @@ class ChunkEncoder(dict):
         found = self.pieces.get(piece)
         if found is not None:
             return found
-        if len(self.pieces) >= PIECES_KEPT // 2:
+        if len(self.pieces) >= self.pieces_kept // 2:
             self.older_pieces, self.pieces = self.pieces, {}
         found = self.older_pieces.get(piece)
         if found is None:
@@ -110,7 +113,7 @@ class ChunkEncoder(dict):
         return found
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CHUNKS_KEPT // 2:
+        if len(self) >= self.chunks_kept // 2:
             self.older = dict(self)
             self.clear()
         found = self.older.get(chunk)
@@ -170,6 +173,8 @@ class ChunkEncoder(dict):
             raw = memoryview(raw or b"")
             for a, b in zip(bounds, bounds[1:]):
                 yield bytes(raw[a:b])
+            del parts, coded, ids, at, raw
+            pa.default_memory_pool().release_unused()
             i = j
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -178,9 +183,9 @@ class ChunkEncoder(dict):
 
 
 @lru_cache(1)
-def encoder(path: str | None = None, narrow: bool = False) -> ChunkEncoder:
+def encoder(path: str | None = None, narrow: bool = False, kept: int | None = None) -> ChunkEncoder:
     """The encoder of this Python worker, kept from task to task.
 
     With ``narrow``, ids take two bytes where the vocabulary allows it.
     """
-    return ChunkEncoder(path, narrow)
+    return ChunkEncoder(path, narrow, kept)

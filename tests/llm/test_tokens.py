@@ -70,6 +70,20 @@ def test_texts_of_a_batch_are_encoded_together(library, monkeypatch, together):
     assert list(remembered.packed_all(pa.array([], pa.string()))) == []
 
 
+def test_a_workers_memory_stays_bounded(library):
+    """Packing's encoder keeps few chunks, suffix removal takes a batch in parts, the next run drops the encoder."""
+    encoder = tokens.encoder(kept=200)
+    texts = [f"Word{i} x{chr(97 + i % 26)}{i}, {'ab' * (i % 50)}" for i in range(1500)]
+    for text, ids in zip(texts, encoder.packed_all(pa.array(texts))):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(encoder) + len(encoder.older) <= 200 and len(encoder.pieces) + len(encoder.older_pieces) <= 200
+    assert list(language._documents(None, "text")(iter([]))) == [] and not tokens.encoder.cache_info().currsize
+    n = 2 * suffixes.TEXTS + 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array([b"ab" * 30] * n)], ["k1", "k2", "text"])
+    rows = list(suffixes._anchor_rows(40, 12)(iter([batch])))
+    assert len(rows) == 3 and {x for r in rows for x in r.column(3).to_pylist()} == set(range(n))
+
+
 def test_token_files_look_a_chunk_up_once_in_a_batch(monkeypatch):
     asked = collections.Counter()
 
